@@ -11,6 +11,19 @@ from pyspark.sql import SparkSession
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
+# Runtime settings the engine works best with. Expressions over many columns
+# make generated methods beyond 8000 bytes, which the JVM would interpret; below
+# that limit Spark falls back to split methods that do get compiled.
+RUNTIME = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+
+
+def configure(spark: SparkSession) -> SparkSession:
+    """Apply the runtime settings to a session built elsewhere."""
+    for key, value in RUNTIME.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def build_session(app: str = "datumgate", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the engine relies on.
 
@@ -25,6 +38,7 @@ def build_session(app: str = "datumgate", master: str | None = None, **conf: str
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.ui.enabled": "false",
+        **RUNTIME,
         **conf,
     }
     for key, value in settings.items():

@@ -74,7 +74,7 @@ def header_cells(spark: SparkSession, paths: str | list[str], delimiter: str, ha
     first = spark.read.option("lineSep", "\n").text(_as_list(paths)).where(~is_blank(F.col("value")))
     rows = first.select(split_cells(F.col("value"), delimiter).alias("cells")).limit(1).collect()
     if not rows:
-        raise InvalidFormat("Cannot infer schema from empty input")
+        raise InvalidFormat("No lines to infer a schema from")
     return list(rows[0].cells) if has_header else numbered(len(rows[0].cells))
 
 

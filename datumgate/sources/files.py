@@ -91,5 +91,5 @@ def qualified(spark: SparkSession, path: str) -> tuple[str, bool]:
 def require_path(spark: SparkSession, path: str) -> str:
     full, there = qualified(spark, path)
     if not there:
-        raise SourceIoError(f"Source file not found: {path}")
+        raise SourceIoError(f"No such source: {path}")
     return full

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from typing import Iterator
+from typing import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -56,12 +56,13 @@ def ipc_batches(reader, start: int = 0, stop: int | None = None) -> Iterator[pa.
         yield from reader
 
 
-def _inspect(path: str, fmt: str | None) -> dict:
+def inspect_footer(path: str, fmt: str | None) -> dict:
+    """Facts of one file as a row of ``FOOTER_SCHEMA``."""
     row = {name: None for name in FOOTER_SCHEMA.names}
     row.update(path=path, format=fmt)
     if fmt not in (PARQUET, ARROW_IPC):
         if fmt is None:
-            row.update(error_code=INVALID_FORMAT, error_message=f"Unable to determine storage format for {path}")
+            row.update(error_code=INVALID_FORMAT, error_message=f"Cannot tell the storage format of {path}")
         return row
     import pyarrow.parquet as pq
 
@@ -91,42 +92,37 @@ def _inspect(path: str, fmt: str | None) -> dict:
     return row
 
 
-def read_footers(files: DataFrame) -> DataFrame:
-    """One row per ``(path, format)`` with the schema the file itself states.
+def _arrow_footer_schema() -> pa.Schema:
+    field = pa.struct(
+        [("position", pa.int32()), ("field", pa.string()), ("data_type", pa.string()), ("canonical", pa.bool_())]
+    )
+    texts = ("schema_json", "error_code", "error_message")
+    return pa.schema(
+        [("path", pa.string()), ("format", pa.string()), ("row_count", pa.int64())]
+        + [(name, pa.string()) for name in texts]
+        + [("fields", pa.list_(field))]
+    )
+
+
+def read_footers(files: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """The schema each ``(path, format)`` row's file states itself; ``keep`` passes columns through.
 
     Runs in the partitions the listing already has; nothing is shuffled. Types
     that Spark's reader hides (unsigned 64-bit, dictionary, duration) show here.
     """
-    arrow_schema = pa.schema(
-        [
-            ("path", pa.string()),
-            ("format", pa.string()),
-            ("row_count", pa.int64()),
-            ("schema_json", pa.string()),
-            ("error_code", pa.string()),
-            ("error_message", pa.string()),
-            (
-                "fields",
-                pa.list_(
-                    pa.struct(
-                        [
-                            ("position", pa.int32()),
-                            ("field", pa.string()),
-                            ("data_type", pa.string()),
-                            ("canonical", pa.bool_()),
-                        ]
-                    )
-                ),
-            ),
-        ]
-    )
+    footer_schema = _arrow_footer_schema()
+    kept = [files.schema[name] for name in keep]
 
     def inspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             asked = zip(batch.column("path").to_pylist(), batch.column("format").to_pylist())
-            yield pa.RecordBatch.from_pylist([_inspect(path, fmt) for path, fmt in asked], schema=arrow_schema)
+            facts = pa.RecordBatch.from_pylist([inspect_footer(path, fmt) for path, fmt in asked], schema=footer_schema)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(f.name) for f in kept] + facts.columns, names=[f.name for f in kept] + facts.schema.names
+            )
 
-    return files.select("path", "format").mapInArrow(inspect, FOOTER_SCHEMA)
+    wanted = files.select(*keep, "path", "format")
+    return wanted.mapInArrow(inspect, T.StructType(kept + FOOTER_SCHEMA.fields))
 
 
 def footer_contract(files: DataFrame) -> DataFrame:

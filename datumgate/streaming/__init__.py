@@ -1,0 +1 @@
+"""Empty on purpose: every operator of the engine works on bounded datasets."""
