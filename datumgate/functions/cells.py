@@ -30,6 +30,8 @@ OFFSET_TIME_PATTERN = (
     "^[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt][0-9]{2}:[0-9]{2}:[0-9]{2}([.][0-9]+)?"
     "([Zz]|[+-]([01][0-9]|2[0-3]):[0-5][0-9])$"
 )
+WRITTEN_TIME_PATTERN = "^(.{19}([.][0-9]+)?)"
+OFFSET_PATTERN = "([+-][0-9]{2}:[0-9]{2})$"
 SIGNED_WORD_PATTERN = "^[+-](?i:inf|infinity|nan)$"
 
 # A Unicode noncharacter stands in for delimiters outside quotes.
@@ -101,19 +103,10 @@ def cell_mask(cell: Column, null_values: Sequence[str]) -> Column:
 
 def _local_part(cell: Column) -> Column:
     """Date and time of an offset timestamp, as written."""
-    written = F.regexp_extract(F.upper(cell), "^(.{19}([.][0-9]+)?)", 1)
+    written = F.regexp_extract(F.upper(cell), WRITTEN_TIME_PATTERN, 1)
     return written.try_cast("timestamp_ntz")
 
 
-def _offset_timestamp(cell: Column) -> Column:
-    """An offset timestamp moved to UTC, independent of the session zone."""
-    offset = F.regexp_extract(cell, "([+-][0-9]{2}:[0-9]{2})$", 1)
-    sign = F.when(F.startswith(offset, F.lit("-")), F.lit(-1)).otherwise(F.lit(1))
-    hours = F.coalesce(F.substring(offset, 2, 2).try_cast("int"), F.lit(0)) * sign
-    minutes = F.coalesce(F.substring(offset, 5, 2).try_cast("int"), F.lit(0)) * sign
-    return _local_part(cell) - F.make_dt_interval(F.lit(0), hours, minutes, F.lit(0))
-
-
 def type_of_mask(mask: Column) -> Column:
     """Name of the type a column gets from the OR of its cell masks."""
     return (
@@ -136,27 +129,43 @@ TYPES = {
 }
 
 
-def typed_cell(cell: Column, dtype: T.DataType, null_values: Sequence[str]) -> Column:
-    """One trimmed cell as a value. Null tokens, and cells that do not fit, are null."""
+def _offset_timestamp(cell: str) -> str:
+    """SQL text: an offset timestamp moved to UTC, independent of the session zone."""
+    local = f"try_cast(regexp_extract(upper({cell}), {text_literal(WRITTEN_TIME_PATTERN)}, 1) AS timestamp_ntz)"
+    offset = f"regexp_extract({cell}, {text_literal(OFFSET_PATTERN)}, 1)"
+    sign = f"if(startswith({offset}, '-'), -1, 1)"
+    hours = f"coalesce(try_cast(substring({offset}, 2, 2) AS int), 0) * {sign}"
+    minutes = f"coalesce(try_cast(substring({offset}, 5, 2) AS int), 0) * {sign}"
+    return f"{local} - make_dt_interval(0, {hours}, {minutes}, 0)"
+
+
+def typed_cell(cell: str, dtype: T.DataType, null_values: Sequence[str]) -> Column:
+    """One trimmed cell (SQL text) as a value.
+
+    Null tokens, and cells that do not fit the type, are null.
+    """
+
+    def like(pattern: str) -> str:
+        return f"{cell} RLIKE {text_literal(pattern)}"
+
+    words = ", ".join(text_literal(w) for w in FLOAT_WORDS)
     if isinstance(dtype, T.BooleanType):
-        value = F.when(F.lower(cell) == "true", F.lit(True)).when(F.lower(cell) == "false", F.lit(False))
+        value = f"CASE lower({cell}) WHEN 'true' THEN true WHEN 'false' THEN false END"
     elif isinstance(dtype, T.LongType):
-        value = F.when(cell.rlike(INT_PATTERN), cell.try_cast("bigint"))
+        value = f"CASE WHEN {like(INT_PATTERN)} THEN try_cast({cell} AS bigint) END"
     elif isinstance(dtype, T.DoubleType):
-        word = F.lower(F.ltrim(cell, F.lit("+-")))
-        value = (
-            F.when(cell.rlike(FLOAT_PATTERN), cell.try_cast("double"))
-            .when(word == "nan", F.lit(float("nan")))
-            .when(word.isin(*FLOAT_WORDS), cell.try_cast("double"))
-        )
+        word = f"lower(ltrim('+-', {cell}))"
+        value = f"""CASE WHEN {like(FLOAT_PATTERN)} THEN try_cast({cell} AS double)
+            WHEN {word} = 'nan' THEN double('nan') WHEN {word} IN ({words}) THEN try_cast({cell} AS double) END"""
     elif isinstance(dtype, T.DateType):
-        value = F.when(cell.rlike(DATE_PATTERN), cell.try_cast("date"))
+        value = f"CASE WHEN {like(DATE_PATTERN)} THEN try_cast({cell} AS date) END"
     elif isinstance(dtype, T.TimestampNTZType):
-        value = F.when(
-            cell.rlike(LOCAL_TIME_PATTERN) | cell.rlike(DATE_PATTERN), cell.try_cast("timestamp_ntz")
-        ).when(cell.rlike(OFFSET_TIME_PATTERN), _offset_timestamp(cell))
+        value = f"""CASE WHEN {like(LOCAL_TIME_PATTERN)} OR {like(DATE_PATTERN)} THEN try_cast({cell} AS timestamp_ntz)
+            WHEN {like(OFFSET_TIME_PATTERN)} THEN {_offset_timestamp(cell)} END"""
     elif isinstance(dtype, T.StringType):
         value = cell
     else:
         raise TypeError(f"no text form for {dtype.simpleString()}")
-    return F.when(cell.isin(*null_values), F.lit(None)).otherwise(value).cast(dtype)
+    nulls = ", ".join(text_literal(t) for t in null_values)
+    present = f"CASE WHEN {cell} NOT IN ({nulls}) THEN {value} END" if nulls else value
+    return F.expr(f"CAST({present} AS {dtype.simpleString()})")

@@ -8,14 +8,24 @@ from pyspark.sql import functions as F
 EPOCH_NTZ = "timestamp_ntz'1970-01-01 00:00:00'"
 
 
+def quoted(name: str) -> str:
+    """An exact column name as SQL text, dots and backticks included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def text_literal(value: str) -> str:
+    """A string as an SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def ref(name: str) -> Column:
-    """Column by its exact name, dots and backticks included."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    """Column by its exact name."""
+    return F.col(quoted(name))
 
 
-def ntz_micros(ntz: Column) -> Column:
-    """Microseconds since the epoch of a zoneless timestamp, in any session zone."""
-    return F.unix_micros(F.concat(ntz.cast("string"), F.lit("Z")).cast("timestamp"))
+def ntz_micros_text(ntz: str) -> str:
+    """SQL text: microseconds since the epoch of a zoneless timestamp, in any session zone."""
+    return f"unix_micros(CAST(concat(CAST({ntz} AS string), 'Z') AS timestamp))"
 
 
 def ntz_from_micros(micros: Column) -> Column:

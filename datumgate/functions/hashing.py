@@ -6,32 +6,32 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import ref
+from .columns import quoted
 
 # A digest is summed as four 60-bit words of a SHA-256, each cut
 # in three 20-bit limbs. A sum of limbs stays within a bigint for 2^43 rows.
 WORDS, WORD_DIGITS, LIMBS, LIMB_BITS = 4, 15, 3, 20
 
 
-def value_text(field: T.StructField) -> Column:
-    """Text of one value, the same in every session zone."""
-    col, dtype = ref(field.name), field.dataType
+def value_text(field: T.StructField) -> str:
+    """SQL text: one value as a string, the same in every session zone."""
+    name, dtype = quoted(field.name), field.dataType
     if isinstance(dtype, T.TimestampType):
-        return F.unix_micros(col).cast("string")
+        return f"CAST(unix_micros({name}) AS string)"
     if isinstance(dtype, (T.ArrayType, T.StructType, T.MapType)):
-        return F.to_json(F.struct(col.alias("v")), {"ignoreNullFields": "false", "timeZone": "UTC"})
+        return f"to_json(struct({name} AS v), map('ignoreNullFields', 'false', 'timeZone', 'UTC'))"
     if isinstance(dtype, T.BinaryType):
-        return F.hex(col)
-    return col.cast("string")
+        return f"hex({name})"
+    return f"CAST({name} AS string)"
 
 
 def row_text(schema: T.StructType) -> Column:
     """One string per row: ``N`` for null, else ``V<length>:<text>``, in schema order."""
-    parts = []
+    parts = ["''"]
     for field in schema.fields:
         text = value_text(field)
-        parts.append(F.coalesce(F.concat(F.lit("V"), F.length(text).cast("string"), F.lit(":"), text), F.lit("N")))
-    return F.concat(F.lit(""), *parts)
+        parts.append(f"coalesce(concat('V', length({text}), ':', {text}), 'N')")
+    return F.expr(f"concat({', '.join(parts)})")
 
 
 def limb_sums(digest: Column) -> list[Column]:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.cells import TYPES, cell_mask, split_cells, type_of_mask, typed_cell
+from ..functions.cells import NULL_CELL, TYPES, cell_mask, split_cells, type_of_mask, typed_cell
 from ..model import CsvOptions
 from ..sources.delimited import first_lines, header_cells, read_lines
 
@@ -27,31 +27,27 @@ def column_masks(lines: DataFrame, names: Sequence[str], options: CsvOptions = C
     The merge of cell kinds is a bitwise OR, so every task sends one row.
     Missing cells add nothing and surplus cells are not looked at.
     """
-    cells = _cells(lines, options.delimiter)
-    nulls = options.null_values
+    kinds = F.transform("cells", lambda cell: cell_mask(cell, options.null_values))
+    masks = _cells(lines, options.delimiter).select(kinds.alias("masks"))
     if len(names) <= WIDE:
-        masks = [
-            F.bit_or(cell_mask(F.get("cells", F.lit(i)), nulls)).alias(f"mask_{i}") for i in range(len(names))
-        ]
+        merged = masks.agg(*[F.bit_or(F.get("masks", F.lit(i))).alias(f"mask_{i}") for i in range(len(names))])
         rows = [
             F.struct(
                 F.lit(i).alias("position"),
                 F.lit(name).alias("column"),
-                F.coalesce(F.col(f"mask_{i}"), F.lit(0)).alias("mask"),
+                F.coalesce(F.col(f"mask_{i}"), F.lit(NULL_CELL)).alias("mask"),
             )
             for i, name in enumerate(names)
         ]
-        merged = cells.agg(*masks).select(F.inline(F.array(*rows)))
+        found = merged.select(F.inline(F.array(*rows)))
     else:
-        spread = cells.select(F.posexplode("cells").alias("position", "cell")).where(F.col("position") < len(names))
-        found = spread.groupBy("position").agg(F.bit_or(cell_mask(F.col("cell"), nulls)).alias("mask"))
-        listed = lines.sparkSession.createDataFrame(
-            [(i, name) for i, name in enumerate(names)], "position int, column string"
-        )
-        merged = listed.join(found, "position", "left").select(
-            "position", "column", F.coalesce("mask", F.lit(0)).alias("mask")
+        spread = masks.select(F.posexplode("masks").alias("position", "mask")).where(F.col("position") < len(names))
+        merged = spread.groupBy("position").agg(F.bit_or("mask").alias("mask"))
+        listed = lines.sparkSession.createDataFrame(list(enumerate(names)), "position int, column string")
+        found = listed.join(merged, "position", "left").select(
+            "position", "column", F.coalesce("mask", F.lit(NULL_CELL)).alias("mask")
         )
-    return merged.withColumn("data_type", type_of_mask(F.col("mask")))
+    return found.withColumn("data_type", type_of_mask(F.col("mask")))
 
 
 def schema_of(masks: DataFrame) -> T.StructType:
@@ -78,7 +74,7 @@ def infer_schema(spark: SparkSession, paths: str | list[str], options: CsvOption
 def load_lines(lines: DataFrame, schema: T.StructType, options: CsvOptions = CsvOptions()) -> DataFrame:
     """Typed rows from data lines."""
     typed = [
-        typed_cell(F.get("cells", F.lit(i)), field.dataType, options.null_values).alias(field.name)
+        typed_cell(f"get(cells, {i})", field.dataType, options.null_values).alias(field.name)
         for i, field in enumerate(schema.fields)
     ]
     return _cells(lines, options.delimiter).select(*typed)

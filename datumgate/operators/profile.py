@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import ntz_micros, ref
+from ..functions.columns import ntz_micros_text, quoted, ref, text_literal
 from ..functions.types import canonical_name
 
 # Each (family, type) pair is carried as min_<family> and max_<family>. Exactly
@@ -55,70 +55,65 @@ def _family(dtype: T.DataType, extended: bool, bounds: bool = True) -> str | Non
     return None
 
 
-def _comparable(field: T.StructField) -> Column:
-    """The values minimum and maximum look at: NaN never takes part."""
-    col = ref(field.name)
-    if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
-        return F.when(~F.isnan(col), col)
-    return col
-
-
-def _finish(value: Column, dtype: T.DataType) -> Column:
-    if isinstance(dtype, T.TimestampNTZType):
-        return ntz_micros(value)
-    if isinstance(dtype, T.TimestampType):
-        return F.unix_micros(value)
-    return value
-
-
 def _families(extended: bool) -> tuple[tuple[str, str], ...]:
     return FAMILIES + EXTENDED_FAMILIES if extended else FAMILIES
 
 
+# The expressions below are SQL text: a table has many columns and each costs
+# one call to the JVM this way, instead of one per operator in its expression.
+
+
 def _aggregates(
     fields: list[tuple[int, T.StructField]], extended: bool, rsd: float | None, bounds: bool
-) -> list[Column]:
-    aggs = [F.count(F.lit(1)).alias("rows")]
+) -> list[str]:
+    aggs = ["count(1) AS rows"]
     for i, field in fields:
-        aggs.append(F.count(ref(field.name)).alias(f"present_{i}"))
+        name = quoted(field.name)
+        aggs.append(f"count({name}) AS present_{i}")
         if _family(field.dataType, extended, bounds):
-            aggs.append(F.min(_comparable(field)).alias(f"min_{i}"))
-            aggs.append(F.max(_comparable(field)).alias(f"max_{i}"))
+            # NaN takes no part in minimum and maximum.
+            floating = isinstance(field.dataType, (T.FloatType, T.DoubleType))
+            value = f"CASE WHEN NOT isnan({name}) THEN {name} END" if floating else name
+            aggs += [f"min({value}) AS min_{i}", f"max({value}) AS max_{i}"]
         if rsd is not None:
-            aggs.append(F.approx_count_distinct(ref(field.name), rsd).alias(f"distinct_{i}"))
+            aggs.append(f"approx_count_distinct({name}, {rsd}D) AS distinct_{i}")
     return aggs
 
 
-def _state_struct(i: int, field: T.StructField, extended: bool, rsd: float | None, bounds: bool) -> Column:
+def _state(i: int, field: T.StructField, extended: bool, rsd: float | None, bounds: bool) -> str:
     family = _family(field.dataType, extended, bounds)
+    kind = canonical_name(field.dataType) or field.dataType.simpleString()
     parts = [
-        F.lit(i).alias("position"),
-        F.lit(field.name).alias("column"),
-        F.lit(canonical_name(field.dataType) or field.dataType.simpleString()).alias("data_type"),
-        F.col("rows").alias("total_count"),
-        (F.col("rows") - F.col(f"present_{i}")).alias("null_count"),
-        (F.col(f"distinct_{i}") if rsd is not None else F.lit(None)).cast("bigint").alias("distinct_count_approx"),
+        f"{i} AS position",
+        f"{text_literal(field.name)} AS column",
+        f"{text_literal(kind)} AS data_type",
+        "rows AS total_count",
+        f"rows - present_{i} AS null_count",
+        f"CAST({'NULL' if rsd is None else f'distinct_{i}'} AS bigint) AS distinct_count_approx",
     ]
     for name, sql_type in _families(extended):
         for side in ("min", "max"):
-            value = _finish(F.col(f"{side}_{i}"), field.dataType) if name == family else F.lit(None)
-            parts.append(value.cast(sql_type).alias(f"{side}_{name}"))
-    return F.struct(*parts)
+            value = f"{side}_{i}" if name == family else "NULL"
+            if name == family and isinstance(field.dataType, T.TimestampNTZType):
+                value = ntz_micros_text(value)
+            elif name == family and isinstance(field.dataType, T.TimestampType):
+                value = f"unix_micros({value})"
+            parts.append(f"CAST({value} AS {sql_type}) AS {side}_{name}")
+    return f"struct({', '.join(parts)})"
 
 
-def _summary_struct(extended: bool) -> Column:
+def _summary_state(extended: bool) -> str:
     parts = [
-        F.lit(-1).alias("position"),
-        F.lit(None).cast("string").alias("column"),
-        F.lit(None).cast("string").alias("data_type"),
-        F.col("rows").alias("total_count"),
-        F.lit(0).cast("bigint").alias("null_count"),
-        F.lit(None).cast("bigint").alias("distinct_count_approx"),
+        "-1 AS position",
+        "CAST(NULL AS string) AS column",
+        "CAST(NULL AS string) AS data_type",
+        "rows AS total_count",
+        "0L AS null_count",
+        "CAST(NULL AS bigint) AS distinct_count_approx",
     ]
     for name, sql_type in _families(extended):
-        for side in ("min", "max"):
-            parts.append(F.lit(None).cast(sql_type).alias(f"{side}_{name}"))
-    return F.struct(*parts)
+        parts += [f"CAST(NULL AS {sql_type}) AS {side}_{name}" for side in ("min", "max")]
+    return f"struct({', '.join(parts)})"
 
 
 def null_percentage(nulls: Column, total: Column) -> Column:
@@ -151,18 +146,16 @@ def column_states(
     fields = [(i, f) for i, f in enumerate(df.schema.fields) if f.name not in by]
     chunks = [fields[at : at + COLUMNS_PER_PASS] for at in range(0, len(fields), COLUMNS_PER_PASS)] or [[]]
     keys = [ref(name) for name in by]
+    names = [quoted(name) for name in by]
     frames = []
     for at, chunk in enumerate(chunks):
-        structs = [_state_struct(i, f, extended, rsd, bounds) for i, f in chunk]
+        states = [_state(i, f, extended, rsd, bounds) for i, f in chunk]
         if summary and at == 0:
-            structs.append(_summary_struct(extended))
-        if not structs:
-            continue
-        folded = df.groupBy(*keys).agg(*_aggregates(chunk, extended, rsd, bounds))
-        frames.append(folded.select(*keys, F.inline(F.array(*structs))))
-    if not frames:
-        empty = df.limit(0).groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
-        return empty.select(*keys, F.inline(F.array(_summary_struct(extended)))).where("position >= 0")
+            states.append(_summary_state(extended))
+        folded = df.groupBy(*keys).agg(*[F.expr(a) for a in _aggregates(chunk, extended, rsd, bounds)])
+        if not states:
+            return folded.selectExpr(*names, f"inline(array({_summary_state(extended)}))").where("position >= 0")
+        frames.append(folded.selectExpr(*names, f"inline(array({', '.join(states)}))"))
     return reduce(DataFrame.unionByName, frames)
 
 

@@ -165,7 +165,7 @@ def profile_narrow_types(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("l_linenumber").cast("tinyint").alias("i8"),
             (F.col("l_linenumber") * -1000).cast("smallint").alias("i16"),
             F.col("l_quantity").cast("float").alias("f32"),
-            (F.col("l_partkey").cast("decimal(20,0)") + F.lit(10**19).cast("decimal(20,0)"))
+            (F.col("l_partkey").cast("decimal(20,0)") + F.lit(str(10**19)).cast("decimal(20,0)"))
             .cast("decimal(20,0)")
             .alias("u64"),
             (F.col("l_returnflag") == "R").alias("flag"),
@@ -266,9 +266,9 @@ def lineitem_cells() -> list[Column]:
 
 
 def csv_cell_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = table(spark, sf_dir, "lineitem").select(F.posexplode(F.array(*lineitem_cells())).alias("spelling", "cell"))
-    masks = cells.select("spelling", cell_mask(F.col("cell"), NULL_TOKENS).alias("mask"))
-    return masks.groupBy("spelling", "mask").agg(F.count(F.lit(1)).alias("cells"))
+    masks = F.transform(F.array(*lineitem_cells()), lambda cell: cell_mask(cell, NULL_TOKENS))
+    spread = table(spark, sf_dir, "lineitem").select(F.posexplode(masks).alias("spelling", "mask"))
+    return spread.groupBy("spelling", "mask").agg(F.count(F.lit(1)).alias("cells"))
 
 
 def csv_infer_table(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -290,10 +290,10 @@ def csv_infer_no_header(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def csv_infer_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """More columns than one aggregate holds: the orders cells, fifty times over."""
+    """More columns than one aggregate holds: the orders cells, forty times over."""
     orders = table(spark, sf_dir, "orders")
-    lines = orders.select(join_cells([ref(c) for c in orders.columns] * 50, ",").alias("line"))
-    return column_masks(lines, numbered(50 * len(orders.columns)), CsvOptions(has_header=False))
+    lines = orders.select(join_cells([ref(c) for c in orders.columns] * 40, ",").alias("line"))
+    return column_masks(lines, numbered(40 * len(orders.columns)), CsvOptions(has_header=False))
 
 
 def csv_load_orders(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,6 +38,8 @@ def build_session(app: str = "datumgate", master: str | None = None, **conf: str
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.ui.enabled": "false",
+        # Recording the call site of every column expression doubles planning time.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **RUNTIME,
         **conf,
     }

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -84,5 +82,4 @@ def numbered(count: int) -> list[str]:
 
 def join_cells(columns: list[Column], delimiter: str) -> Column:
     """One delimited line from column values; nulls become empty cells."""
-    texts = [F.coalesce(c.cast("string"), F.lit("")) for c in columns]
-    return reduce(lambda left, right: F.concat(left, F.lit(delimiter), right), texts)
+    return F.concat_ws(delimiter, *[F.coalesce(c.cast("string"), F.lit("")) for c in columns])

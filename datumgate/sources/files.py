@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pathlib import PurePosixPath
 from typing import Iterator
 
 import pyarrow as pa
@@ -25,7 +26,10 @@ def open_file(uri: str) -> pa.NativeFile:
 
 
 def list_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """``(path, length)`` of every file; contents are not read."""
+    """``(path, length)`` of every file; contents are not read.
+
+    Spark's file scans plan no reads for empty files, so those are not listed.
+    """
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     return listing.load([paths] if isinstance(paths, str) else list(paths)).select("path", "length")
 
@@ -82,14 +86,37 @@ def detect_formats(files: DataFrame) -> DataFrame:
 
 def qualified(spark: SparkSession, path: str) -> tuple[str, bool]:
     """The path as Spark prints it, and whether it is there."""
-    jvm = spark._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    filesystem = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    filesystem, hadoop_path = _hadoop(spark, path)
     return filesystem.makeQualified(hadoop_path).toString(), bool(filesystem.exists(hadoop_path))
 
 
+def _hadoop(spark: SparkSession, path: str):
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
+
+
 def require_path(spark: SparkSession, path: str) -> str:
     full, there = qualified(spark, path)
     if not there:
         raise SourceIoError(f"No such source: {path}")
     return full
+
+
+def first_file(spark: SparkSession, path: str) -> str | None:
+    """The path itself when it is a file, else the first non-empty file below it."""
+    filesystem, hadoop_path = _hadoop(spark, path)
+    if filesystem.getFileStatus(hadoop_path).isFile():
+        return path
+    [first] = list_files(spark, path).where("length > 0").agg(F.min("path").alias("path")).collect()
+    return first.path
+
+
+def detect_file(path: str) -> str | None:
+    """Format of one file, on the driver: by extension, else by its first bytes."""
+    extension = PurePosixPath(path).suffix[1:].lower()
+    for name, extensions in EXTENSIONS.items():
+        if extension in extensions:
+            return name
+    with open_file(path) as source:
+        lead = source.read(8)
+    return next((name for name, magic in MAGIC.items() if lead.startswith(magic)), None)

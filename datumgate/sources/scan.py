@@ -14,7 +14,7 @@ from ..functions.types import unsupported_message
 from ..model import ARROW_IPC, CSV, PARQUET, CsvOptions
 from ..operators.infer import load_delimited
 from .arrow_ipc import read_ipc
-from .files import detect_formats, list_files, require_path
+from .files import detect_file, detect_formats, first_file, list_files, require_path
 from .footers import inspect_footer
 
 NANOS_AS_LONG = "spark.sql.legacy.parquet.nanosAsLong"
@@ -22,10 +22,13 @@ NANOS_AS_LONG = "spark.sql.legacy.parquet.nanosAsLong"
 
 def detect(spark: SparkSession, path: str) -> str:
     """Format of a file, or of the files of a folder when they agree."""
-    formats = detect_formats(list_files(spark, path)).groupBy("format").count().collect()
-    if len(formats) != 1 or formats[0].format is None:
+    if first_file(spark, path) == path:
+        found = [detect_file(path)]
+    else:
+        found = [r.format for r in detect_formats(list_files(spark, path)).select("format").distinct().collect()]
+    if len(found) != 1 or found[0] is None:
         raise InvalidFormat(f"Cannot tell the storage format of {path}")
-    return formats[0].format
+    return found[0]
 
 
 def csv_options(path: str, options: CsvOptions | None) -> CsvOptions:
@@ -43,11 +46,10 @@ def scan_parquet(spark: SparkSession, path: str) -> DataFrame:
     64-bit columns from decimals and shows types that Spark reads as others.
     Nanosecond timestamps are read as integers and floored to microseconds.
     """
-    files = list_files(spark, path).where("length > 0")
-    [first] = files.agg(F.min("path").alias("path")).collect()
-    if first.path is None:
+    first = first_file(spark, path)
+    if first is None:
         raise InvalidFormat(f"No data in {path}")
-    footer = inspect_footer(first.path, PARQUET)
+    footer = inspect_footer(first, PARQUET)
     if footer["error_code"] is not None:
         raise error_for(footer["error_code"], footer["error_message"])
     nanos = {f["field"]: f["data_type"] for f in footer["fields"] if "Timestamp(Nanosecond" in f["data_type"]}
