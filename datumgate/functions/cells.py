@@ -9,11 +9,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .columns import text_literal
 
 # The Unicode White_Space characters, which trimming removes.
-WHITE_SPACE = (
-    "\u0009\u000a\u000b\u000c\u000d \u0085        "
-    "         　"
+ASCII_SPACE = "\t\n\x0b\x0c\r "
+WHITE_SPACE = ASCII_SPACE + "".join(
+    map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 )
 
 # One bit per kind of cell. A null cell has no bit, so that the
@@ -35,7 +36,7 @@ OFFSET_PATTERN = "([+-][0-9]{2}:[0-9]{2})$"
 SIGNED_WORD_PATTERN = "^[+-](?i:inf|infinity|nan)$"
 
 # A Unicode noncharacter stands in for delimiters outside quotes.
-_CUT = "﷐"
+_CUT = chr(0xFDD0)
 
 
 def trim(text: Column) -> Column:
@@ -52,8 +53,8 @@ def split_cells(line: Column, delimiter: str) -> Column:
     A quote switches quoting on or off and is dropped; the delimiter separates
     cells only outside quotes. Most lines have no quote and take the plain
     split; the others are cut at their quotes, where every second piece is
-    quoted text. Cells are trimmed only in lines with white space next to a
-    cell border, which one test per line finds.
+    quoted text. Cells are trimmed only in lines that may have white space next
+    to a cell border.
     """
     cut = re.escape(delimiter)
     plain = F.split(line, cut, -1)
@@ -63,42 +64,60 @@ def split_cells(line: Column, delimiter: str) -> Column:
     )
     quoted = F.split(F.array_join(marked, ""), _CUT, -1)
     cells = F.when(F.contains(line, F.lit('"')), quoted).otherwise(plain)
-    border = f'(?U)\\s((?=["{cut}]|$)|(?<=^.|["{cut}].))'
-    return F.when(line.rlike(border), F.transform(cells, trim)).otherwise(cells)
+    return F.when(_has_border_space(line, delimiter), F.transform(cells, trim)).otherwise(cells)
+
+
+def _has_border_space(line: Column, delimiter: str) -> Column:
+    """Whether white space may stand next to a delimiter, a quote or a line end.
+
+    Plain byte searches settle lines of ASCII text; lines with other characters
+    are always trimmed.
+    """
+    found = F.octet_length(line) != F.length(line)
+    for blank in ASCII_SPACE:
+        if blank in "\t ":
+            found |= F.startswith(line, F.lit(blank)) | F.endswith(line, F.lit(blank))
+            for edge in {delimiter, '"'} - {blank}:
+                found |= F.contains(line, F.lit(blank + edge)) | F.contains(line, F.lit(edge + blank))
+        else:
+            found |= F.contains(line, F.lit(blank))
+    return found
 
 
 def cell_mask(cell: Column, null_values: Sequence[str]) -> Column:
     """Kind of one trimmed cell as a bit.
 
-    The cheap tests route a cell to the few patterns it could match: only cells
-    that start between ``+`` and ``9`` can be numbers or dates, and only those
-    with a dash after four characters can be dates.
+    Cheap tests route a cell to the few patterns it could match: only cells that
+    start between ``+`` and ``9`` can be numbers or dates, and only those with a
+    dash after four characters can be dates. A cast is tried only on cells whose
+    pattern fits, as a failing one costs far more than a pattern.
     """
-    size = F.octet_length(cell)
-    number_like = (cell >= "+") & (cell < ":")
-    float_word = F.lower(cell).isin(*FLOAT_WORDS)
-    date = (size <= 10) & cell.rlike(DATE_PATTERN) & cell.try_cast("date").isNotNull()
+    date = cell.rlike(DATE_PATTERN) & cell.try_cast("date").isNotNull()
     local_time = cell.rlike(LOCAL_TIME_PATTERN) & cell.try_cast("timestamp_ntz").isNotNull()
     offset_time = cell.rlike(OFFSET_TIME_PATTERN) & _local_part(cell).isNotNull()
-    return (
-        F.when(cell.isin(*null_values), F.lit(NULL_CELL))
-        .when(
-            ~number_like,
-            F.when(size.between(4, 5) & F.lower(cell).isin("true", "false"), F.lit(BOOLEAN))
-            .when(size.between(3, 8) & float_word, F.lit(FLOAT64))
-            .otherwise(F.lit(TEXT)),
-        )
-        .when(
-            F.substring(cell, 5, 1) == "-",
-            F.when(date, F.lit(DATE))
-            .when((size > 10) & (local_time | offset_time), F.lit(TIMESTAMP))
-            .when(cell.rlike(FLOAT_PATTERN), F.lit(FLOAT64))
-            .otherwise(F.lit(TEXT)),
-        )
-        .when(cell.rlike(INT_PATTERN) & cell.try_cast("bigint").isNotNull(), F.lit(INT64))
-        .when(cell.rlike(FLOAT_PATTERN) | cell.rlike(SIGNED_WORD_PATTERN), F.lit(FLOAT64))
+    real = cell.rlike(FLOAT_PATTERN)
+    dashed = (
+        F.when(date, F.lit(DATE))
+        .when(local_time | offset_time, F.lit(TIMESTAMP))
+        .when(real, F.lit(FLOAT64))
+        .otherwise(F.lit(TEXT))
+    )
+    number = (
+        F.when(cell.rlike(INT_PATTERN) & cell.try_cast("bigint").isNotNull(), F.lit(INT64))
+        .when(real | cell.rlike(SIGNED_WORD_PATTERN), F.lit(FLOAT64))
+        .otherwise(F.lit(TEXT))
+    )
+    word = F.lower(cell)
+    kind = (
+        F.when((cell >= "+") & (cell < ":"), F.when(F.substring(cell, 5, 1) == "-", dashed).otherwise(number))
+        .when(cell.isin(*null_values), F.lit(NULL_CELL))
+        .when(word.isin("true", "false"), F.lit(BOOLEAN))
+        .when(word.isin(*FLOAT_WORDS), F.lit(FLOAT64))
         .otherwise(F.lit(TEXT))
     )
+    # Null tokens that look like numbers must be told before the numbers.
+    numeric_tokens = [token for token in null_values if "+" <= token < ":"]
+    return F.when(cell.isin(*numeric_tokens), F.lit(NULL_CELL)).otherwise(kind) if numeric_tokens else kind
 
 
 def _local_part(cell: Column) -> Column:

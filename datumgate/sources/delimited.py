@@ -8,10 +8,16 @@ from pyspark.sql import functions as F
 from ..errors import InvalidFormat
 from ..functions.cells import is_blank, split_cells
 
-# Reading whole lines through the CSV source: a separator no line holds, and
-# quote and escape characters no line holds. It is used because that source skips the first
-# non-blank line of every file, which the text source cannot do.
-_WHOLE_LINE = {"sep": "﷐﷑﷐", "quote": "﷓", "escape": "﷔", "lineSep": "\n", "enforceSchema": "true"}
+# Reading whole lines through the CSV source: separator, quote and escape are
+# Unicode noncharacters, which text does not hold. That source is used because
+# it skips the first non-blank line of every file, which the text source cannot.
+_WHOLE_LINE = {
+    "sep": chr(0xFDD1) + chr(0xFDD2) + chr(0xFDD1),
+    "quote": chr(0xFDD3),
+    "escape": chr(0xFDD4),
+    "lineSep": "\n",
+    "enforceSchema": "true",
+}
 
 
 def _as_list(paths: str | list[str]) -> list[str]:

@@ -83,6 +83,13 @@ def test_cell_kinds(spark):
     assert wrong == []
 
 
+def test_null_tokens_of_the_caller(spark):
+    df = spark.createDataFrame([("-999",), ("NA",), ("2024-01-01",), ("",)], "cell string")
+    masks = df.select(cell_mask(F.col("cell"), ("-999", "2024-01-01", "")).alias("m")).collect()
+    assert [r.m for r in masks] == [0, 32, 0, 0]
+    assert [r.m for r in df.select(cell_mask(F.col("cell"), ()).alias("m")).collect()] == [2, 32, 8, 32]
+
+
 def split_by_rule(line: str, delimiter: str) -> list[str]:
     """Brute force: walk the characters."""
     cells, cell, quoted = [], "", False
