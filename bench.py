@@ -16,6 +16,7 @@ HEADLINE = (
     "scan_row_counts",
     "profile_lineitem",
     "profile_documents",
+    "profile_from_footers",
     "profile_partial_merge",
     "profile_exact_distinct",
     "quality_all_rules",

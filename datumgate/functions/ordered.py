@@ -3,11 +3,14 @@
 A plain window puts all rows of a group into one task. Here a group is cut into
 chunks of consecutive order values, the window runs per (group, chunk), and one
 row per chunk carries what crosses a border. A group that holds a third of all
-rows is thus spread like any other.
+rows is thus spread like any other. The chunk rows are folded before they are
+shuffled and joined back on (group, chunk), a key no chunk can overfill.
 """
 
 from __future__ import annotations
 
+from typing import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,44 +20,50 @@ CHUNK = 100_000
 _CHUNK = "__chunk"
 
 
-def _chunked(df: DataFrame, order: str, width: int) -> DataFrame:
-    return df.withColumn(_CHUNK, F.floor(F.col(order) / F.lit(width)))
-
-
-def lag_in_group(df: DataFrame, key: str, order: str, lags: dict[str, str], *, width: int = CHUNK) -> DataFrame:
-    """Add ``lags[new] = column`` as the column's value one row earlier in its group.
+def with_history(
+    df: DataFrame,
+    key: str,
+    order: str,
+    previous: Sequence[str],
+    amount: Column,
+    *,
+    width: int = CHUNK,
+) -> DataFrame:
+    """Add what came earlier in each row's group.
 
-    ``order`` is an integer column, unique within a group.
+    ``previous`` is a struct of the named columns of the row before (null for a
+    first row), ``before`` the sum of ``amount`` over all earlier rows and
+    ``total`` its sum over the group. ``order`` is an integer column, unique
+    within a group.
     """
-    names = list(lags)
-    rows = _chunked(df, order, width)
+    rows = df.withColumns(
+        {
+            _CHUNK: F.floor(F.col(order) / F.lit(width)),
+            "__amount": amount.cast("bigint"),
+            "__held": F.struct(*previous),
+        }
+    )
     inner = Window.partitionBy(key, _CHUNK).orderBy(order)
-    held = F.struct(*[F.col(lags[n]).alias(n) for n in names])
-    inside = rows.withColumn("__before", F.lag(held).over(inner)).withColumn(
-        "__first", F.row_number().over(inner) == 1
+    inside = rows.withColumns(
+        {
+            "__previous": F.lag("__held").over(inner),
+            "__before": F.sum("__amount").over(inner.rowsBetween(Window.unboundedPreceding, -1)),
+        }
+    )
+    folded = rows.groupBy(key, _CHUNK).agg(
+        F.max_by("__held", order).alias("__last"), F.sum("__amount").alias("__sum")
     )
-    last = rows.groupBy(key, _CHUNK).agg(F.max_by(held, F.col(order)).alias("__last"))
     across = Window.partitionBy(key).orderBy(_CHUNK)
-    border = last.select(key, _CHUNK, F.lag("__last").over(across).alias("__border")).where("__border is not null")
-    joined = inside.join(border, [key, _CHUNK], "left")
-    before = F.when(F.col("__first"), F.col("__border")).otherwise(F.col("__before"))
-    return joined.select(*df.columns, *[before[n].alias(n) for n in names])
-
-
-def running_total(
-    df: DataFrame, key: str, order: str, amount: Column, before: str, total: str, *, width: int = CHUNK
-) -> DataFrame:
-    """Add the sum of ``amount`` over earlier rows of the group, and over the whole group."""
-    rows = _chunked(df.withColumn("__amount", amount.cast("bigint")), order, width)
-    inner = Window.partitionBy(key, _CHUNK).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    inside = rows.withColumn("__inside", F.coalesce(F.sum("__amount").over(inner), F.lit(0)))
-    sums = rows.groupBy(key, _CHUNK).agg(F.sum("__amount").alias("__sum"))
-    earlier = Window.partitionBy(key).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    border = sums.select(
+    border = folded.select(
         key,
         _CHUNK,
-        F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__offset"),
-        F.sum("__sum").over(Window.partitionBy(key)).alias(total),
+        F.lag("__last").over(across).alias("__border"),
+        F.coalesce(F.sum("__sum").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__offset"),
+        F.sum("__sum").over(Window.partitionBy(key)).alias("total"),
+    )
+    return inside.join(border, [key, _CHUNK]).select(
+        *df.columns,
+        F.coalesce("__previous", "__border").alias("previous"),
+        (F.coalesce("__before", F.lit(0)) + F.col("__offset")).alias("before"),
+        "total",
     )
-    joined = inside.join(border, [key, _CHUNK])
-    return joined.select(*df.columns, (F.col("__inside") + F.col("__offset")).alias(before), F.col(total))

@@ -120,7 +120,7 @@ def null_percentage(nulls: Column, total: Column) -> Column:
     return F.when(total > 0, nulls.cast("double") / total.cast("double") * 100.0).otherwise(F.lit(0.0))
 
 
-def _with_percentage(states: DataFrame) -> DataFrame:
+def with_percentage(states: DataFrame) -> DataFrame:
     columns = states.columns
     at = columns.index("null_count") + 1
     pct = null_percentage(F.col("null_count"), F.col("total_count")).alias("null_percentage")
@@ -166,12 +166,12 @@ def profile_columns(df: DataFrame, *, extended: bool = False, approx_distinct: f
     order); ``extended`` adds booleans, dates and timestamps. ``approx_distinct``
     is the relative standard deviation of the distinct sketch.
     """
-    return _with_percentage(column_states(df, extended=extended, rsd=approx_distinct))
+    return with_percentage(column_states(df, extended=extended, rsd=approx_distinct))
 
 
 def profile_with_summary(df: DataFrame, **options) -> DataFrame:
     """The profile plus one row (null column name) that carries the row count."""
-    return _with_percentage(column_states(df, summary=True, **options))
+    return with_percentage(column_states(df, summary=True, **options))
 
 
 def merge_states(states: DataFrame) -> DataFrame:
@@ -188,7 +188,7 @@ def merge_states(states: DataFrame) -> DataFrame:
     )
     merged = folded.withColumn("distinct_count_approx", F.lit(None).cast("bigint"))
     order = [c for c in states.columns if c in merged.columns]
-    return _with_percentage(merged.select(*order))
+    return with_percentage(merged.select(*order))
 
 
 def exact_distinct(df: DataFrame) -> DataFrame:

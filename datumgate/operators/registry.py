@@ -13,12 +13,12 @@ sequence numbers.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import DatasetNotFound
 from ..functions.hashing import identifier
-from ..functions.ordered import CHUNK, lag_in_group, running_total
+from ..functions.ordered import CHUNK, with_history
 from ..model import PIPELINE_VERSION
 from .identity import version_id
 
@@ -33,19 +33,42 @@ LOG_SCHEMA = """
 _CARRIED = ("name", "path", "format", "fingerprint", "row_count", "byte_size", "version_id", "schema_json")
 
 
-def resolve(log: DataFrame, namespace: str, *, width: int = CHUNK) -> DataFrame:
-    """Add ``dataset_id``, ``version_id`` and ``is_open`` to raw events.
+def _is_removal() -> Column:
+    return F.col("op") == REMOVE
 
-    Raw events are ``(seq, op, name, fingerprint, schema_json, ...)``; ``is_open``
-    tells whether the dataset the event belongs to is still registered.
+
+def _after_registration(value: Column) -> Column:
+    """A value of the event before, if that event registered the same dataset."""
+    return F.when(F.col("previous.op") == REGISTER, value)
+
+
+def resolve(raw: DataFrame, namespace: str, *, width: int = CHUNK) -> DataFrame:
+    """Raw events ``(seq, op, name, fingerprint, schema_json, ...)`` as resolved ones.
+
+    Adds ``dataset_id``, ``version_id``, the parent's ``parent_version_id`` and
+    ``parent_schema_json``, and ``is_open``: whether the dataset the event
+    belongs to is still registered.
     """
-    removed = F.col("op") == REMOVE
-    counted = running_total(log, "name", "seq", removed, "__generation", "__removals", width=width)
-    return counted.select(
+    seen = with_history(raw, "name", "seq", ["op", "fingerprint", "schema_json"], _is_removal(), width=width)
+    parent = version_id(F.col("previous.fingerprint"), F.col("previous.schema_json"))
+    return seen.select(
+        *raw.columns,
+        identifier(F.lit(namespace), F.col("before"), F.col("name")).alias("dataset_id"),
+        F.when(~_is_removal(), version_id(F.col("fingerprint"), F.col("schema_json"))).alias("version_id"),
+        _after_registration(parent).alias("parent_version_id"),
+        _after_registration(F.col("previous.schema_json")).alias("parent_schema_json"),
+        (F.col("before") == F.col("total")).alias("is_open"),
+    )
+
+
+def resolve_stored(log: DataFrame, *, width: int = CHUNK) -> DataFrame:
+    """Events of a written log, which hold their identifiers, as resolved ones."""
+    seen = with_history(log, "dataset_id", "seq", ["op", "version_id", "schema_json"], _is_removal(), width=width)
+    return seen.select(
         *log.columns,
-        identifier(F.lit(namespace), F.col("__generation"), F.col("name")).alias("dataset_id"),
-        F.when(~removed, version_id(F.col("fingerprint"), F.col("schema_json"))).alias("version_id"),
-        (F.col("__generation") == F.col("__removals")).alias("is_open"),
+        _after_registration(F.col("previous.version_id")).alias("parent_version_id"),
+        _after_registration(F.col("previous.schema_json")).alias("parent_schema_json"),
+        (F.col("total") == 0).alias("is_open"),
     )
 
 
@@ -73,18 +96,13 @@ def current(log: DataFrame) -> DataFrame:
     )
 
 
-def versions(log: DataFrame, *, width: int = CHUNK) -> DataFrame:
-    """Version history of the datasets in a resolved log, with each parent version.
+def versions(resolved: DataFrame) -> DataFrame:
+    """Version history of the datasets still registered, with each parent version.
 
     ``changed`` compares with the parent version, ``schema_changed`` with the
     parent's schema; both are false for a first version.
     """
-    kept = log.where((F.col("op") == REGISTER) & F.col("is_open")).select(
-        "dataset_id", "seq", "version_id", "schema_json", "at"
-    )
-    lags = {"parent_version_id": "version_id", "__schema": "schema_json"}
-    before = lag_in_group(kept, "dataset_id", "seq", lags, width=width)
-    return before.select(
+    return resolved.where((F.col("op") == REGISTER) & F.col("is_open")).select(
         "dataset_id",
         "seq",
         "version_id",
@@ -92,14 +110,14 @@ def versions(log: DataFrame, *, width: int = CHUNK) -> DataFrame:
         "schema_json",
         "at",
         F.coalesce(F.col("version_id") != F.col("parent_version_id"), F.lit(False)).alias("changed"),
-        F.coalesce(F.col("schema_json") != F.col("__schema"), F.lit(False)).alias("schema_changed"),
-        F.col("__schema").alias("parent_schema_json"),
+        F.coalesce(F.col("schema_json") != F.col("parent_schema_json"), F.lit(False)).alias("schema_changed"),
+        "parent_schema_json",
     )
 
 
-def schema_drift(log: DataFrame, *, width: int = CHUNK) -> DataFrame:
+def schema_drift(resolved: DataFrame) -> DataFrame:
     """Versions whose schema differs from the version before."""
-    drifted = versions(log, width=width).where("schema_changed")
+    drifted = versions(resolved).where("schema_changed")
     return drifted.select("dataset_id", "seq", "version_id", "parent_version_id", "parent_schema_json", "schema_json")
 
 
@@ -121,12 +139,8 @@ class Registry:
             return self.spark.createDataFrame([], LOG_SCHEMA)
 
     def events(self) -> DataFrame:
-        """All events, with ``is_open``. Written identifiers already say which
-        dataset an event belongs to, so removed ones are an aggregate away."""
-        log = self.log()
-        removed = log.where(F.col("op") == REMOVE).select("dataset_id").distinct()
-        marked = log.join(removed.withColumn("__gone", F.lit(True)), "dataset_id", "left")
-        return marked.select(*log.columns, F.col("__gone").isNull().alias("is_open"))
+        """All events, with parents and ``is_open``."""
+        return resolve_stored(self.log())
 
     def _next_seq(self) -> int:
         [row] = self.log().agg(F.max("seq").alias("seq")).collect()
@@ -179,8 +193,8 @@ class Registry:
         return current(self.log()).orderBy("name")
 
     def versions(self, dataset_id: str) -> DataFrame:
-        mine = self.log().where(F.col("dataset_id") == dataset_id).withColumn("is_open", F.lit(True))
-        return versions(mine).orderBy("seq")
+        mine = self.log().where(F.col("dataset_id") == dataset_id)
+        return versions(resolve_stored(mine)).orderBy("seq")
 
     def remove(self, dataset_id: str) -> DataFrame:
         """Append a removal; returns the dataset as it was."""

@@ -35,6 +35,7 @@ from ..operators.identity import (
 )
 from ..operators.infer import column_masks, infer_masks, load_lines, schema_of
 from ..operators.ingest import ingest
+from ..operators.parquet_footers import profile_parquet, quality_violations_parquet
 from ..operators.profile import column_states, exact_distinct, merge_states, profile_columns
 from ..operators.quality import quality_violations
 from ..operators.registry import REGISTER, REMOVE, Registry, current, resolve, schema_drift, versions
@@ -74,13 +75,21 @@ def scan_row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sample_limit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts under a sample limit, and the rows a limited scan delivers."""
     frames = []
     for name in ("lineitem", "events", "region"):
         path = path_of(sf_dir, name)
-        read = scan(spark, path, sample_limit=SAMPLE).agg(F.count(F.lit(1)).alias("rows_read"))
         counted = row_count(table(spark, sf_dir, name), SAMPLE)
-        both = counted.withColumn("k", F.lit(name)).join(read.withColumn("k", F.lit(name)), "k")
-        frames.append(both.withColumnRenamed("k", "table_name"))
+        frames.append(counted.select(F.lit(name).alias("table_name"), F.lit("counted").alias("way"), "*"))
+        read = scan(spark, path, sample_limit=SAMPLE).agg(F.count(F.lit(1)).alias("row_count"))
+        frames.append(
+            read.select(
+                F.lit(name).alias("table_name"),
+                F.lit("read").alias("way"),
+                "row_count",
+                F.lit(None).cast("boolean").alias("row_count_is_sampled"),
+            )
+        )
     return _union(frames)
 
 
@@ -196,12 +205,17 @@ def profile_exact_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_distinct(table(spark, sf_dir, "lineitem"))
 
 
+def profile_from_footers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile_parquet(spark, path_of(sf_dir, "lineitem"))
+
+
 # Quality rules
 
 MIN_ROWS_RULES = (MinRowCount(1), MinRowCount(10**9), MinRowCount(500))
 NULL_RULES = (MaxNullPercentage("quality", 15.0), MaxNullPercentage("toxic", 75.5), MaxNullPercentage("text", 0.0))
 NON_EMPTY_RULES = (NonEmptyColumn("nothing"), NonEmptyColumn("quality"), NonEmptyColumn("text"))
 UNKNOWN_RULES = (NonEmptyColumn("absent"), MaxNullPercentage("missing", 0.0), MaxNullPercentage("quality", 1.25))
+ALL_RULES = MIN_ROWS_RULES + NULL_RULES + NON_EMPTY_RULES + UNKNOWN_RULES
 
 
 def quality_rules(rules: tuple, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,6 +223,13 @@ def quality_rules(rules: tuple, spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_violations(df, rules)
 
 
+def quality_from_footers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rules on a written dataset; its data pages are not read again."""
+    folder = scratch_dir(spark, "labelled")
+    labelled(spark, sf_dir).withColumn("nothing", F.expr("nullif(quality, quality)")).write.parquet(folder)
+    return quality_violations_parquet(spark, folder, ALL_RULES)
+
+
 # Delimited text
 
 
@@ -400,7 +421,7 @@ def registry_current(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return versions(resolve(raw_events(spark, sf_dir), NAMESPACE, width=CHUNK), width=CHUNK)
+    return versions(resolve(raw_events(spark, sf_dir), NAMESPACE, width=CHUNK))
 
 
 def registry_version_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -409,11 +430,11 @@ def registry_version_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry_schema_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return schema_drift(resolve(raw_events(spark, sf_dir), NAMESPACE, width=CHUNK), width=CHUNK)
+    return schema_drift(resolve(raw_events(spark, sf_dir), NAMESPACE, width=CHUNK))
 
 
 def registry_hot_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return versions(resolve(hot_events(spark, sf_dir), NAMESPACE, width=CHUNK), width=CHUNK)
+    return versions(resolve(hot_events(spark, sf_dir), NAMESPACE, width=CHUNK))
 
 
 def registry_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -558,15 +579,15 @@ def all_queries() -> dict[str, Query]:
         profile_partial_merge,
         profile_approx_distinct,
         profile_exact_distinct,
+        profile_from_footers,
     ):
         found[query.__name__] = query
     found["quality_min_rows"] = partial(quality_rules, MIN_ROWS_RULES)
     found["quality_max_null_pct"] = partial(quality_rules, NULL_RULES)
     found["quality_non_empty"] = partial(quality_rules, NON_EMPTY_RULES)
     found["quality_unknown_column"] = partial(quality_rules, UNKNOWN_RULES)
-    found["quality_all_rules"] = partial(
-        quality_rules, MIN_ROWS_RULES + NULL_RULES + NON_EMPTY_RULES + UNKNOWN_RULES
-    )
+    found["quality_all_rules"] = partial(quality_rules, ALL_RULES)
+    found["quality_from_footers"] = quality_from_footers
     found["csv_split_cells"] = csv_split_cells
     found["csv_cell_masks"] = csv_cell_masks
     for name in ("customer", "orders", "lineitem", "events", "part"):

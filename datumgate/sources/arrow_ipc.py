@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
 import json
-import os
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -11,6 +11,7 @@ from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -18,7 +19,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..errors import CorruptedBatch, UnsupportedDataType
 from ..functions.types import arrow_canonical, unsupported_message
 from ..operators.contract import require_canonical
-from .files import list_files, open_file
+from .files import filesystem_of, list_files, open_file
 from .footers import ipc_batches, open_ipc
 
 # Bytes one input partition aims for, and the cost of opening a further file.
@@ -87,6 +88,10 @@ class ArrowIpcReader(DataSourceReader):
         self.files = json.loads(options["files"])
         self.partition_bytes = int(options.get("partitionBytes", PARTITION_BYTES))
 
+    def __getstate__(self) -> dict:
+        # Tasks get their own span; the list of all files stays with the planner.
+        return {k: v for k, v in self.__dict__.items() if k != "files"}
+
     def partitions(self) -> list[InputPartition]:
         """Large files split by record batch, small files share a partition."""
         large = [(u, n) for u, n in self.files if n > self.partition_bytes]
@@ -201,29 +206,29 @@ def deserialize(buffers: DataFrame, schema: T.StructType, column: str = "ipc") -
 def write_ipc(df: DataFrame, folder: str, layout: str = "file") -> list[str]:
     """Write one IPC file per partition; returns the paths of the files that count.
 
-    Every task attempt writes a name of its own, and only the attempts Spark
-    accepts report theirs, so a task that ran twice leaves no double rows.
+    Every task attempt writes a name of its own and reports it with its rows.
+    Files of attempts that Spark did not accept are deleted at the end, so a
+    task that ran twice leaves no double rows.
     """
     require_canonical(df.schema)
     new_writer = pa.ipc.new_file if layout == "file" else pa.ipc.new_stream
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        path, writer, stream = os.path.join(folder, f"part-{uuid.uuid4().hex}.arrow"), None, None
-        for batch in batches:
-            if writer is None:
-                if ":" in folder:
-                    filesystem, target = fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
-                else:
-                    filesystem, target = fs.LocalFileSystem(), path
-                filesystem.create_dir(os.path.dirname(target), recursive=True)
-                stream = filesystem.open_output_stream(target)
-                writer = new_writer(stream, batch.schema)
-            writer.write_batch(batch)
-        if writer is not None:
-            writer.close()
-            stream.close()
-            yield pa.RecordBatch.from_arrays([pa.array([path], pa.string())], names=["path"])
-
-    return [r.path for r in df.mapInArrow(write, "path string").collect()]
+        first = next(batches, None)
+        if first is None:
+            return
+        uri = f"{folder}/part-{uuid.uuid4().hex}.arrow"
+        filesystem, path = filesystem_of(uri)
+        filesystem.create_dir(path.rsplit("/", 1)[0], recursive=True)
+        with filesystem.open_output_stream(path) as sink, new_writer(sink, first.schema) as writer:
+            for batch in itertools.chain([first], batches):
+                writer.write_batch(batch)
+        yield pa.RecordBatch.from_arrays([pa.array([uri], pa.string())], names=["path"])
+
+    accepted = [r.path for r in df.mapInArrow(write, "path string").collect()]
+    filesystem, root = filesystem_of(folder)
+    names = {uri.rsplit("/", 1)[1] for uri in accepted}
+    for info in filesystem.get_file_info(pa.fs.FileSelector(root, allow_not_found=True)):
+        if info.base_name not in names:
+            filesystem.delete_file(info.path)
+    return accepted

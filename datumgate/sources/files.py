@@ -13,15 +13,19 @@ from ..errors import SourceIoError
 from ..model import EXTENSIONS, MAGIC
 
 
-def open_file(uri: str) -> pa.NativeFile:
-    """Random-access file behind a path as Spark prints it. Runs inside tasks."""
+def filesystem_of(uri: str):
+    """File system and path behind a path as Spark prints it. Runs inside tasks."""
     from pyarrow import fs
 
     scheme, colon, rest = uri.partition(":")
     if not colon or scheme == "file":
-        local = "/" + rest.lstrip("/") if colon else uri
-        return fs.LocalFileSystem().open_input_file(local)
-    filesystem, path = fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/") if colon else uri
+    return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
+
+
+def open_file(uri: str) -> pa.NativeFile:
+    """Random-access file. Runs inside tasks."""
+    filesystem, path = filesystem_of(uri)
     return filesystem.open_input_file(path)
 
 

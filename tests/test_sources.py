@@ -189,7 +189,7 @@ def test_serialize_round_trip_keeps_content(spark, tmp_path):
 def test_written_files_are_read_back(spark, tmp_path):
     df = spark.range(100).withColumn("t", F.lit("x")).repartition(3)
     for layout in ("file", "stream"):
-        files = write_ipc(df, str(tmp_path / layout), layout)
+        files = write_ipc(df, f"file:{tmp_path}/{layout}", layout)
         assert len(files) == 3 and read_ipc(spark, files).exceptAll(df).count() == 0
 
 
