@@ -40,7 +40,15 @@ _CUT = chr(0xFDD0)
 
 
 def trim(text: Column) -> Column:
-    return F.trim(text, F.lit(WHITE_SPACE))
+    """Without white space at both ends.
+
+    A look at the ends settles most texts; those with characters beyond ASCII
+    are always trimmed.
+    """
+    spaced = (text < "!") | (F.octet_length(text) != F.length(text))
+    for blank in ASCII_SPACE:
+        spaced |= F.endswith(text, F.lit(blank))
+    return F.when(spaced, F.trim(text, F.lit(WHITE_SPACE))).otherwise(text)
 
 
 def is_blank(text: Column) -> Column:
@@ -48,40 +56,20 @@ def is_blank(text: Column) -> Column:
 
 
 def split_cells(line: Column, delimiter: str) -> Column:
-    """Trimmed cells of one line.
+    """Cells of one line, not yet trimmed.
 
     A quote switches quoting on or off and is dropped; the delimiter separates
     cells only outside quotes. Most lines have no quote and take the plain
     split; the others are cut at their quotes, where every second piece is
-    quoted text. Cells are trimmed only in lines that may have white space next
-    to a cell border.
+    quoted text.
     """
-    cut = re.escape(delimiter)
-    plain = F.split(line, cut, -1)
+    plain = F.split(line, re.escape(delimiter), -1)
     marked = F.transform(
         F.split(line, '"', -1),
         lambda piece, i: F.when(i % 2 == 0, F.replace(piece, F.lit(delimiter), F.lit(_CUT))).otherwise(piece),
     )
     quoted = F.split(F.array_join(marked, ""), _CUT, -1)
-    cells = F.when(F.contains(line, F.lit('"')), quoted).otherwise(plain)
-    return F.when(_has_border_space(line, delimiter), F.transform(cells, trim)).otherwise(cells)
-
-
-def _has_border_space(line: Column, delimiter: str) -> Column:
-    """Whether white space may stand next to a delimiter, a quote or a line end.
-
-    Plain byte searches settle lines of ASCII text; lines with other characters
-    are always trimmed.
-    """
-    found = F.octet_length(line) != F.length(line)
-    for blank in ASCII_SPACE:
-        if blank in "\t ":
-            found |= F.startswith(line, F.lit(blank)) | F.endswith(line, F.lit(blank))
-            for edge in {delimiter, '"'} - {blank}:
-                found |= F.contains(line, F.lit(blank + edge)) | F.contains(line, F.lit(edge + blank))
-        else:
-            found |= F.contains(line, F.lit(blank))
-    return found
+    return F.when(F.contains(line, F.lit('"')), quoted).otherwise(plain)
 
 
 def cell_mask(cell: Column, null_values: Sequence[str]) -> Column:
@@ -92,19 +80,23 @@ def cell_mask(cell: Column, null_values: Sequence[str]) -> Column:
     dash after four characters can be dates. A cast is tried only on cells whose
     pattern fits, as a failing one costs far more than a pattern.
     """
+    size = F.octet_length(cell)
     date = cell.rlike(DATE_PATTERN) & cell.try_cast("date").isNotNull()
     local_time = cell.rlike(LOCAL_TIME_PATTERN) & cell.try_cast("timestamp_ntz").isNotNull()
     offset_time = cell.rlike(OFFSET_TIME_PATTERN) & _local_part(cell).isNotNull()
     real = cell.rlike(FLOAT_PATTERN)
     dashed = (
-        F.when(date, F.lit(DATE))
-        .when(local_time | offset_time, F.lit(TIMESTAMP))
+        F.when((size <= 10) & date, F.lit(DATE))
+        .when((size > 10) & (local_time | offset_time), F.lit(TIMESTAMP))
         .when(real, F.lit(FLOAT64))
         .otherwise(F.lit(TEXT))
     )
+    # A number without point and exponent is an integer if it fits 64 bits.
+    digits = ~(F.contains(cell, F.lit(".")) | F.contains(cell, F.lit("e")) | F.contains(cell, F.lit("E")))
+    whole = digits & cell.try_cast("bigint").isNotNull()
     number = (
-        F.when(cell.rlike(INT_PATTERN) & cell.try_cast("bigint").isNotNull(), F.lit(INT64))
-        .when(real | cell.rlike(SIGNED_WORD_PATTERN), F.lit(FLOAT64))
+        F.when(real, F.when(whole, F.lit(INT64)).otherwise(F.lit(FLOAT64)))
+        .when(cell.rlike(SIGNED_WORD_PATTERN), F.lit(FLOAT64))
         .otherwise(F.lit(TEXT))
     )
     word = F.lower(cell)

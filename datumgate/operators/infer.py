@@ -4,50 +4,33 @@ from __future__ import annotations
 
 from typing import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.cells import NULL_CELL, TYPES, cell_mask, split_cells, type_of_mask, typed_cell
+from ..functions.cells import NULL_CELL, TYPES, cell_mask, split_cells, trim, type_of_mask, typed_cell
 from ..model import CsvOptions
 from ..sources.delimited import first_lines, header_cells, read_lines
 
-# Up to this many columns one aggregate holds a mask per position; beyond it
-# the generated code would not compile and cells are exploded instead.
-WIDE = 200
-
-
-def _cells(lines: DataFrame, delimiter: str) -> DataFrame:
-    return lines.select(split_cells(F.col("line"), delimiter).alias("cells"))
-
 
 def column_masks(lines: DataFrame, names: Sequence[str], options: CsvOptions = CsvOptions()) -> DataFrame:
     """``(position, column, mask, data_type)`` for data lines in column ``line``.
 
-    The merge of cell kinds is a bitwise OR, so every task sends one row.
+    The merge of cell kinds is a bitwise OR: every task sends one row per column.
     Missing cells add nothing and surplus cells are not looked at.
     """
-    kinds = F.transform("cells", lambda cell: cell_mask(cell, options.null_values))
-    masks = _cells(lines, options.delimiter).select(kinds.alias("masks"))
-    if len(names) <= WIDE:
-        merged = masks.agg(*[F.bit_or(F.get("masks", F.lit(i))).alias(f"mask_{i}") for i in range(len(names))])
-        rows = [
-            F.struct(
-                F.lit(i).alias("position"),
-                F.lit(name).alias("column"),
-                F.coalesce(F.col(f"mask_{i}"), F.lit(NULL_CELL)).alias("mask"),
-            )
-            for i, name in enumerate(names)
-        ]
-        found = merged.select(F.inline(F.array(*rows)))
-    else:
-        spread = masks.select(F.posexplode("masks").alias("position", "mask")).where(F.col("position") < len(names))
-        merged = spread.groupBy("position").agg(F.bit_or("mask").alias("mask"))
-        listed = lines.sparkSession.createDataFrame(list(enumerate(names)), "position int, column string")
-        found = listed.join(merged, "position", "left").select(
-            "position", "column", F.coalesce("mask", F.lit(NULL_CELL)).alias("mask")
-        )
-    return found.withColumn("data_type", type_of_mask(F.col("mask")))
+    # A line always has a cell; the outer form spares a filter that splits it again.
+    cells = lines.select(F.posexplode_outer(split_cells(F.col("line"), options.delimiter)).alias("position", "raw"))
+    trimmed = cells.where(F.col("position") < len(names)).select("position", trim(F.col("raw")).alias("cell"))
+    kinds = trimmed.select("position", cell_mask(F.col("cell"), options.null_values).alias("mask"))
+    merged = kinds.groupBy("position").agg(F.bit_or("mask").alias("mask"))
+    columns = {"position": pa.array(range(len(names)), pa.int32()), "column": pa.array(names, pa.string())}
+    listed = lines.sparkSession.createDataFrame(pa.table(columns))
+    # One row per column at most, so the broadcast is bounded by the header.
+    found = listed.join(F.broadcast(merged), "position", "left")
+    mask = F.coalesce("mask", F.lit(NULL_CELL)).alias("mask")
+    return found.select("position", "column", mask).withColumn("data_type", type_of_mask(F.col("mask")))
 
 
 def schema_of(masks: DataFrame) -> T.StructType:
@@ -73,11 +56,14 @@ def infer_schema(spark: SparkSession, paths: str | list[str], options: CsvOption
 
 def load_lines(lines: DataFrame, schema: T.StructType, options: CsvOptions = CsvOptions()) -> DataFrame:
     """Typed rows from data lines."""
-    typed = [
-        typed_cell(f"get(cells, {i})", field.dataType, options.null_values).alias(field.name)
-        for i, field in enumerate(schema.fields)
-    ]
-    return _cells(lines, options.delimiter).select(*typed)
+    cells = lines.select(split_cells(F.col("line"), options.delimiter).alias("cells"))
+    trimmed = cells.select(*[trim(F.get("cells", F.lit(i))).alias(f"cell_{i}") for i in range(len(schema.fields))])
+    return trimmed.select(
+        *[
+            typed_cell(f"cell_{i}", field.dataType, options.null_values).alias(field.name)
+            for i, field in enumerate(schema.fields)
+        ]
+    )
 
 
 def load_delimited(

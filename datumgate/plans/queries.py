@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.cells import cell_mask, split_cells
+from ..functions.cells import cell_mask, split_cells, trim
 from ..functions.columns import ref
 from ..functions.types import canonical_name
 from ..model import (
@@ -247,10 +247,12 @@ def csv_split_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("pages").alias("table_name"), F.col("page_id").alias("id"), F.col("html").alias("body")
     )
     lines = documents.unionByName(pages).select(
-        "table_name", "id", F.posexplode(F.split("body", "\n", -1)).alias("line_no", "line")
+        "table_name", "id", F.posexplode_outer(F.split("body", "\n", -1)).alias("line_no", "line")
+    )
+    cells = F.posexplode_outer(split_cells(F.col("line"), ",")).alias("pos", "raw")
+    return lines.select("table_name", "id", "line_no", cells).select(
+        "table_name", "id", "line_no", "pos", trim(F.col("raw")).alias("cell")
     )
-    cells = lines.select("table_name", "id", "line_no", F.posexplode(split_cells(F.col("line"), ",")).alias("pos", "cell"))
-    return cells
 
 
 def lineitem_cells() -> list[Column]:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import InvalidFormat
-from ..functions.cells import is_blank, split_cells
+from ..functions.cells import is_blank, split_cells, trim
 
 # Reading whole lines through the CSV source: separator, quote and escape are
 # Unicode noncharacters, which text does not hold. That source is used because
@@ -76,7 +76,7 @@ def header_cells(spark: SparkSession, paths: str | list[str], delimiter: str, ha
     dataset share the header of the first, as with Spark's own CSV reader.
     """
     first = spark.read.option("lineSep", "\n").text(_as_list(paths)).where(~is_blank(F.col("value")))
-    rows = first.select(split_cells(F.col("value"), delimiter).alias("cells")).limit(1).collect()
+    rows = first.select(F.transform(split_cells(F.col("value"), delimiter), trim).alias("cells")).limit(1).collect()
     if not rows:
         raise InvalidFormat("No lines to infer a schema from")
     return list(rows[0].cells) if has_header else numbered(len(rows[0].cells))

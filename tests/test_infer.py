@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from datumgate.errors import InvalidFormat
-from datumgate.functions.cells import cell_mask, split_cells, typed_cell
+from datumgate.functions.cells import cell_mask, split_cells, trim, typed_cell
 from datumgate.model import NULL_TOKENS, CsvOptions
 from datumgate.operators.infer import column_masks, infer_masks, infer_schema, load_delimited
 from datumgate.sources.delimited import first_lines, read_lines
@@ -113,7 +113,7 @@ LINES = [
 def test_split_equals_brute_force(spark, delimiter):
     lines = [line.replace(",", delimiter) if delimiter != "|" else line for line in LINES]
     df = spark.createDataFrame([(line,) for line in lines], "line string")
-    got = df.select("line", split_cells(F.col("line"), delimiter).alias("cells")).collect()
+    got = df.select("line", F.transform(split_cells(F.col("line"), delimiter), trim).alias("cells")).collect()
     assert [(r.line, r.cells) for r in got] == [(line, split_by_rule(line, delimiter)) for line in lines]
 
 
