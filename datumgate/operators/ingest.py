@@ -161,7 +161,7 @@ def _facts(spark: SparkSession, accepted: list[tuple], results: dict) -> None:
 
 def _delimited_facts(spark: SparkSession, path: str, result: dict) -> None:
     """Delimited text states no schema: it is inferred, one distributed job per source."""
-    options = csv_options(path, None)
+    options = csv_options(spark, path)
     try:
         schema = infer_schema(spark, path, options)
         [row] = read_lines(spark, path, skip_header=options.has_header).agg(F.count(F.lit(1)).alias("n")).collect()

@@ -13,7 +13,7 @@ from typing import Sequence
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +36,15 @@ UNBOUNDED = (T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 SCANNED = (T.FloatType, T.DoubleType, T.StringType)
 
 
+def _aggregates(fields: Sequence[T.StructField], bounds: bool) -> list[Column]:
+    aggregates = ["count(*) AS rows"]
+    for i, field in enumerate(fields):
+        aggregates.append(f"count({quoted(field.name)}) AS present_{i}")
+        if bounds and isinstance(field.dataType, INTEGERS):
+            aggregates += [f"{side}({quoted(field.name)}) AS {side}_{i}" for side in ("min", "max")]
+    return [F.expr(a) for a in aggregates]
+
+
 def footer_query(spark: SparkSession, path: str, fields: Sequence[T.StructField], bounds: bool) -> DataFrame:
     """Row count, counts per field and integer bounds as one row.
 
@@ -44,27 +53,25 @@ def footer_query(spark: SparkSession, path: str, fields: Sequence[T.StructField]
     session = spark.newSession()
     for key, value in PUSHDOWN.items():
         session.conf.set(key, value)
-    aggregates = ["count(*) AS rows"]
-    for i, field in enumerate(fields):
-        aggregates.append(f"count({quoted(field.name)}) AS present_{i}")
-        if bounds and isinstance(field.dataType, INTEGERS):
-            aggregates += [f"{side}({quoted(field.name)}) AS {side}_{i}" for side in ("min", "max")]
-    return session.read.parquet(path).agg(*[F.expr(a) for a in aggregates])
+    return session.read.parquet(path).agg(*_aggregates(fields, bounds))
 
 
-def _footer_row(spark: SparkSession, path: str, fields: Sequence[T.StructField], bounds: bool) -> Row | None:
-    """None when a footer lacks statistics, which Spark reports as a failed read."""
+def _counts(df: DataFrame, path: str, fields: Sequence[T.StructField], bounds: bool) -> Row:
+    """The row of ``footer_query``; scanned from ``df`` when a footer lacks statistics.
+
+    Spark reports missing statistics as a failed read.
+    """
     try:
-        [row] = footer_query(spark, path, fields, bounds).collect()
-        return row
+        [row] = footer_query(df.sparkSession, path, fields, bounds).collect()
     except (PySparkException, Py4JJavaError) as failure:
-        if "spark.sql.parquet.aggregatePushdown" in str(failure):
-            return None
-        raise
+        if "spark.sql.parquet.aggregatePushdown" not in str(failure):
+            raise
+        [row] = df.agg(*_aggregates(fields, bounds)).collect()
+    return row
 
 
-def _states(spark: SparkSession, like: DataFrame, row: Row, fields: Sequence[T.StructField], positions: dict) -> DataFrame:
-    """Column states, as ``like`` has them, from one footer row."""
+def _states(like: DataFrame, row: Row, fields: Sequence[T.StructField], positions: dict[str, int]) -> DataFrame:
+    """Column states, with the columns of ``like``, from one row of counts."""
     rows = []
     for i, field in enumerate(fields):
         state = dict.fromkeys(like.columns)
@@ -78,24 +85,23 @@ def _states(spark: SparkSession, like: DataFrame, row: Row, fields: Sequence[T.S
         if f"min_{i}" in row:
             state.update(min_long=row[f"min_{i}"], max_long=row[f"max_{i}"])
         rows.append(tuple(state[c] for c in like.columns))
-    return spark.createDataFrame(rows, like.schema)
+    return like.sparkSession.createDataFrame(rows, like.schema)
 
 
 def profile_parquet(spark: SparkSession, path: str) -> DataFrame:
     """The rows of ``profile_columns``, with what footers hold taken from them.
 
     The footer pass runs at once, the scan of the other columns stays lazy.
-    Without statistics in the footers all columns are scanned.
     """
     df = scan_parquet(spark, path)
     positions = {f.name: i for i, f in enumerate(df.schema.fields)}
     stated = [f for f in df.schema.fields if isinstance(f.dataType, INTEGERS + UNBOUNDED)]
-    row = _footer_row(spark, path, stated, True) if stated else None
-    if row is None:
+    if not stated:
         return profile_columns(df)
+    row = _counts(df, path, stated, True)
     scanned = df.drop(*[f.name for f in stated])
     read = column_states(scanned)
-    states = _states(spark, read, row, stated, positions)
+    states = _states(read, row, stated, positions)
     if scanned.columns:
         place = F.element_at(F.array(*[F.lit(positions[c]) for c in scanned.columns]), F.col("position") + 1)
         states = states.unionByName(read.withColumn("position", place))
@@ -103,22 +109,25 @@ def profile_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def quality_violations_parquet(spark: SparkSession, path: str, rules: Sequence[QualityRule]) -> DataFrame:
-    """Violations of ``rules`` on a Parquet dataset without reading its data.
+    """Violations of ``rules`` on a Parquet dataset, by its footers.
 
-    Only columns of types that footers do not count, and footers without
-    statistics, lead to a scan.
+    Writers leave out the statistics of columns with very long texts, so text
+    columns are asked for apart: they alone are scanned then. Rules on nested
+    columns always lead to a scan.
     """
     df = scan_parquet(spark, path)
     named = {r.column for r in rules if not isinstance(r, MinRowCount)}
     fields = [f for f in df.schema.fields if f.name in named]
     if not all(isinstance(f.dataType, INTEGERS + UNBOUNDED + SCANNED) for f in fields):
         return quality_violations(df, rules)
-    row = _footer_row(spark, path, fields, False)
-    if row is None:
-        return quality_violations(df, rules)
     like = column_states(df.select(*[ref(f.name) for f in fields]), bounds=False, summary=True)
-    states = _states(spark, like, row, fields, {f.name: i for i, f in enumerate(fields)})
+    positions = {f.name: i for i, f in enumerate(fields)}
+    texts = [f for f in fields if isinstance(f.dataType, T.StringType)]
+    others = [f for f in fields if f not in texts]
+    row = _counts(df, path, others, False)
     summary = dict.fromkeys(like.columns)
     summary.update(position=-1, total_count=row["rows"], null_count=0)
-    whole = states.unionByName(spark.createDataFrame([tuple(summary.values())], like.schema))
+    whole = spark.createDataFrame([tuple(summary.values())], like.schema).unionByName(_states(like, row, others, positions))
+    if texts:
+        whole = whole.unionByName(_states(like, _counts(df, path, texts, False), texts, positions))
     return violations_of(with_percentage(whole), rules)

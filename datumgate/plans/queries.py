@@ -289,9 +289,11 @@ def lineitem_cells() -> list[Column]:
 
 
 def csv_cell_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    masks = F.transform(F.array(*lineitem_cells()), lambda cell: cell_mask(cell, NULL_TOKENS))
-    spread = table(spark, sf_dir, "lineitem").select(F.posexplode(masks).alias("spelling", "mask"))
-    return spread.groupBy("spelling", "mask").agg(F.count(F.lit(1)).alias("cells"))
+    cells = table(spark, sf_dir, "lineitem").select(
+        F.posexplode_outer(F.array(*lineitem_cells())).alias("spelling", "cell")
+    )
+    masks = cells.select("spelling", cell_mask(F.col("cell"), NULL_TOKENS).alias("mask"))
+    return masks.groupBy("spelling", "mask").agg(F.count(F.lit(1)).alias("cells"))
 
 
 def csv_infer_table(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,11 +29,12 @@ def detect(spark: SparkSession, path: str) -> str:
     return found[0]
 
 
-def csv_options(path: str, options: CsvOptions | None) -> CsvOptions:
-    """Given options, or the defaults with the delimiter the extension names."""
+def csv_options(spark: SparkSession, path: str, options: CsvOptions | None = None) -> CsvOptions:
+    """Given options, or the defaults with the delimiter that the file names call for."""
     if options is not None:
         return options
-    return CsvOptions(delimiter="\t") if re.search(r"\.tsv$", path, re.IGNORECASE) else CsvOptions()
+    name = first_file(spark, path) or path
+    return CsvOptions(delimiter="\t") if name.lower().endswith(".tsv") else CsvOptions()
 
 
 def scan_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -86,7 +85,7 @@ def scan(
     elif fmt == ARROW_IPC:
         df = read_ipc(spark, full)
     elif fmt == CSV:
-        df = load_delimited(spark, full, csv_options(full, csv))
+        df = load_delimited(spark, full, csv_options(spark, full, csv))
     else:
         raise InvalidFormat(f"Cannot tell the storage format of {path}")
     return df if sample_limit is None else df.limit(sample_limit)

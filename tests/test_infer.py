@@ -131,6 +131,14 @@ def test_tsv_keeps_empty_edge_cells(spark, tmp_path):
     assert rows == [(1, None, None), (None, 2, "x")]
 
 
+def test_folder_of_tsv_files(spark, tmp_path):
+    for i in range(3):
+        write(tmp_path, f"{i}.tsv", f"a\tb\n{i}\t{i}.5\n")
+    df = scan(spark, str(tmp_path))
+    assert df.schema.simpleString() == "struct<a:bigint,b:double>"
+    assert sorted(map(tuple, df.collect())) == [(0, 0.5), (1, 1.5), (2, 2.5)]
+
+
 def test_header_is_the_first_non_blank_line(spark, tmp_path):
     path = write(tmp_path, "a.csv", "\n  \n a , b\n1,2\na,b\n")
     assert [r.line for r in read_lines(spark, path, skip_header=True).collect()] == ["1,2", "a,b"]
