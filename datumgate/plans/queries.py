@@ -42,7 +42,7 @@ from ..operators.registry import REGISTER, REMOVE, Registry, current, resolve, s
 from ..session import configure, scratch_dir
 from ..sources.arrow_ipc import deserialize, read_ipc, serialize, write_ipc
 from ..sources.delimited import join_cells, numbered
-from ..sources.files import detect_formats, file_name, format_by_magic, leading_bytes, list_files
+from ..sources.files import detect_formats, file_name, format_by_magic, leading_bytes, list_files, spread_small
 from ..sources.footers import footer_contract, read_footers
 from ..sources.scan import row_count, scan
 from .tables import TABLES, path_of, table
@@ -233,8 +233,12 @@ def quality_from_footers(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Delimited text
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spread_small(table(spark, sf_dir, name), path_of(sf_dir, name))
+
+
 def table_lines(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = table(spark, sf_dir, name)
+    df = spread_table(spark, sf_dir, name)
     return df.select(join_cells([ref(c) for c in df.columns], ",").alias("line"))
 
 
@@ -329,7 +333,7 @@ def csv_load_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _delimited_copy(spark: SparkSession, sf_dir: str, name: str, sep: str) -> str:
     """The table as delimited files with a header each, in the shared scratch folder."""
     folder = scratch_dir(spark, f"{name}-text")
-    writer = table(spark, sf_dir, name).write.option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
+    writer = spread_table(spark, sf_dir, name).write.option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
     writer.option("header", "true").option("sep", sep).csv(folder)
     return folder
 
@@ -371,7 +375,7 @@ def version_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fingerprint_table(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return content_fingerprint(table(spark, sf_dir, name))
+    return content_fingerprint(spread_table(spark, sf_dir, name))
 
 
 def content_fingerprint_merge(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from datumgate.operators.identity import (
     version_id,
 )
 from datumgate.sources.arrow_ipc import deserialize, read_ipc, serialize, write_ipc
-from datumgate.sources.files import detect_formats, list_files
+from datumgate.sources.files import SMALL_BYTES, detect_formats, list_files, spread_small
 from datumgate.sources.footers import footer_contract
 from datumgate.sources.scan import scan
 
@@ -258,3 +258,13 @@ def test_content_fingerprint_tells_nulls_from_text_and_ignores_the_zone(spark):
         seen.add(content_fingerprint(moments).collect()[0].content_fingerprint)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert len(seen) == 1
+
+
+def test_only_small_datasets_are_spread(spark, tmp_path):
+    path = str(tmp_path / "t.parquet")
+    pq.write_table(COUNTRIES, path)
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    assert spread_small(df, path).rdd.getNumPartitions() == cores
+    (tmp_path / "big").write_bytes(b"0" * (cores * SMALL_BYTES))
+    assert spread_small(df, str(tmp_path)) is df
