@@ -20,6 +20,7 @@ from ..errors import (
     EngineError,
     error_for,
 )
+from ..functions.local import local_frame
 from ..model import CSV, IngestionOptions, IngestionSource
 from ..sources.delimited import read_lines
 from ..sources.files import detect_formats, list_files, qualified
@@ -91,7 +92,7 @@ def inspect_sources(
         _sample(results[i], options)
     columns = [c.split()[0] for c in INSPECTED.split(",")]
     rows = [tuple(results[i].get(c) for c in columns) for i in range(len(sources))]
-    return spark.createDataFrame(rows, INSPECTED)
+    return local_frame(spark, rows, INSPECTED)
 
 
 def _fail(result: dict, code: str, message: str) -> None:
@@ -99,7 +100,7 @@ def _fail(result: dict, code: str, message: str) -> None:
 
 
 def _source_frame(spark: SparkSession, found: list[tuple]) -> DataFrame:
-    return spark.createDataFrame(found, "ord bigint, root string, hint string")
+    return local_frame(spark, found, "ord bigint, root string, hint string")
 
 
 def _sizes(spark: SparkSession, found: list[tuple], results: dict, options: IngestionOptions) -> None:
@@ -212,7 +213,7 @@ def ingest(
     inspected = inspect_sources(spark, sources, options)
     if options.strict_schema:
         # Fixed before the log grows: one row per source the caller listed.
-        inspected = spark.createDataFrame(_refuse_drift(registry, inspected).collect(), INSPECTED)
+        inspected = local_frame(spark, _refuse_drift(registry, inspected).collect(), INSPECTED)
     accepted = inspected.where("error_code is null").drop("nanos", "error_code", "error_message")
     stored = registry.register(accepted).select(
         "ord", "dataset_id", "version_id", F.col("at").alias("ingested_at"), "pipeline_version"

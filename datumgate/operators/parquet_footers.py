@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import quoted, ref
+from ..functions.local import local_frame
 from ..functions.types import canonical_name
 from ..model import MinRowCount, QualityRule
 from ..sources.scan import NANOS_AS_LONG, scan_parquet
@@ -85,7 +86,7 @@ def _states(like: DataFrame, row: Row, fields: Sequence[T.StructField], position
         if f"min_{i}" in row:
             state.update(min_long=row[f"min_{i}"], max_long=row[f"max_{i}"])
         rows.append(tuple(state[c] for c in like.columns))
-    return like.sparkSession.createDataFrame(rows, like.schema)
+    return local_frame(like.sparkSession, rows, like.schema)
 
 
 def profile_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -127,7 +128,7 @@ def quality_violations_parquet(spark: SparkSession, path: str, rules: Sequence[Q
     row = _counts(df, path, others, False)
     summary = dict.fromkeys(like.columns)
     summary.update(position=-1, total_count=row["rows"], null_count=0)
-    whole = spark.createDataFrame([tuple(summary.values())], like.schema).unionByName(_states(like, row, others, positions))
+    whole = local_frame(spark, [tuple(summary.values())], like.schema).unionByName(_states(like, row, others, positions))
     if texts:
         whole = whole.unionByName(_states(like, _counts(df, path, texts, False), texts, positions))
     return violations_of(with_percentage(whole), rules)
