@@ -5,10 +5,12 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as driver
+from datumgate.plans.oracles import all_oracles
+from datumgate.plans.queries import all_queries
 
 from .compare import connect, difference
 
-QUERIES, ORACLES = driver.queries(), driver.oracle_sql()
+QUERIES, ORACLES = all_queries(), all_oracles()
 
 
 @pytest.fixture(scope="module")
@@ -21,6 +23,11 @@ def test_every_oracle_has_a_query():
     assert set(QUERIES) - set(ORACLES) == {"profile_approx_distinct"}
 
 
+def test_the_driver_sees_them_all():
+    assert set(QUERIES) <= set(driver.queries())
+    assert set(ORACLES) <= set(driver.oracle_sql()) <= set(driver.queries())
+
+
 def test_entry(spark):
     assert driver.entry(spark).count() == 11
 
