@@ -41,6 +41,7 @@ STEP = 16
 TOLERANCE = 1e-6
 BLOCK_CONTENTS = 256
 BLOCK_SHINGLES = 400_000
+SALTS = 8
 NO_ID = -(2**63)
 _FACTORS = random_numbers(HASHES, 101) | U(1)
 _SHIFTS = random_numbers(HASHES, 202)
@@ -304,10 +305,15 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        # A star's centre may have a third of all edges: they are spread over salts.
+        spread = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = both.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+        large = salted.join(spread, ["a", "salt"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         below = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         lowest = below.groupBy("a").agg(F.min("b").alias("m"))
-        small = below.join(lowest, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        spread = lowest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = below.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+        small = salted.join(spread, ["a", "salt"]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         current = written(small.unionByName(lowest.select("a", F.col("m").alias("b"))).distinct(), "edges")
         after = state(current)
         if after == before:

@@ -26,13 +26,13 @@ NON_SYMBOLS = r"[^#*$%&|<>]+"
 class LineRules:
     """What makes a line fail, and how much text a document may lose.
 
-    ``closing``: a line ends with one of these marks (quotes and brackets may
-    follow). ``navigation``: breadcrumbs, menus and lists of links.
+    ``closing``: some word of a line ends with one of these marks (quotes and
+    brackets may follow), else the line is no prose. ``navigation``: breadcrumbs, menus and lists of links.
     ``boilerplate``: whole notices. ``min_kept_share``: share of the
     non-blank characters that must stay.
     """
 
-    closing: str = r"[.!?…:;][\"'’”»)\]]*[\x20\x09-\x0D]*$"
+    closing: str = r"[.!?…:;][\"'’”»)\]]*([\x20\x09-\x0D]|$)"
     navigation: str = r"^[^.!?]*([|»>] *[^.!?]*){2,}$"
     boilerplate: str = (
         r"(?i)^[\x20\x09-\x0D]*(all rights reserved|copyright \(c\)|privacy policy|terms of (use|service)"
