@@ -3,7 +3,8 @@
 The vocabulary file is named by a parameter and read on the driver; its tables go to the
 executors once. A text is cut at special tokens and by the usual pattern; each piece is
 merged by taking the lowest rank from a heap, skipping entries whose symbols have
-changed since. Merged pieces are kept in a bounded cache per worker. Decoding
+changed since. Merged pieces are kept in a bounded cache per worker: when its younger half is
+full it becomes the older half, and what is used again moves back. Decoding
 joins the vocabulary strings of the ids.
 
 Defined results: a null text counts as empty, an empty text has no ids; repeated rows are encoded
@@ -28,7 +29,7 @@ PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
-CACHED_PIECES = 400_000
+CACHED_PIECES = 150_000  # of each half
 CACHED_CHARS = 64
 
 
@@ -63,7 +64,8 @@ class Vocabulary:
         self.pieces = regex.compile(PATTERN)
         names = "|".join(regex.escape(t) for t in sorted(special, key=len, reverse=True))
         self.special_pattern = regex.compile(f"({names})") if names else None
-        self.cache: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def merge(self, data: bytes) -> list[int]:
         """Ids of one piece."""
@@ -98,17 +100,16 @@ class Vocabulary:
         return [s for s in symbols if s >= 0]
 
     def _packed(self, piece: str) -> bytes:
-        ids = np.array(self.merge(piece.encode()), "<u4").tobytes()
+        ids = self.old.get(piece) or np.array(self.merge(piece.encode()), "<u4").tobytes()
         if len(piece) <= CACHED_CHARS:
-            if len(self.cache) >= CACHED_PIECES:
-                self.cache.clear()
-            self.cache[piece] = ids
+            if len(self.young) >= CACHED_PIECES:
+                self.young, self.old = {}, self.young
+            self.young[piece] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         out: list[bytes] = []
-        known = self.cache.get
         parts = [text]
         if self.special_pattern is not None and any(t in text for t in self.special):
             parts = self.special_pattern.split(text)
@@ -117,7 +118,7 @@ class Vocabulary:
                 out.append(np.array([self.special[part]], "<u4").tobytes())
             else:
                 for piece in self.pieces.findall(part):
-                    out.append(known(piece) or self._packed(piece))
+                    out.append(self.young.get(piece) or self._packed(piece))
         return b"".join(out)
 
     def decode(self, ids: np.ndarray) -> str:

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import SLICE_BYTES, U, mix, text_slices
+from .words import U, mix, text_slices
 
 UNKNOWN = "und"
 SIZES = (2, 3, 4)
@@ -66,6 +66,13 @@ def _prepared(texts: pa.Array) -> pa.Array:
     return pc.binary_join_element_wise(space, lowered, space, pa.scalar("", pa.large_string()))
 
 
+def _prepared_slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """As ``text_slices``, of lower-cased texts between spaces; only one slice is copied at a time."""
+    for first, after, _, _ in text_slices(texts):
+        for low, high, data, offsets in text_slices(_prepared(texts.slice(first, after - first)), 1 << 62):
+            yield first + low, first + high, data, offsets
+
+
 def _grams(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """For each size, the n-gram from each byte on as an integer that also holds the size."""
     code = LETTERS[data].astype(np.uint64)
@@ -113,8 +120,8 @@ def gram_counts(sample: DataFrame, lang_col: str) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, langs = _prepared(batch.column(0)), np.array(batch.column(1).to_pylist(), object)
-            for first, after, data, offsets in text_slices(texts):
+            langs = np.array(batch.column(1).to_pylist(), object)
+            for first, after, data, offsets in _prepared_slices(batch.column(0)):
                 for size, grams in _grams(data):
                     starts, ends = _window_bounds(offsets, size, len(grams))
                     owner = np.full(len(grams), -1, np.int64)
@@ -199,7 +206,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
             raw = batch.column(1)
             total, hits = np.zeros(len(raw), np.int64), np.zeros((len(raw), max(1, len(languages))))
             letters = np.zeros(len(raw), bool)
-            for first, after, data, offsets in text_slices(_prepared(raw), SLICE_BYTES // 2):
+            for first, after, data, offsets in _prepared_slices(raw):
                 ascii_letter = np.concatenate(([0], np.cumsum((LETTERS[data] != _SPACE) & (data < 0x80))))
                 letters[first:after] = ascii_letter[offsets[1:]] > ascii_letter[offsets[:-1]]
                 if not languages:

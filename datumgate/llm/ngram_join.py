@@ -259,20 +259,20 @@ def _forest(count: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
 def compare_blocks(rows: DataFrame, threshold: float, tolerance: float) -> DataFrame:
     """(content, links, root) per content and pair of blocks; ``rows`` are sorted by pair within partitions."""
 
-    def compare(low, high, group) -> pa.RecordBatch:
-        contents = np.array([g[0] for g in group], np.int64)
-        block = np.array([g[1] for g in group], np.int64)
-        copies = np.array([g[2] for g in group], np.int64)
-        sets = [np.frombuffer(g[3], np.uint64) for g in group]
-        values = np.frombuffer(b"".join(g[4] for g in group), np.uint32).reshape(len(group), HASHES)
+    def compare(low: int, high: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        longs = lambda k: np.concatenate([p.column(k).to_numpy(zero_copy_only=False) for p in parts]).astype(np.int64)
+        contents, block, copies = longs(2), longs(3), longs(4)
+        # Views of the Arrow buffers: the sets are not copied.
+        sets = [np.frombuffer(v.as_buffer(), np.uint64) for p in parts for v in p.column(5)]
+        values = np.stack([np.frombuffer(v.as_buffer(), np.uint32) for p in parts for v in p.column(6)])
         if low == high:
-            left, right = np.triu_indices(len(group), 1)
+            left, right = np.triu_indices(len(contents), 1)
         else:
             ours, theirs = np.flatnonzero(block == low), np.flatnonzero(block == high)
             left, right = np.repeat(ours, len(theirs)), np.tile(theirs, len(ours))
         left, right = linked_pairs(values, sets, left, right, threshold, tolerance)
-        links = np.bincount(left, copies[right], len(group)) + np.bincount(right, copies[left], len(group))
-        roots = _forest(len(group), left, right)
+        links = np.bincount(left, copies[right], len(contents)) + np.bincount(right, copies[left], len(contents))
+        roots = _forest(len(contents), left, right)
         some = np.flatnonzero(links > 0)
         return pa.RecordBatch.from_arrays(
             [pa.array(contents[some]), pa.array(links[some].astype(np.int64)), pa.array(contents[roots[some]])],
@@ -280,17 +280,21 @@ def compare_blocks(rows: DataFrame, threshold: float, tolerance: float) -> DataF
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, group = None, []
+        key, parts = None, []
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            for low, high, *row in zip(*columns, strict=True):
-                if (low, high) != key:
-                    if len(group) > 1:
-                        yield compare(*key, group)
-                    key, group = (low, high), []
-                group.append(row)
-        if len(group) > 1:
-            yield compare(*key, group)
+            pair = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)])
+            cuts = np.flatnonzero((pair[:, 1:] != pair[:, :-1]).any(0)) + 1
+            bounds = [0, *cuts.tolist(), batch.num_rows]
+            for a, b in zip(bounds, bounds[1:], strict=False):
+                if a == b:
+                    continue
+                if key != (now := (int(pair[0, a]), int(pair[1, a]))):
+                    if sum(p.num_rows for p in parts) > 1:
+                        yield compare(*key, parts)
+                    key, parts = now, []
+                parts.append(batch.slice(a, b - a))
+        if sum(p.num_rows for p in parts) > 1:
+            yield compare(*key, parts)
 
     return rows.select("low", "high", "content", "block", "copies", "shingles", "minhash").mapInArrow(
         run, "content long, links long, root long"

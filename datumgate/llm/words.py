@@ -12,7 +12,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 U = np.uint64
 _STEP = 0x9E3779B97F4A7C15
 _BASE, _BASE_INVERSE = 0xD6E8FEB86659FD93, pow(0xD6E8FEB86659FD93, -1, 1 << 64)
@@ -43,7 +43,7 @@ LOWERED = _lowered()
 _BYTE_VALUES = random_numbers(256, 11)
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     def of(base: int) -> np.ndarray:
         out = np.full(size, base, np.uint64)
@@ -82,7 +82,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     after[edges[edges > 0] - 1] = False
     word = inside[1:-1]
     starts, ends = np.flatnonzero(word & ~before), np.flatnonzero(word & ~after) + 1
-    size = 1 << max(20, int(len(data)).bit_length())
+    size = 1 << max(19, int(len(data)).bit_length())
     powers, inverses = _powers(size)
     sums = np.zeros(len(data) + 1, np.uint64)
     with np.errstate(over="ignore"):
