@@ -14,7 +14,11 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 # Runtime settings the engine works best with. Expressions over many columns
 # make generated methods beyond 8000 bytes, which the JVM would interpret; below
 # that limit Spark falls back to split methods that do get compiled.
-RUNTIME = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+# Arrow batches of long texts must stay small beside several Python workers.
+RUNTIME = {
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+}
 
 
 def configure(spark: SparkSession) -> SparkSession:
