@@ -29,7 +29,7 @@ PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
-CACHED_PIECES = 150_000  # of each half
+CACHED_PIECES = 120_000  # of each half
 CACHED_CHARS = 64
 
 
@@ -130,39 +130,51 @@ def _vocabulary(content: str) -> Vocabulary:
     return Vocabulary(content)
 
 
+def _parts(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    for first in range(0, batch.num_rows, rows):
+        yield batch.slice(first, rows)
+
+
 def _read(path: str) -> str:
     with open(path, encoding="utf-8") as source:
         return source.read()
 
 
-def encode_texts(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids): ids packed as little-endian unsigned 32-bit integers."""
+def encode_texts(
+    docs: DataFrame, vocabulary_path: str, decode: bool = False, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """(doc_id, n_tokens, ids): ids packed as little-endian unsigned 32-bit integers.
+
+    With ``decode``, also the text ``decoded`` from the ids, in the same pass.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
     content = docs.sparkSession.sparkContext.broadcast(_read(vocabulary_path))
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _vocabulary(content.value)
-        for batch in batches:
-            packed = [vocabulary.encode(t.as_py() or "") for t in batch.column(1)]
-            counts = pa.array([len(p) // 4 for p in packed], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), counts, pa.array(packed, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+        for whole in batches:
+            for batch in _parts(whole):
+                packed = [vocabulary.encode(t.as_py() or "") for t in batch.column(1)]
+                columns = [batch.column(0), pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array(packed, pa.binary())]
+                if decode:
+                    columns.append(pa.array([vocabulary.decode(np.frombuffer(p, "<u4")) for p in packed], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids", "decoded"][: len(columns)])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        encode, f"doc_id {kind}, n_tokens long, ids binary"
+        run, f"doc_id {kind}, n_tokens long, ids binary" + (", decoded string" if decode else "")
     )
 
 
 def decode_texts(encoded: DataFrame, vocabulary_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """``encoded`` (doc_id, n_tokens, ids) with the decoded text."""
+    """(doc_id, decoded) of packed ids; null ids count as none."""
     kind = encoded.schema[id_col].dataType.simpleString()
     content = encoded.sparkSession.sparkContext.broadcast(_read(vocabulary_path))
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _vocabulary(content.value)
-        for batch in batches:
-            texts = [vocabulary.decode(np.frombuffer(p.as_py() or b"", "<u4")) for p in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
+        for whole in batches:
+            for batch in _parts(whole):
+                texts = [vocabulary.decode(np.frombuffer(p.as_py() or b"", "<u4")) for p in batch.column(1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "decoded"])
 
-    return encoded.select(F.col(id_col).alias("doc_id"), "n_tokens", F.col(ids_col).alias("ids")).mapInArrow(
-        decode, f"doc_id {kind}, n_tokens long, ids binary, decoded string"
-    )
+    return encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(run, f"doc_id {kind}, decoded string")

@@ -27,6 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .words import U, mix, text_slices
 
@@ -194,16 +195,21 @@ def train(
     return LanguageModel(languages, slices, fill**HASHES)
 
 
-def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score, n_grams) for every row; the score is the winner's share of the corrected counts."""
+def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
+    """The columns in ``keep`` (all by default), lang_pred and score of every row.
+
+    The score is the winner's share of the corrected counts. Columns of ``docs``
+    with the names of the two new ones are replaced.
+    """
     languages = model.languages
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
     narrow = np.uint8 if len(languages) <= 8 else np.int64
     shared = docs.sparkSession.sparkContext.broadcast((model.slices.astype(narrow), model.false_rate))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slices, false_rate = shared.value
         for batch in batches:
-            raw = batch.column(1)
+            raw = batch.column(len(keep))
             total, hits = np.zeros(len(raw), np.int64), np.zeros((len(raw), max(1, len(languages))))
             letters = np.zeros(len(raw), bool)
             for first, after, data, offsets in _prepared_slices(raw):
@@ -230,11 +236,9 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
                 score = np.where(letters & (sums > 0), top / np.maximum(sums, 1e-300), 0.0)
                 predicted = [languages[b] if ok else UNKNOWN for b, ok in zip(best, letters, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(predicted, pa.string()), pa.array(score), pa.array(total)],
-                names=["id", "lang_pred", "score", "n_grams"],
+                [*batch.columns[: len(keep)], pa.array(predicted, pa.string()), pa.array(score)],
+                names=[*keep, "lang_pred", "score"],
             )
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        judge, f"id {kind}, lang_pred string, score double, n_grams long"
-    )
+    schema = T.StructType([docs.schema[c] for c in keep]).add("lang_pred", "string").add("score", "double")
+    return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(judge, schema)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.tables import table
-from ..session import scratch_dir
+from ..session import configure, scratch_dir
 from . import bpe, decontaminate, language_id, licenses, line_dedup, ngram_join, quality_rules, secrets, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,7 +37,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language_id.train(docs.where(~held_out))
-    found = language_id.identify(docs, model).withColumnRenamed("id", "doc_id")
+    found = language_id.identify(docs, model, ["doc_id"])
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
@@ -48,7 +48,7 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(VOCABULARY)
-    decoded = bpe.decode_texts(bpe.encode_texts(table(spark, sf_dir, "documents"), path), path)
+    decoded = bpe.encode_texts(table(spark, sf_dir, "documents"), path, decode=True)
     return decoded.select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
@@ -110,9 +110,13 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def _configured(query: Query) -> Query:
+    return lambda spark, sf_dir: query(configure(spark), sf_dir)
+
+
 def llm_queries() -> dict[str, Query]:
     return {
-        f.__name__: f
+        f.__name__: _configured(f)
         for f in (
             op1_line_dedup,
             op2_language_id,
