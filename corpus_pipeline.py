@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from datumgate.llm import bpe, decontaminate, language_id, line_dedup, ngram_join
 from datumgate.llm.queries import MIN_SITES, VOCABULARY
 from datumgate.llm.scratch import written
+from datumgate.session import configure
 
 MIN_LANGUAGE_SCORE = 0.4
 #: SQL cannot express the stages; tests/llm compares them with plain implementations.
@@ -17,13 +18,9 @@ ORACLE_SQL = None
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language of the corpus; those without letters or without a clear language go."""
-    model = language_id.train(docs)
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("_key"), "text")
-    found = language_id.identify(keyed, model, "_key").where(
-        (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)
-    )
-    kept = found.select(F.col("id").alias("_kept")).distinct()
-    return docs.join(kept, F.xxhash64(docs["doc_id"], docs["text"]) == kept["_kept"], "left_semi")
+    found = language_id.identify(docs, language_id.train(docs))
+    known = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)
+    return found.where(known).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,19 +43,17 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with digests of the ids and of the text decoded from them."""
     path = public_tokenizers.path(VOCABULARY)
-    decoded = bpe.decode_texts(bpe.encode_texts(docs, path), path)
+    decoded = bpe.encode_texts(docs, path, decode=True)
     return decoded.select(
         "doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
 
 
-STAGES = [
-    ("language", language),
-    ("lines", lines),
-    ("near_duplicates", near_duplicates),
-    ("decontamination", decontamination),
-    ("tokens", tokens),
-]
+def _configured(stage):
+    return lambda spark, docs, sf_dir: stage(configure(spark), docs, sf_dir)
+
+
+STAGES = [(stage.__name__, _configured(stage)) for stage in (language, lines, near_duplicates, decontamination, tokens)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
