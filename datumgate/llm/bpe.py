@@ -24,12 +24,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import tidy
+
 # Fixed value: the pattern that cuts a text into pieces before the merges.
 PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
-CACHED_PIECES = 120_000  # of each half
+CACHED_PIECES = 80_000  # of each half
 CACHED_CHARS = 64
 
 
@@ -150,6 +152,7 @@ def encode_texts(
     kind = docs.schema[id_col].dataType.simpleString()
     content = docs.sparkSession.sparkContext.broadcast(_read(vocabulary_path))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _vocabulary(content.value)
         for whole in batches:
@@ -170,6 +173,7 @@ def decode_texts(encoded: DataFrame, vocabulary_path: str, id_col: str = "doc_id
     kind = encoded.schema[id_col].dataType.simpleString()
     content = encoded.sparkSession.sparkContext.broadcast(_read(vocabulary_path))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _vocabulary(content.value)
         for whole in batches:

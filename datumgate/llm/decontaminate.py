@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import bitmap_of, in_bitmap, packed, unpacked, written
+from .scratch import bitmap_of, in_bitmap, packed, tidy, unpacked, written
 from .words import text_slices, windows, words_of
 
 SEED_WORDS = 4
@@ -38,6 +38,7 @@ def item_words(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(item_id, words, seeds): word hashes and n-gram hashes of each item."""
     kind = items.schema[id_col].dataType.simpleString()
 
+    @tidy
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words, seeds = [], []
@@ -59,6 +60,7 @@ def seed_counts(docs: DataFrame, seeds: DataFrame) -> DataFrame:
     """(seed, n): places of each seed in the corpus, and one row (null, n) with the number of all places."""
     shared = docs.sparkSession.sparkContext.broadcast(packed(bitmap_of(seeds)))
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = unpacked(shared.value)
         for batch in batches:
@@ -92,6 +94,7 @@ def passages(docs: DataFrame, seeds: DataFrame, reach: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(packed(bitmap_of(seeds.select("seed"))))
 
+    @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = unpacked(shared.value)
         for batch in batches:
@@ -141,6 +144,7 @@ def scored(pairs: DataFrame, min_score: float) -> DataFrame:
     """Aligns (doc_id, start, words, item_id, item) rows, each on its own."""
     doc_kind, item_kind = (pairs.schema[c].dataType.simpleString() for c in ("doc_id", "item_id"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, scores, firsts, lasts = [], [], [], []

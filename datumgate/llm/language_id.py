@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import tidy
 from .words import U, mix, text_slices
 
 UNKNOWN = "und"
@@ -119,6 +120,7 @@ def labelled_sample(docs: DataFrame, rows: int, id_col: str, lang_col: str) -> D
 def gram_counts(sample: DataFrame, lang_col: str) -> DataFrame:
     """(lang, gram, n): occurrences of each n-gram in each language of the sample."""
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs = np.array(batch.column(1).to_pylist(), object)
@@ -181,6 +183,7 @@ def train(
         .where("mask <> 0")
     )
 
+    @tidy
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             grams = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
@@ -206,6 +209,7 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = Non
     narrow = np.uint8 if len(languages) <= 8 else np.int64
     shared = docs.sparkSession.sparkContext.broadcast((model.slices.astype(narrow), model.false_rate))
 
+    @tidy
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slices, false_rate = shared.value
         for batch in batches:

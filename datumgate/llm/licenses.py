@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import tidy
+
 # Phrases that are looked for word by word, with their labels.
 PHRASES = (
     ("gnu general public license", "gpl"),
@@ -181,6 +183,7 @@ def scan_licenses(
         )
     )
 
+    @tidy
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = _scanner(notices)
         for batch in batches:

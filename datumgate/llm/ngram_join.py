@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import bitmap_of, in_bitmap, packed, unpacked, written
+from .scratch import bitmap_of, in_bitmap, packed, tidy, unpacked, written
 from .words import U, mix, random_numbers, shingles, text_slices, words_of
 
 SHINGLE_WORDS = 5
@@ -111,6 +111,7 @@ def _read(batch: pa.RecordBatch):
 def described(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, content, n_shingles, bands) of every row of (doc_id, text, text_hash)."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = 0
@@ -138,6 +139,7 @@ def described(docs: DataFrame) -> DataFrame:
 def bucket_rows(reps: DataFrame) -> DataFrame:
     """(bucket, content), one row per band."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<i8")
@@ -170,6 +172,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(content, shingles, values) of the rows of ``wanted`` (content, doc_id), one per content."""
     ids = wanted.select(F.col("doc_id"), F.col("content"))
 
+    @tidy
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key = _row_key(*(batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64).view(t) for k, t in ((0, np.int64), (1, np.uint64))))
@@ -177,6 +180,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     shared = docs.sparkSession.sparkContext.broadcast(packed(bitmap_of(ids.mapInArrow(keys, "key long"))))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = unpacked(shared.value)
         for batch in batches:
@@ -279,6 +283,7 @@ def compare_blocks(rows: DataFrame, threshold: float, tolerance: float) -> DataF
             names=["content", "links", "root"],
         )
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, parts = None, []
         for batch in batches:
