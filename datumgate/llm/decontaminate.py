@@ -1,9 +1,9 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
 
 The n-grams of all test items are counted in the whole corpus. A seed of an item is
-rare when it is no more frequent than the item's median seed, or rarer than
-``rare_rate`` of all positions; so every item keeps at least half of its seeds, however often it was
-copied. Documents emit the passages around rare seeds; a join on the seed pairs
+rare up to ``RARE_PLACES`` places, up to ``rare_rate`` of all places, and up to
+``MEDIAN_FACTOR`` times the item's median seed; so every item keeps at least half of its seeds
+however often it was copied, and an edited copy does not make its own seeds common. Documents emit the passages around rare seeds; a join on the seed pairs
 them with items, and each pair is aligned word by word (match 2, mismatch and gap
 -1). The score is the best local alignment over that of a whole copy.
 
@@ -31,6 +31,8 @@ from .words import text_slices, windows, words_of
 SEED_WORDS = 4
 MIN_SCORE = 0.5
 RARE_RATE = 1e-6
+RARE_PLACES = 100
+MEDIAN_FACTOR = 10
 LONGS = pa.list_(pa.int64())
 
 
@@ -83,7 +85,8 @@ def rare_seeds(items: DataFrame, counts: DataFrame, rare_rate: float) -> DataFra
     known = each.join(counts.where("seed is not null"), "seed", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     medians = known.groupBy("item_id").agg(F.percentile_approx("n", 0.5, 1000).alias("median"))
     limit = places.first()
-    bound = F.greatest(F.col("median"), F.lit(float(limit["limit"]) if limit else 0.0))
+    common = max(RARE_PLACES, float(limit["limit"]) if limit else 0.0)
+    bound = F.greatest(MEDIAN_FACTOR * F.col("median"), F.lit(float(common)))
     return known.join(medians.withColumnRenamed("item_id", "_item"), F.col("item_id").eqNullSafe(F.col("_item"))).where(
         F.col("n") <= bound
     ).select("seed", "item_id")
