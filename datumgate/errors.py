@@ -8,7 +8,6 @@ INVALID_FORMAT = "InvalidFormat"
 CORRUPTED_BATCH = "CorruptedBatch"
 DATASET_NOT_FOUND = "DatasetNotFound"
 RESOURCE_LIMIT_EXCEEDED = "ResourceLimitExceeded"
-CANCELLED = "Cancelled"
 IO = "Io"
 
 
@@ -46,10 +45,6 @@ class ResourceLimitExceeded(EngineError):
     code = RESOURCE_LIMIT_EXCEEDED
 
 
-class Cancelled(EngineError):
-    code = CANCELLED
-
-
 class SourceIoError(EngineError):
     code = IO
 
@@ -63,7 +58,6 @@ _BY_CODE = {
         CorruptedBatch,
         DatasetNotFound,
         ResourceLimitExceeded,
-        Cancelled,
         SourceIoError,
     )
 }

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import digest_text, limb_sums, row_text, word_totals
-from ..sources.files import detect_formats, file_name, list_files, open_file
+from ..sources.files import detect_formats, file_name, list_files, open_file, require_path
 
 # Files up to this size are hashed from the binaryFile source, which holds a
 # whole file in one row; larger ones are streamed through the hash in a task.
@@ -75,9 +75,10 @@ def manifest_fingerprints(files: DataFrame, keys: list[str], relative: str = "re
 
 def directory_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint of all files below one folder, by their paths relative to it."""
-    root = folder.rstrip("/") + "/"
+    root = require_path(spark, folder)
     files = file_fingerprints(spark, folder)
-    relative = F.element_at(F.split(F.col("path"), root.replace(".", "\\."), 2), -1)
+    # Empty for a single file, which keeps its own fingerprint.
+    relative = F.ltrim(F.substring("path", len(root) + 1, 2**31 - 1), F.lit("/"))
     return manifest_fingerprints(files.withColumn("relative_path", relative), [])
 
 

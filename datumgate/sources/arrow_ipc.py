@@ -15,8 +15,9 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..errors import CorruptedBatch, UnsupportedDataType
+from ..errors import CorruptedBatch, SchemaMismatch, UnsupportedDataType
 from ..functions.types import arrow_canonical, unsupported_message
 from ..operators.contract import require_canonical
 from .files import filesystem_of, list_files, open_file
@@ -65,14 +66,23 @@ def _floor_to_micros(column: pa.Array) -> pa.Array:
     return micros.cast(pa.timestamp("us", tz=column.type.tz))
 
 
-def _for_spark(batch: pa.RecordBatch, keep: list[str]) -> pa.RecordBatch:
+def _for_spark(batch: pa.RecordBatch, wanted: T.StructType, source: str) -> pa.RecordBatch:
+    """The columns of ``wanted``, looked up by name; ``source`` names the file in errors."""
     columns = []
-    for name in keep:
-        column = batch.column(batch.schema.get_field_index(name))
+    for field in wanted:
+        places = batch.schema.get_all_field_indices(field.name)
+        if len(places) != 1:
+            raise SchemaMismatch(f"{source}: column {field.name!r} found {len(places)} times")
+        column = batch.column(places[0])
+        stored = spark_schema(pa.schema([batch.schema.field(places[0])])).fields[0].dataType
+        if stored != field.dataType:
+            raise SchemaMismatch(
+                f"{source}: column {field.name!r} is {stored.simpleString()}, not {field.dataType.simpleString()}"
+            )
         if pa.types.is_timestamp(column.type) and column.type.unit == "ns":
             column = _floor_to_micros(column)
         columns.append(column.cast(_spark_arrow_type(column.type), safe=False))
-    return pa.RecordBatch.from_arrays(columns, names=keep)
+    return pa.RecordBatch.from_arrays(columns, names=wanted.names)
 
 
 @dataclass
@@ -84,7 +94,7 @@ class _Span(InputPartition):
 
 class ArrowIpcReader(DataSourceReader):
     def __init__(self, schema: T.StructType, options: dict):
-        self.names = schema.names
+        self.wanted = schema
         self.files = json.loads(options["files"])
         self.partition_bytes = int(options.get("partitionBytes", PARTITION_BYTES))
 
@@ -118,7 +128,7 @@ class ArrowIpcReader(DataSourceReader):
         for uri, start, stop in partition.parts:
             with open_file(uri) as source:
                 for batch in ipc_batches(open_ipc(source), start, stop):
-                    yield _for_spark(batch, self.names)
+                    yield _for_spark(batch, self.wanted, uri)
 
 
 def _batch_count(uri: str) -> int | None:
@@ -170,12 +180,19 @@ def read_ipc(
     return reader.options(files=json.dumps(files), partitionBytes=str(partition_bytes)).load()
 
 
+def _unsigned(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """64-bit unsigned integers, which Spark holds as decimal(20,0), as they were."""
+    columns = [c.cast(pa.uint64()) if c.type == pa.decimal128(20, 0) else c for c in batch.columns]
+    return pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+
 def serialize(df: DataFrame) -> DataFrame:
     """Rows as IPC stream buffers, one self-describing buffer per Arrow batch."""
     require_canonical(df.schema)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = _unsigned(batch)
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, batch.schema) as writer:
                 writer.write_batch(batch)
@@ -187,8 +204,6 @@ def serialize(df: DataFrame) -> DataFrame:
 
 def deserialize(buffers: DataFrame, schema: T.StructType, column: str = "ipc") -> DataFrame:
     """Rows from IPC stream buffers. The contract and ``schema`` are checked per buffer."""
-    expected = schema.names
-
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for buffer in rows.column(0):
@@ -196,7 +211,7 @@ def deserialize(buffers: DataFrame, schema: T.StructType, column: str = "ipc") -
                     with pa.ipc.open_stream(buffer.as_buffer()) as reader:
                         spark_schema(reader.schema)
                         for batch in reader:
-                            yield _for_spark(batch, expected)
+                            yield _for_spark(batch, schema, "buffer")
                 except pa.ArrowInvalid as broken:
                     raise CorruptedBatch(str(broken)) from broken
 
@@ -206,29 +221,39 @@ def deserialize(buffers: DataFrame, schema: T.StructType, column: str = "ipc") -
 def write_ipc(df: DataFrame, folder: str, layout: str = "file") -> list[str]:
     """Write one IPC file per partition; returns the paths of the files that count.
 
-    Every task attempt writes a name of its own and reports it with its rows.
-    Files of attempts that Spark did not accept are deleted at the end, so a
-    task that ran twice leaves no double rows.
+    Every task attempt writes a name of its own, which begins with this call's
+    token, and reports it with its rows. Files of this call that Spark did not
+    accept are deleted at the end, so a task that ran twice leaves no double rows;
+    other files of the folder stay. Without rows one file with the schema is written.
     """
     require_canonical(df.schema)
     new_writer = pa.ipc.new_file if layout == "file" else pa.ipc.new_stream
+    prefix = f"part-{uuid.uuid4().hex}-"
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = next(batches, None)
-        if first is None:
-            return
-        uri = f"{folder}/part-{uuid.uuid4().hex}.arrow"
+    def save(uri: str, batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> None:
         filesystem, path = filesystem_of(uri)
         filesystem.create_dir(path.rsplit("/", 1)[0], recursive=True)
-        with filesystem.open_output_stream(path) as sink, new_writer(sink, first.schema) as writer:
-            for batch in itertools.chain([first], batches):
+        with filesystem.open_output_stream(path) as sink, new_writer(sink, schema) as writer:
+            for batch in batches:
                 writer.write_batch(batch)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready = map(_unsigned, batches)
+        first = next(ready, None)
+        if first is None:
+            return
+        uri = f"{folder}/{prefix}{uuid.uuid4().hex}.arrow"
+        save(uri, itertools.chain([first], ready), first.schema)
         yield pa.RecordBatch.from_arrays([pa.array([uri], pa.string())], names=["path"])
 
     accepted = [r.path for r in df.mapInArrow(write, "path string").collect()]
+    if not accepted:
+        nothing = _unsigned(pa.RecordBatch.from_pylist([], to_arrow_schema(df.schema)))
+        accepted = [f"{folder}/{prefix}empty.arrow"]
+        save(accepted[0], iter(()), nothing.schema)
     filesystem, root = filesystem_of(folder)
     names = {uri.rsplit("/", 1)[1] for uri in accepted}
     for info in filesystem.get_file_info(pa.fs.FileSelector(root, allow_not_found=True)):
-        if info.base_name not in names:
+        if info.base_name.startswith(prefix) and info.base_name not in names:
             filesystem.delete_file(info.path)
     return accepted

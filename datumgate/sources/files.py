@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from ..errors import SourceIoError
 from ..model import EXTENSIONS, MAGIC
 
-# Up to this many bytes per core a dataset counts as small.
-SMALL_BYTES = 4 << 20
 
 
 def filesystem_of(uri: str):
@@ -118,19 +116,6 @@ def first_file(spark: SparkSession, path: str) -> str | None:
     return first.path
 
 
-def spread_small(df: DataFrame, path: str) -> DataFrame:
-    """Spread the rows of a small dataset at ``path`` over all cores.
-
-    A small Parquet file often holds one row group, which a single task reads,
-    however costly the expressions on it are. Datasets above ``SMALL_BYTES`` per
-    core fill the cores by themselves and stay as they are, without a shuffle.
-    """
-    filesystem, hadoop_path = _hadoop(df.sparkSession, path)
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = filesystem.getContentSummary(hadoop_path).getLength()
-    return df.repartition(cores) if size < cores * SMALL_BYTES else df
-
-
 def detect_file(path: str) -> str | None:
     """Format of one file, on the driver: by extension, else by its first bytes."""
     extension = PurePosixPath(path).suffix[1:].lower()

@@ -53,6 +53,8 @@ def scan_parquet(spark: SparkSession, path: str) -> DataFrame:
         raise error_for(footer["error_code"], footer["error_message"])
     nanos = {f["field"]: f["data_type"] for f in footer["fields"] if "Timestamp(Nanosecond" in f["data_type"]}
     if nanos:
+        # A session of its own: the caller's other reads must not change.
+        spark = spark.newSession()
         spark.conf.set(NANOS_AS_LONG, "true")
     df = spark.read.parquet(path)
     return df.select(*[_with_micros(f, nanos.get(f.name)) for f in df.schema.fields]) if nanos else df

@@ -20,7 +20,7 @@ from datumgate.operators.identity import (
     version_id,
 )
 from datumgate.sources.arrow_ipc import deserialize, read_ipc, serialize, write_ipc
-from datumgate.sources.files import SMALL_BYTES, detect_formats, list_files, spread_small
+from datumgate.sources.files import detect_formats, list_files
 from datumgate.sources.footers import footer_contract
 from datumgate.sources.scan import scan
 
@@ -260,11 +260,51 @@ def test_content_fingerprint_tells_nulls_from_text_and_ignores_the_zone(spark):
     assert len(seen) == 1
 
 
-def test_only_small_datasets_are_spread(spark, tmp_path):
-    path = str(tmp_path / "t.parquet")
-    pq.write_table(COUNTRIES, path)
-    df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    assert spread_small(df, path).rdd.getNumPartitions() == cores
-    (tmp_path / "big").write_bytes(b"0" * (cores * SMALL_BYTES))
-    assert spread_small(df, str(tmp_path)) is df
+def test_ipc_columns_are_found_by_name(spark, tmp_path):
+    for name, columns in (("a", {"id": [1], "x": [10], "y": [20]}), ("b", {"id": [3], "y": [70]})):
+        batch = pa.table(columns)
+        with pa.OSFile(str(tmp_path / f"{name}.arrow"), "wb") as sink, pa.ipc.new_file(sink, batch.schema) as writer:
+            writer.write_table(batch)
+    with pytest.raises(Exception, match="'x' found 0 times"):
+        read_ipc(spark, str(tmp_path)).collect()
+    assert sorted(r.y for r in read_ipc(spark, str(tmp_path), columns=["y"]).collect()) == [20, 70]
+
+
+def test_buffers_without_a_column_are_refused(spark):
+    buffers = serialize(spark.range(3))
+    with pytest.raises(Exception, match="'x' found 0 times"):
+        deserialize(buffers, T.StructType().add("id", "long").add("x", "long")).collect()
+
+
+def test_unsigned_integers_survive(spark):
+    df = spark.sql("select cast(18446744073709551615 as decimal(20,0)) as u union all select null")
+    assert deserialize(serialize(df), df.schema).collect() == df.collect()
+
+
+def test_write_ipc_keeps_other_files_and_empty_frames(spark, tmp_path):
+    (tmp_path / "notes.txt").write_text("mine")
+    write_ipc(spark.range(5), str(tmp_path / "out"))
+    first = {p.name for p in (tmp_path / "out").iterdir()}
+    write_ipc(spark.range(7), str(tmp_path / "out"))
+    assert first < {p.name for p in (tmp_path / "out").iterdir()} and (tmp_path / "notes.txt").exists()
+    assert read_ipc(spark, str(tmp_path / "out")).count() == 12
+    write_ipc(spark.range(0), str(tmp_path / "none"))
+    empty = read_ipc(spark, str(tmp_path / "none"))
+    assert empty.columns == ["id"] and empty.count() == 0
+
+
+def test_folder_hash_does_not_depend_on_its_place(spark, tmp_path):
+    for place in ("plain", "a+b", "x(1)/deep"):
+        (tmp_path / place / "sub").mkdir(parents=True)
+        (tmp_path / place / "sub" / "f.txt").write_text("same")
+    hashes = {directory_fingerprint(spark, str(tmp_path / p)).first().fingerprint for p in ("plain", "a+b", "x(1)/deep")}
+    assert len(hashes) == 1
+    one = str(tmp_path / "plain" / "sub" / "f.txt")
+    assert directory_fingerprint(spark, one).first().fingerprint == file_fingerprints(spark, one).first().fingerprint
+
+
+def test_nanoseconds_leave_the_session_alone(spark, tmp_path):
+    path = str(tmp_path / "n.parquet")
+    pq.write_table(pa.table({"t": pa.array([1_500], pa.timestamp("ns"))}), path, version="2.6")
+    scan(spark, path).collect()
+    assert spark.conf.get("spark.sql.legacy.parquet.nanosAsLong") == "false"
