@@ -248,8 +248,8 @@ def _diagnostics() -> Column:
             accepted & (F.col("row_count") == 0),
             F.struct(
                 F.lit(CORRUPTED_BATCH).alias("code"),
-                F.lit("The schema was registered, but the source holds no records").alias("message"),
-                F.lit("Check that the source file has valid records").alias("suggested_action"),
+                F.lit("Registered with its columns only: it has 0 rows").alias("message"),
+                F.lit("See whether whatever writes this source had finished").alias("suggested_action"),
             ),
         ),
         F.when(

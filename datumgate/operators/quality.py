@@ -63,6 +63,7 @@ def violations_of(profile: DataFrame, rules: Sequence[QualityRule]) -> DataFrame
     )
     # format_number rounds the exact binary value, halves to even.
     shown = F.expr("format_number(null_percentage, '0.00')")
+    # The wording of descriptions and details is part of the results.
     description = (
         F.when(kind == MIN_ROWS, F.concat(F.lit("Minimum row count requirement of "), text))
         .when(kind == MAX_NULLS, F.concat(F.lit("Max null threshold of "), text, F.lit("% for column '"), name, F.lit("'")))
