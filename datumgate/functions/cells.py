@@ -35,8 +35,10 @@ WRITTEN_TIME_PATTERN = "^(.{19}([.][0-9]+)?)"
 OFFSET_PATTERN = "([+-][0-9]{2}:[0-9]{2})$"
 SIGNED_WORD_PATTERN = "^[+-](?i:inf|infinity|nan)$"
 
-# A Unicode noncharacter stands in for delimiters outside quotes.
-_CUT = chr(0xFDD0)
+# A Unicode noncharacter and a second one stand in for delimiters outside
+# quotes; where a line holds the first itself, it is doubled by a third.
+_MARK = chr(0xFDD0)
+_CUT, _KEPT = _MARK + chr(0xFDD5), _MARK + chr(0xFDD6)
 
 
 def trim(text: Column) -> Column:
@@ -65,10 +67,11 @@ def split_cells(line: Column, delimiter: str) -> Column:
     """
     plain = F.split(line, re.escape(delimiter), -1)
     marked = F.transform(
-        F.split(line, '"', -1),
+        F.split(F.replace(line, F.lit(_MARK), F.lit(_KEPT)), '"', -1),
         lambda piece, i: F.when(i % 2 == 0, F.replace(piece, F.lit(delimiter), F.lit(_CUT))).otherwise(piece),
     )
-    quoted = F.split(F.array_join(marked, ""), _CUT, -1)
+    cut = F.split(F.array_join(marked, ""), _CUT, -1)
+    quoted = F.transform(cut, lambda cell: F.replace(cell, F.lit(_KEPT), F.lit(_MARK)))
     return F.when(F.contains(line, F.lit('"')), quoted).otherwise(plain)
 
 

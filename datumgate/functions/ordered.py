@@ -1,7 +1,7 @@
 """Ordered per-group expressions that survive a group of any size.
 
 A plain window puts all rows of a group into one task. Here a group is cut into
-chunks of consecutive order values, the window runs per (group, chunk), and one
+chunks of neighbouring order values, the window runs per (group, chunk), and one
 row per chunk carries what crosses a border. A group that holds a third of all
 rows is thus spread like any other. The chunk rows are folded before they are
 shuffled and joined back on (group, chunk), a key no chunk can overfill.
@@ -14,7 +14,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Consecutive order values per chunk.
+# Rows that a range of order values holds on average; each range is a chunk of every group.
 CHUNK = 100_000
 
 _CHUNK = "__chunk"
@@ -34,11 +34,20 @@ def with_history(
     ``previous`` is a struct of the named columns of the row before (null for a
     first row), ``before`` the sum of ``amount`` over all earlier rows and
     ``total`` its sum over the group. ``order`` is an integer column, unique
-    within a group.
+    within a group. Its values may have gaps: the span of a chunk follows from
+    the number of rows and the range of all values.
     """
+    span = df.agg(
+        F.min(order).alias("low"),
+        F.greatest(
+            F.floor((F.max(order).cast("double") - F.min(order) + 1) * width / F.count(F.lit(1))), F.lit(1)
+        ).alias("span"),
+    )
+    # One row, whatever the input.
+    low, step = span.select("low").scalar(), span.select("span").scalar()
     rows = df.withColumns(
         {
-            _CHUNK: F.floor(F.col(order) / F.lit(width)),
+            _CHUNK: F.floor((F.col(order) - low) / step),
             "__amount": amount.cast("bigint"),
             "__held": F.struct(*previous),
         }

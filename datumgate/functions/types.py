@@ -84,5 +84,19 @@ def arrow_canonical(dtype: pa.DataType) -> tuple[str, T.DataType] | None:
     return None
 
 
+#: Metadata key of a field: its canonical type where Spark's own type hides it.
+STORED_TYPE = "stored_type"
+
+
+def declared_name(field: T.StructField) -> str | None:
+    """Canonical name of the type a field's file declares, as far as it is known."""
+    return field.metadata.get(STORED_TYPE) or canonical_name(field.dataType)
+
+
+def declared_metadata(stored: str, dtype: T.DataType) -> dict:
+    """Field metadata that keeps a stored type Spark reads as another one."""
+    return {} if stored == canonical_name(dtype) else {STORED_TYPE: stored}
+
+
 def unsupported_message(field: str, dtype: object) -> str:
     return f"Field '{field}': {dtype} is not a supported canonical data type"

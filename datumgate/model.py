@@ -42,6 +42,7 @@ class IngestionSource:
     name: str
     source_path: str
     format_hint: str | None = None
+    csv: CsvOptions | None = None
 
 
 @dataclass(frozen=True)

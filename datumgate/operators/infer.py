@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 
 from ..functions.cells import NULL_CELL, TYPES, cell_mask, split_cells, trim, type_of_mask, typed_cell
 from ..model import CsvOptions
-from ..sources.delimited import first_lines, header_cells, read_lines
+from ..sources.delimited import first_lines, header_cells, leading_lines, read_lines
+from ..sources.files import decoded_path, list_files
 
 
 def column_masks(lines: DataFrame, names: Sequence[str], options: CsvOptions = CsvOptions()) -> DataFrame:
@@ -33,6 +34,30 @@ def column_masks(lines: DataFrame, names: Sequence[str], options: CsvOptions = C
     return found.select("position", "column", mask).withColumn("data_type", type_of_mask(F.col("mask")))
 
 
+def file_masks(spark: SparkSession, paths: list[str], options: CsvOptions) -> DataFrame:
+    """``(path, position, mask, lines)`` of every file, all from one pass over the text.
+
+    Folded per file and position in the tasks, so however many datasets the
+    files belong to, their lines are never shuffled. Every line has a cell at
+    position 0, whose ``lines`` is the file's row count.
+    """
+    lines = read_lines(spark, paths, skip_header=options.has_header)
+    lines = lines.select(decoded_path(F.col("_metadata.file_path")).alias("path"), "line")
+    if options.max_sample_rows is None:
+        return _folded(lines, options)
+    skipped = 1 if options.has_header else 0
+    sample = leading_lines(list_files(spark, paths), max(options.max_sample_rows, 0)).where(F.col("rank") > skipped)
+    masks = _folded(sample, options).drop("lines")
+    counts = lines.groupBy("path").agg(F.count(F.lit(1)).alias("lines")).withColumn("position", F.lit(0))
+    return masks.join(counts, ["path", "position"], "full")
+
+
+def _folded(lines: DataFrame, options: CsvOptions) -> DataFrame:
+    cells = lines.select("path", F.posexplode_outer(split_cells(F.col("line"), options.delimiter)).alias("position", "raw"))
+    kinds = cells.select("path", "position", cell_mask(trim(F.col("raw")), options.null_values).alias("mask"))
+    return kinds.groupBy("path", "position").agg(F.bit_or("mask").alias("mask"), F.count(F.lit(1)).alias("lines"))
+
+
 def schema_of(masks: DataFrame) -> T.StructType:
     """The inferred schema; every field is nullable."""
     rows = sorted(masks.collect(), key=lambda r: r.position)

@@ -20,14 +20,15 @@ from ..errors import (
     EngineError,
     error_for,
 )
+from ..functions.cells import NULL_CELL, TYPES, type_of_mask
 from ..functions.local import local_frame
-from ..model import CSV, IngestionOptions, IngestionSource
-from ..sources.delimited import read_lines
+from ..model import CSV, PARQUET, CsvOptions, IngestionOptions, IngestionSource
+from ..sources.delimited import header_rows, names_of
 from ..sources.files import detect_formats, list_files, qualified
-from ..sources.footers import read_footers
-from ..sources.scan import csv_options, scan
+from ..sources.footers import dataset_facts
+from ..sources.scan import csv_options, read_parquet, scan
 from .identity import file_fingerprints, manifest_fingerprints
-from .infer import infer_schema
+from .infer import file_masks
 from .registry import Registry, current
 
 # Above this many sources their table is joined by shuffle, not broadcast.
@@ -86,9 +87,10 @@ def inspect_sources(
     accepted = [f for f in found if "error_code" not in results[f[0]]]
     if accepted:
         _facts(spark, accepted, results)
-    for i, full, _ in accepted:
-        if results[i].get("format") == CSV and "error_code" not in results[i]:
-            _delimited_facts(spark, full, results[i])
+    texts = [f for f in accepted if results[f[0]].get("format") == CSV and "error_code" not in results[f[0]]]
+    if texts:
+        _delimited_facts(spark, texts, {i: csv_options(spark, full, sources[i].csv) for i, full, _ in texts}, results)
+    for i, _, _ in accepted:
         _sample(results[i], options)
     columns = [c.split()[0] for c in INSPECTED.split(",")]
     rows = [tuple(results[i].get(c) for c in columns) for i in range(len(sources))]
@@ -129,46 +131,51 @@ def _facts(spark: SparkSession, accepted: list[tuple], results: dict) -> None:
     detected = detect_formats(list_files(spark, roots))
     typed = _files_of(frame, detected, len(accepted)).where("length > 0")
     typed = typed.withColumn("format", F.coalesce("hint", "format"))
-    per_file = read_footers(typed, keep=["ord"])
-    nanos = F.exists("fields", lambda f: f["data_type"].contains("Timestamp(Nanosecond"))
-    rank = (
-        F.when(F.col("error_code").isNull(), F.lit(9))
-        .when(F.col("error_code") == INVALID_FORMAT, F.lit(1))
-        .when(F.col("error_code") == CORRUPTED_BATCH, F.lit(3))
-        .otherwise(F.lit(2))
-    )
-    worst = F.struct(rank.alias("rank"), F.col("path"), F.col("error_code"), F.col("error_message"))
-    per_source = per_file.groupBy("ord").agg(
-        F.min("format").alias("format"),
-        F.max("format").alias("other_format"),
-        F.min("schema_json").alias("schema_json"),
-        F.max("schema_json").alias("other_schema"),
-        F.sum("row_count").alias("row_count"),
-        F.max(nanos).alias("nanos"),
-        F.min(worst).alias("worst"),
-    )
-    for row in per_source.join(prints.select("ord", "fingerprint"), "ord").collect():
+    facts = dataset_facts(typed, "ord")
+    for row in facts.join(prints.select("ord", "fingerprint"), "ord").collect():
         result = results[row.ord]
         result.update(format=row.format, fingerprint=row.fingerprint)
-        if row.worst.error_code is not None:
-            _fail(result, row.worst.error_code, row.worst.error_message)
-        elif row.format != row.other_format:
-            _fail(result, INVALID_FORMAT, f"Files of {result['path']} have different formats")
-        elif row.schema_json != row.other_schema:
-            _fail(result, SCHEMA_MISMATCH, f"Files of {result['path']} have different schemas")
-        else:
-            result.update(schema_json=row.schema_json, row_count=row.row_count, nanos=row.nanos)
+        if row.error_code is not None:
+            _fail(result, row.error_code, f"{result['path']}: {row.error_message}")
+            continue
+        result.update(schema_json=row.schema_json, row_count=row.row_count, nanos=row.nanos)
+        if row.partitioned and row.format == PARQUET:
+            result["schema_json"] = _with_partitions(spark, result["path"], row.schema_json)
+
 
+def _with_partitions(spark: SparkSession, path: str, schema_json: str) -> str:
+    """The stated schema and the partition columns that a scan adds to it."""
+    stated = T.StructType.fromJson(json.loads(schema_json))
+    added = [f for f in read_parquet(spark, path, True).schema.fields if f.name not in stated.names]
+    return T.StructType(stated.fields + added).json()
 
-def _delimited_facts(spark: SparkSession, path: str, result: dict) -> None:
-    """Delimited text states no schema: it is inferred, one distributed job per source."""
-    options = csv_options(spark, path)
-    try:
-        schema = infer_schema(spark, path, options)
-        [row] = read_lines(spark, path, skip_header=options.has_header).agg(F.count(F.lit(1)).alias("n")).collect()
-        result.update(schema_json=schema.json(), row_count=row.n)
-    except EngineError as failure:
-        _fail(result, failure.code, failure.message)
+
+def _delimited_facts(spark: SparkSession, found: list[tuple], options_of: dict[int, CsvOptions], results: dict) -> None:
+    """Delimited text states no schema: types and row counts of all sources in one pass per notation.
+
+    The number of jobs depends on how many different options the sources have.
+    """
+    for options in dict.fromkeys(options_of.values()):
+        members = [f for f in found if options_of.get(f[0]) == options]
+        roots = _outermost([f[1] for f in members])
+        files = _files_of(_source_frame(spark, members), list_files(spark, roots), len(members))
+        files = files.where("length > 0").select("ord", "path")
+        headers = {r.ord: r for r in header_rows(files, "ord", options.delimiter).collect()}
+        masks = file_masks(spark, roots, options).join(files, "path").groupBy("ord", "position")
+        folded = masks.agg(F.bit_or("mask").alias("mask"), F.sum("lines").alias("lines"))
+        cells = {}
+        typed = folded.withColumn("data_type", type_of_mask(F.coalesce("mask", F.lit(NULL_CELL))))
+        for row in typed.where(F.col("position") < max((len(h.cells) for h in headers.values()), default=0)).collect():
+            cells[row.ord, row.position] = row
+        for i, _, _ in members:
+            try:
+                names = names_of(headers.get(i), results[i]["path"], options.has_header)
+            except EngineError as failure:
+                _fail(results[i], failure.code, failure.message)
+                continue
+            found_types = [cells[i, p].data_type if (i, p) in cells else "string" for p in range(len(names))]
+            schema = T.StructType([T.StructField(n, TYPES[t], True) for n, t in zip(names, found_types)])
+            results[i].update(schema_json=schema.json(), row_count=cells[i, 0].lines if (i, 0) in cells else 0)
 
 
 def _sample(result: dict, options: IngestionOptions) -> None:
@@ -208,7 +215,7 @@ def ingest(
     Rows of rejected sources carry ``error_code`` and ``error_message`` instead
     of a dataset. The files of all sources are listed, hashed and inspected
     together, in jobs whose number does not depend on how many sources there are
-    (delimited text excepted, whose schema needs a job of its own).
+    (only on how many different notations their delimited text has).
     """
     inspected = inspect_sources(spark, sources, options)
     if options.strict_schema:
@@ -306,4 +313,4 @@ def ingest_one(
 
 def preview(spark: SparkSession, source: IngestionSource, rows: int) -> DataFrame:
     """The first rows of a source, as its scan would deliver them."""
-    return scan(spark, source.source_path, source.format_hint, sample_limit=rows)
+    return scan(spark, source.source_path, source.format_hint, csv=source.csv, sample_limit=rows)

@@ -19,9 +19,9 @@ from pyspark.sql import types as T
 
 from ..functions.columns import quoted, ref
 from ..functions.local import local_frame
-from ..functions.types import canonical_name
+from ..functions.types import declared_name
 from ..model import MinRowCount, QualityRule
-from ..sources.scan import NANOS_AS_LONG, scan_parquet
+from ..sources.scan import NANOS_AS_LONG, open_parquet, read_parquet
 from .profile import column_states, profile_columns, with_percentage
 from .quality import quality_violations, violations_of
 
@@ -46,7 +46,9 @@ def _aggregates(fields: Sequence[T.StructField], bounds: bool) -> list[Column]:
     return [F.expr(a) for a in aggregates]
 
 
-def footer_query(spark: SparkSession, path: str, fields: Sequence[T.StructField], bounds: bool) -> DataFrame:
+def footer_query(
+    spark: SparkSession, path: str, fields: Sequence[T.StructField], bounds: bool, partitioned: bool = False
+) -> DataFrame:
     """Row count, counts per field and integer bounds as one row.
 
     A session of its own carries the settings, so the caller's stay as they are.
@@ -54,16 +56,16 @@ def footer_query(spark: SparkSession, path: str, fields: Sequence[T.StructField]
     session = spark.newSession()
     for key, value in PUSHDOWN.items():
         session.conf.set(key, value)
-    return session.read.parquet(path).agg(*_aggregates(fields, bounds))
+    return read_parquet(session, path, partitioned).agg(*_aggregates(fields, bounds))
 
 
-def _counts(df: DataFrame, path: str, fields: Sequence[T.StructField], bounds: bool) -> Row:
+def _counts(df: DataFrame, path: str, fields: Sequence[T.StructField], bounds: bool, partitioned: bool) -> Row:
     """The row of ``footer_query``; scanned from ``df`` when a footer lacks statistics.
 
     Spark reports missing statistics as a failed read.
     """
     try:
-        [row] = footer_query(df.sparkSession, path, fields, bounds).collect()
+        [row] = footer_query(df.sparkSession, path, fields, bounds, partitioned).collect()
     except (PySparkException, Py4JJavaError) as failure:
         if "spark.sql.parquet.aggregatePushdown" not in str(failure):
             raise
@@ -79,7 +81,7 @@ def _states(like: DataFrame, row: Row, fields: Sequence[T.StructField], position
         state.update(
             position=positions[field.name],
             column=field.name,
-            data_type=canonical_name(field.dataType),
+            data_type=declared_name(field),
             total_count=row["rows"],
             null_count=row["rows"] - row[f"present_{i}"],
         )
@@ -94,12 +96,12 @@ def profile_parquet(spark: SparkSession, path: str) -> DataFrame:
 
     The footer pass runs at once, the scan of the other columns stays lazy.
     """
-    df = scan_parquet(spark, path)
+    df, partitioned = open_parquet(spark, path)
     positions = {f.name: i for i, f in enumerate(df.schema.fields)}
     stated = [f for f in df.schema.fields if isinstance(f.dataType, INTEGERS + UNBOUNDED)]
     if not stated:
         return profile_columns(df)
-    row = _counts(df, path, stated, True)
+    row = _counts(df, path, stated, True, partitioned)
     scanned = df.drop(*[f.name for f in stated])
     read = column_states(scanned)
     states = _states(read, row, stated, positions)
@@ -116,7 +118,7 @@ def quality_violations_parquet(spark: SparkSession, path: str, rules: Sequence[Q
     columns are asked for apart: they alone are scanned then. Rules on nested
     columns always lead to a scan.
     """
-    df = scan_parquet(spark, path)
+    df, partitioned = open_parquet(spark, path)
     named = {r.column for r in rules if not isinstance(r, MinRowCount)}
     fields = [f for f in df.schema.fields if f.name in named]
     if not all(isinstance(f.dataType, INTEGERS + UNBOUNDED + SCANNED) for f in fields):
@@ -125,10 +127,10 @@ def quality_violations_parquet(spark: SparkSession, path: str, rules: Sequence[Q
     positions = {f.name: i for i, f in enumerate(fields)}
     texts = [f for f in fields if isinstance(f.dataType, T.StringType)]
     others = [f for f in fields if f not in texts]
-    row = _counts(df, path, others, False)
+    row = _counts(df, path, others, False, partitioned)
     summary = dict.fromkeys(like.columns)
     summary.update(position=-1, total_count=row["rows"], null_count=0)
     whole = local_frame(spark, [tuple(summary.values())], like.schema).unionByName(_states(like, row, others, positions))
     if texts:
-        whole = whole.unionByName(_states(like, _counts(df, path, texts, False), texts, positions))
+        whole = whole.unionByName(_states(like, _counts(df, path, texts, False, partitioned), texts, positions))
     return violations_of(with_percentage(whole), rules)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import ntz_micros_text, quoted, ref, text_literal
-from ..functions.types import canonical_name
+from ..functions.types import canonical_name, declared_name
 
 # Each (family, type) pair is carried as min_<family> and max_<family>. Exactly
 # one family is filled per column, so that no value is turned into text.
@@ -82,7 +82,7 @@ def _aggregates(
 
 def _state(i: int, field: T.StructField, extended: bool, rsd: float | None, bounds: bool) -> str:
     family = _family(field.dataType, extended, bounds)
-    kind = canonical_name(field.dataType) or field.dataType.simpleString()
+    kind = declared_name(field) or field.dataType.simpleString()
     parts = [
         f"{i} AS position",
         f"{text_literal(field.name)} AS column",

@@ -33,6 +33,12 @@ LOG_SCHEMA = """
 _CARRIED = ("name", "path", "format", "fingerprint", "row_count", "byte_size", "version_id", "schema_json")
 
 
+_SUMMARY = ("version_count", "created_at", "updated_at")
+
+# Tasks that a single name's events are spread over.
+SALTS = 8
+
+
 def _is_removal() -> Column:
     return F.col("op") == REMOVE
 
@@ -75,25 +81,48 @@ def resolve_stored(log: DataFrame, *, width: int = CHUNK) -> DataFrame:
 def current(log: DataFrame) -> DataFrame:
     """Registered datasets with the state of their last registration.
 
-    Aggregated, not windowed: partial aggregates leave one row per dataset and
-    task, however many versions a dataset has.
+    Hash aggregates over numbers, not windows: one row per dataset and task,
+    however many versions a dataset has. The last event, found by its number, is
+    then joined back on (dataset, number), a key that no dataset can overfill.
     """
-    state = F.struct(*[F.col(c) for c in _CARRIED])
     registered = F.col("op") == REGISTER
     folded = log.groupBy("dataset_id").agg(
-        F.max_by(F.when(registered, state), F.when(registered, F.col("seq"))).alias("last"),
+        *_summary(registered), F.max(F.when(registered, F.lit(0)).otherwise(1)).alias("removed")
+    )
+    last = folded.where("removed = 0").drop("removed")
+    return log.where(registered).join(last, ["dataset_id", "seq"]).select("dataset_id", *_CARRIED, *_SUMMARY)
+
+
+def _summary(registered: Column) -> list[Column]:
+    return [
+        F.max(F.when(registered, F.col("seq"))).alias("seq"),
         F.count(F.when(registered, F.lit(1))).alias("version_count"),
         F.min(F.when(registered, F.col("at"))).alias("created_at"),
         F.max(F.when(registered, F.col("at"))).alias("updated_at"),
-        F.max(F.when(registered, F.lit(0)).otherwise(1)).alias("removed"),
-    )
-    return folded.where("removed = 0").select(
-        "dataset_id",
-        *[F.col(f"last.{c}").alias(c) for c in _CARRIED],
-        "version_count",
-        "created_at",
-        "updated_at",
+    ]
+
+
+def current_of_raw(raw: DataFrame, namespace: str) -> DataFrame:
+    """``current`` of raw events, without resolving every event first.
+
+    Only events after a name's last removal count. The removals, one row per
+    name, meet the registrations on (name, salt), so a name with a third of all
+    events is spread over ``SALTS`` tasks.
+    """
+    gone = raw.where(_is_removal()).groupBy("name").agg(
+        F.count(F.lit(1)).alias("removals"), F.max("seq").alias("last_removal")
     )
+    salted = gone.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    registered = raw.where(F.col("op") == REGISTER)
+    salt = F.pmod(F.col("seq"), F.lit(SALTS)).cast("int")
+    events = registered.select("name", "seq", "at", salt.alias("salt")).join(salted, ["name", "salt"], "left")
+    removals = F.coalesce("removals", F.lit(0))
+    alive = events.where(F.col("last_removal").isNull() | (F.col("seq") > F.col("last_removal")))
+    last = alive.groupBy("name", removals.alias("removals")).agg(*_summary(F.lit(True)))
+    identity = identifier(F.lit(namespace), F.col("removals"), F.col("name")).alias("dataset_id")
+    version = version_id(F.col("fingerprint"), F.col("schema_json")).alias("version_id")
+    found = registered.drop("op", "at").join(last, ["name", "seq"])
+    return found.select(identity, *[c for c in _CARRIED if c != "version_id"], version, *_SUMMARY)
 
 
 def versions(resolved: DataFrame) -> DataFrame:
@@ -219,6 +248,6 @@ class Registry:
         """
         known = current(self.log()).drop("row_count")
         rows = known.join(counted, "name").select(
-            F.monotonically_increasing_id().alias("ord"), *[c for c in _CARRIED], F.lit(False).alias("row_count_is_sampled")
+            F.monotonically_increasing_id().alias("ord"), *_CARRIED, F.lit(False).alias("row_count_is_sampled")
         )
         return self.register(rows)

@@ -38,7 +38,7 @@ from ..operators.ingest import ingest
 from ..operators.parquet_footers import profile_parquet, quality_violations_parquet
 from ..operators.profile import column_states, exact_distinct, merge_states, profile_columns
 from ..operators.quality import quality_violations
-from ..operators.registry import REGISTER, REMOVE, Registry, current, resolve, schema_drift, versions
+from ..operators.registry import REGISTER, REMOVE, Registry, current_of_raw, resolve, schema_drift, versions
 from ..session import configure, scratch_dir
 from ..sources.arrow_ipc import deserialize, read_ipc, serialize, write_ipc
 from ..sources.delimited import join_cells, numbered
@@ -421,7 +421,7 @@ def registry_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry_current(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return current(resolve(raw_events(spark, sf_dir), NAMESPACE, width=CHUNK))
+    return current_of_raw(raw_events(spark, sf_dir), NAMESPACE)
 
 
 def registry_versions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from typing import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import InvalidFormat
-from ..functions.cells import is_blank, split_cells, trim
+from ..errors import InvalidFormat, SchemaMismatch
+from ..functions.cells import WHITE_SPACE, is_blank, split_cells, trim
+from .files import filesystem_of, list_files
 
 # Reading whole lines through the CSV source: separator, quote and escape are
 # Unicode noncharacters, which text does not hold. That source is used because
@@ -25,61 +29,92 @@ def _as_list(paths: str | list[str]) -> list[str]:
 
 
 def read_lines(spark: SparkSession, paths: str | list[str], *, skip_header: bool) -> DataFrame:
-    """Non-blank lines of the files, without each file's header line if asked.
+    """Non-blank lines of all files below the paths, without each file's header line if asked.
 
     One narrow scan: files split at any block, no shuffle and no join.
     """
     if skip_header:
         lines = (
-            spark.read.schema("line string").options(header="true", **_WHOLE_LINE).csv(_as_list(paths))
+            spark.read.schema("line string")
+            .options(header="true", recursiveFileLookup="true", **_WHOLE_LINE)
+            .csv(_as_list(paths))
         )
     else:
-        lines = spark.read.option("lineSep", "\n").text(_as_list(paths)).select(F.col("value").alias("line"))
+        texts = spark.read.options(lineSep="\n", recursiveFileLookup="true").text(_as_list(paths))
+        lines = texts.withColumnRenamed("value", "line")
     return lines.where(~is_blank(F.col("line")))
 
 
-def first_lines(spark: SparkSession, paths: str | list[str], limit: int, *, skip_header: bool) -> DataFrame:
-    """The first ``limit`` non-blank lines of every file.
+def leading_lines(files: DataFrame, limit: int) -> DataFrame:
+    """``(path, rank, line)``: the first ``limit`` non-blank lines of each file, ranked from 1.
 
-    Only the first block of each file is looked at unless a file turns out to
-    hold fewer lines in it than asked for. The per-file rank keeps at most
-    ``limit`` lines per task before the shuffle.
+    Tasks open the files and stop after those lines, so the rest is never read.
     """
-    if limit <= 0:
-        return read_lines(spark, paths, skip_header=skip_header).limit(0)
-    lines = read_lines(spark, paths, skip_header=skip_header).select(
-        "line",
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.col("_metadata.file_block_length").alias("block_length"),
-        F.col("_metadata.file_size").alias("file_size"),
-        F.monotonically_increasing_id().alias("at"),
-    )
-    rank = F.row_number().over(Window.partitionBy("file").orderBy("block", "at"))
-
-    def ranked(part: DataFrame) -> DataFrame:
-        return part.withColumn("rank", rank).where(F.col("rank") <= limit)
-
-    head = ranked(lines.where("block = 0"))
-    short = head.groupBy("file").agg(
-        F.max("rank").alias("n"), F.max("block_length").alias("read"), F.max("file_size").alias("size")
-    )
-    if short.where((F.col("n") < limit) & (F.col("read") < F.col("size"))).limit(1).count() == 0:
-        return head.select("line")
-    return ranked(lines).select("line")
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                lines = list(_first_lines(path, limit))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([path] * len(lines), pa.string()),
+                        pa.array(range(1, len(lines) + 1), pa.int64()),
+                        pa.array(lines, pa.string()),
+                    ],
+                    names=["path", "rank", "line"],
+                )
+
+    return files.select("path").mapInArrow(read, "path string, rank bigint, line string")
+
+
+def _first_lines(path: str, limit: int) -> Iterator[str]:
+    """Non-blank lines from the start of a file, decompressed as its name says."""
+    filesystem, place = filesystem_of(path)
+    rest, found = b"", 0
+    with filesystem.open_input_stream(place) as source:
+        while found < limit:
+            chunk = source.read(1 << 16)
+            *lines, rest = (rest + chunk).split(b"\n") if chunk else (rest, b"")
+            for line in lines:
+                text = line.decode("utf-8", "replace")
+                if found < limit and text.strip(WHITE_SPACE):
+                    found += 1
+                    yield text
+            if not chunk:
+                return
 
-def header_cells(spark: SparkSession, paths: str | list[str], delimiter: str, has_header: bool) -> list[str]:
-    """Column names: the first line of the first file, or numbered names.
 
-    The limit stops the scan at the first non-blank line. All files of one
-    dataset share the header of the first, as with Spark's own CSV reader.
-    """
-    first = spark.read.option("lineSep", "\n").text(_as_list(paths)).where(~is_blank(F.col("value")))
-    rows = first.select(F.transform(split_cells(F.col("value"), delimiter), trim).alias("cells")).limit(1).collect()
-    if not rows:
+def first_lines(spark: SparkSession, paths: str | list[str], limit: int, *, skip_header: bool) -> DataFrame:
+    """The first ``limit`` non-blank lines of every file, after its header line if asked."""
+    skipped = 1 if skip_header else 0
+    lines = leading_lines(list_files(spark, paths), max(limit, 0) + skipped)
+    return lines.where(F.col("rank") > skipped).select("line")
+
+
+def header_rows(files: DataFrame, key: str, delimiter: str) -> DataFrame:
+    """``(key, path, cells, headers)`` per dataset: first file's first line and how many different ones its files have."""
+    lines = leading_lines(files, 1).join(files.select(key, "path"), "path")
+    cells = F.transform(split_cells(F.col("line"), delimiter), trim)
+    first = F.min(F.struct("path", "cells"))
+    # Different headers first: a dataset of many files leaves few rows per task.
+    rows = lines.select(key, "path", cells.alias("cells")).groupBy(key, "cells").agg(F.min("path").alias("path"))
+    return rows.groupBy(key).agg(first.alias("first"), F.count(F.lit(1)).alias("headers")).select(key, "first.*", "headers")
+
+
+def names_of(row: Row | None, source: str, has_header: bool) -> list[str]:
+    """Column names from a row of ``header_rows``: the header that all files share, or numbered names."""
+    if row is None:
         raise InvalidFormat("No lines to infer a schema from")
-    return list(rows[0].cells) if has_header else numbered(len(rows[0].cells))
+    if has_header and row.headers > 1:
+        raise SchemaMismatch(f"{source}: its files have {row.headers} different headers")
+    return list(row.cells) if has_header else numbered(len(row.cells))
+
+
+def header_cells(spark: SparkSession, paths: str | list[str], delimiter: str, has_header: bool) -> list[str]:
+    """Column names of one dataset, whose files must agree on their header."""
+    files = list_files(spark, paths).select("path", F.lit(0).alias("key"))
+    row = next(iter(header_rows(files, "key", delimiter).collect()), None)
+    return names_of(row, str(paths), has_header)
 
 
 def numbered(count: int) -> list[str]:

@@ -13,7 +13,6 @@ from ..errors import SourceIoError
 from ..model import EXTENSIONS, MAGIC
 
 
-
 def filesystem_of(uri: str):
     """File system and path behind a path as Spark prints it. Runs inside tasks."""
     from pyarrow import fs
@@ -39,6 +38,16 @@ def list_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return listing.load([paths] if isinstance(paths, str) else list(paths)).select("path", "length")
 
 
+def is_partitioned(relative_path: Column) -> Column:
+    """Whether a file lies below a folder named ``key=value``, as in a Hive layout."""
+    return F.exists(F.split(relative_path, "/"), lambda part: part.rlike("^[^=]+=")) & relative_path.contains("/")
+
+
+def decoded_path(file_path: Column) -> Column:
+    """``_metadata.file_path``, which is a URI, as the listing prints it."""
+    return F.url_decode(F.replace(file_path, F.lit("+"), F.lit("%2B")))
+
+
 def file_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 

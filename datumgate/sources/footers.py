@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import CORRUPTED_BATCH, INVALID_FORMAT, UNSUPPORTED_DATA_TYPE
-from ..functions.types import arrow_canonical, unsupported_message
+from ..errors import CORRUPTED_BATCH, INVALID_FORMAT, SCHEMA_MISMATCH, UNSUPPORTED_DATA_TYPE
+from ..functions.types import arrow_canonical, declared_metadata, unsupported_message
 from ..model import ARROW_IPC, PARQUET
-from .files import open_file
+from .files import is_partitioned, open_file
 
 FOOTER_SCHEMA = T.StructType(
     [
@@ -39,13 +39,26 @@ FOOTER_SCHEMA = T.StructType(
 )
 
 
-def open_ipc(source: pa.NativeFile):
-    """Reader of an Arrow IPC file; falls back to the stream layout from the start."""
+def open_ipc(source: pa.NativeFile, fields: list[int] | None = None):
+    """Reader of an Arrow IPC file; falls back to the stream layout from the start.
+
+    With ``fields`` only the buffers of those columns are read and decoded.
+    """
+    options = pa.ipc.IpcReadOptions(included_fields=fields) if fields else None
     try:
-        return pa.ipc.open_file(source)
+        return pa.ipc.open_file(source, options=options)
     except pa.ArrowInvalid:
         source.seek(0)
-        return pa.ipc.open_stream(source)
+        return pa.ipc.open_stream(source, options=options)
+
+
+def ipc_row_count(source: pa.NativeFile, schema: pa.Schema) -> int:
+    """Rows of an IPC file, from the buffers of its narrowest column alone."""
+    if not len(schema):
+        return 0
+    widths = [f.type.bit_width if pa.types.is_primitive(f.type) else 1 << 16 for f in schema]
+    source.seek(0)
+    return sum(batch.num_rows for batch in ipc_batches(open_ipc(source, [widths.index(min(widths))])))
 
 
 def ipc_batches(reader, start: int = 0, stop: int | None = None) -> Iterator[pa.RecordBatch]:
@@ -56,8 +69,8 @@ def ipc_batches(reader, start: int = 0, stop: int | None = None) -> Iterator[pa.
         yield from reader
 
 
-def inspect_footer(path: str, fmt: str | None) -> dict:
-    """Facts of one file as a row of ``FOOTER_SCHEMA``."""
+def inspect_footer(path: str, fmt: str | None, counts: bool = True) -> dict:
+    """Facts of one file as a row of ``FOOTER_SCHEMA``; ``counts=False`` leaves IPC rows uncounted."""
     row = {name: None for name in FOOTER_SCHEMA.names}
     row.update(path=path, format=fmt)
     if fmt not in (PARQUET, ARROW_IPC):
@@ -83,10 +96,12 @@ def inspect_footer(path: str, fmt: str | None) -> dict:
             if bad is not None:
                 row.update(error_code=UNSUPPORTED_DATA_TYPE, error_message=unsupported_message(bad.name, bad.type))
                 return row
-            row["schema_json"] = T.StructType([T.StructField(f.name, known[1], True) for f, known in types]).json()
-            if fmt == ARROW_IPC:
+            row["schema_json"] = T.StructType(
+                [T.StructField(f.name, t, True, declared_metadata(stored, t)) for f, (stored, t) in types]
+            ).json()
+            if fmt == ARROW_IPC and counts:
                 # Only the batches themselves know their lengths.
-                row["row_count"] = sum(batch.num_rows for batch in ipc_batches(reader))
+                row["row_count"] = ipc_row_count(source, schema)
     except (pa.ArrowException, OSError) as broken:
         row.update(error_code=CORRUPTED_BATCH, error_message=str(broken), row_count=None, schema_json=None)
     return row
@@ -104,7 +119,7 @@ def _arrow_footer_schema() -> pa.Schema:
     )
 
 
-def read_footers(files: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+def read_footers(files: DataFrame, keep: Sequence[str] = (), counts: bool = True) -> DataFrame:
     """The schema each ``(path, format)`` row's file states itself; ``keep`` passes columns through.
 
     Runs in the partitions the listing already has; nothing is shuffled. Types
@@ -116,7 +131,7 @@ def read_footers(files: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     def inspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             asked = zip(batch.column("path").to_pylist(), batch.column("format").to_pylist())
-            facts = pa.RecordBatch.from_pylist([inspect_footer(path, fmt) for path, fmt in asked], schema=footer_schema)
+            facts = pa.RecordBatch.from_pylist([inspect_footer(path, fmt, counts) for path, fmt in asked], schema=footer_schema)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(f.name) for f in kept] + facts.columns, names=[f.name for f in kept] + facts.schema.names
             )
@@ -125,6 +140,51 @@ def read_footers(files: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return wanted.mapInArrow(inspect, T.StructType(kept + FOOTER_SCHEMA.fields))
 
 
+def dataset_facts(typed: DataFrame, key: str, counts: bool = True) -> DataFrame:
+    """One row per dataset from its ``(key, relative_path, path, format)`` files, every file looked at.
+
+    Carries the schema and row count, or the first error: undetectable,
+    unsupported type, corrupt, then files that differ in format or schema, or
+    that are only partly in a Hive layout.
+    """
+    nanos = F.exists("fields", lambda f: f["data_type"].contains("Timestamp(Nanosecond"))
+    rank = (
+        F.when(F.col("error_code").isNull(), F.lit(9))
+        .when(F.col("error_code") == INVALID_FORMAT, F.lit(1))
+        .when(F.col("error_code") == CORRUPTED_BATCH, F.lit(3))
+        .otherwise(F.lit(2))
+    )
+    worst = F.struct(rank.alias("rank"), F.col("path"), F.col("error_code"), F.col("error_message"))
+    in_layout = is_partitioned(F.col("relative_path"))
+    folded = read_footers(typed, keep=[key, "relative_path"], counts=counts).groupBy(key).agg(
+        F.min("format").alias("format"),
+        F.max("format").alias("other_format"),
+        F.min("schema_json").alias("schema_json"),
+        F.max("schema_json").alias("other_schema"),
+        F.sum("row_count").alias("row_count"),
+        F.max(nanos).alias("nanos"),
+        F.min(in_layout).alias("all_partitioned"),
+        F.max(in_layout).alias("partitioned"),
+        F.min(worst).alias("worst"),
+    )
+    formats, schemas = F.col("format") != F.col("other_format"), F.col("schema_json") != F.col("other_schema")
+    mixed = F.col("all_partitioned") != F.col("partitioned")
+    code = (
+        F.when(F.col("worst.error_code").isNotNull(), F.col("worst.error_code"))
+        .when(formats, F.lit(INVALID_FORMAT))
+        .when(schemas | mixed, F.lit(SCHEMA_MISMATCH))
+    )
+    message = (
+        F.when(F.col("worst.error_code").isNotNull(), F.col("worst.error_message"))
+        .when(formats, F.lit("Files of one dataset have different formats"))
+        .when(schemas, F.lit("Files of one dataset have different schemas"))
+        .when(mixed, F.lit("Only some files of one dataset lie in partition folders"))
+    )
+    return folded.select(
+        key, "format", "schema_json", "row_count", "nanos", "partitioned", code.alias("error_code"), message.alias("error_message")
+    )
+
+
 def footer_contract(files: DataFrame) -> DataFrame:
     """One row per (file, field): the type in the file and whether it is canonical."""
     return read_footers(files).select("path", F.inline("fields"))

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import json
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import InvalidFormat, UnsupportedDataType, error_for
 from ..functions.columns import ntz_from_micros, ref
-from ..functions.types import unsupported_message
+from ..functions.types import STORED_TYPE, unsupported_message
 from ..model import ARROW_IPC, CSV, PARQUET, CsvOptions
 from ..operators.infer import load_delimited
 from .arrow_ipc import read_ipc
 from .files import detect_file, detect_formats, first_file, list_files, require_path
-from .footers import inspect_footer
+from .footers import dataset_facts
 
 NANOS_AS_LONG = "spark.sql.legacy.parquet.nanosAsLong"
 
@@ -23,7 +25,9 @@ def detect(spark: SparkSession, path: str) -> str:
     if first_file(spark, path) == path:
         found = [detect_file(path)]
     else:
-        found = [r.format for r in detect_formats(list_files(spark, path)).select("format").distinct().collect()]
+        # Formats are few, whatever the number of files.
+        files = list_files(spark, path).where("length > 0")
+        found = [r.format for r in detect_formats(files).select("format").distinct().collect()]
     if len(found) != 1 or found[0] is None:
         raise InvalidFormat(f"Cannot tell the storage format of {path}")
     return found[0]
@@ -37,38 +41,69 @@ def csv_options(spark: SparkSession, path: str, options: CsvOptions | None = Non
     return CsvOptions(delimiter="\t") if name.lower().endswith(".tsv") else CsvOptions()
 
 
+def stated_facts(spark: SparkSession, root: str, fmt: str) -> Row:
+    """The dataset's row of ``dataset_facts``: one job over the headers of all its files."""
+    relative = F.ltrim(F.substring("path", len(root) + 1, 2**31 - 1), F.lit("/"))
+    files = list_files(spark, root).where("length > 0").select("path", F.lit(fmt).alias("format"), F.lit(0).alias("key"))
+    found = dataset_facts(files.withColumn("relative_path", relative), "key", counts=False).collect()
+    if not found:
+        raise InvalidFormat(f"No data in {root}")
+    if found[0].error_code is not None:
+        raise error_for(found[0].error_code, f"{root}: {found[0].error_message}")
+    return found[0]
+
+
 def scan_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """Parquet rows of ``open_parquet``."""
+    return open_parquet(spark, path)[0]
+
+
+def open_parquet(spark: SparkSession, path: str) -> tuple[DataFrame, bool]:
     """Parquet rows under the contract, which is checked before any row is read.
 
-    As in Spark's own schema inference, one file speaks for the folder; the
-    footer check of ``footers`` covers every file. The footer tells unsigned
-    64-bit columns from decimals and shows types that Spark reads as others.
-    Nanosecond timestamps are read as integers and floored to microseconds.
+    A dataset is every file below the path, and all must state one schema, as in
+    ingestion; folders named ``key=value`` add their keys as columns. Footers
+    tell unsigned 64-bit columns from decimals and show types that Spark reads as
+    others, which the fields keep as metadata. Nanosecond timestamps are read as
+    integers and floored to microseconds. Also tells whether partition folders were found.
     """
-    first = first_file(spark, path)
-    if first is None:
-        raise InvalidFormat(f"No data in {path}")
-    footer = inspect_footer(first, PARQUET)
-    if footer["error_code"] is not None:
-        raise error_for(footer["error_code"], footer["error_message"])
-    nanos = {f["field"]: f["data_type"] for f in footer["fields"] if "Timestamp(Nanosecond" in f["data_type"]}
-    if nanos:
+    root = require_path(spark, path).rstrip("/")
+    facts = stated_facts(spark, root, PARQUET)
+    stored = {
+        f["name"]: f["metadata"][STORED_TYPE]
+        for f in json.loads(facts.schema_json)["fields"]
+        if STORED_TYPE in f["metadata"]
+    }
+    if any("Timestamp(Nanosecond" in name for name in stored.values()):
         # A session of its own: the caller's other reads must not change.
         spark = spark.newSession()
         spark.conf.set(NANOS_AS_LONG, "true")
-    df = spark.read.parquet(path)
-    return df.select(*[_with_micros(f, nanos.get(f.name)) for f in df.schema.fields]) if nanos else df
+    df = read_parquet(spark, root, facts.partitioned)
+    if stored:
+        df = df.select(*[_as_stored(f, stored.get(f.name)) for f in df.schema.fields])
+    return df, facts.partitioned
 
 
-def _with_micros(field: T.StructField, stored: str | None) -> Column:
-    """The column, with nanoseconds (read as integers) floored to microseconds."""
-    col = ref(field.name)
+def read_parquet(spark: SparkSession, root: str, partitioned: bool) -> DataFrame:
+    """All Parquet files below a folder; partition folders become columns."""
+    return spark.read.option("recursiveFileLookup", str(not partitioned).lower()).parquet(root)
+
+
+def _as_stored(field: T.StructField, stored: str | None) -> Column:
+    """The column with its stored type as metadata; nanoseconds become microseconds."""
     if stored is None:
-        return col
-    if not isinstance(field.dataType, T.LongType):
+        return ref(field.name)
+    if "Timestamp(Nanosecond" in stored and not stored.startswith("Timestamp("):
         raise UnsupportedDataType(unsupported_message(field.name, stored))
+    col = _with_micros(field, stored) if stored.startswith("Timestamp(Nanosecond") else ref(field.name)
+    return col.alias(field.name, metadata={STORED_TYPE: stored})
+
+
+def _with_micros(field: T.StructField, stored: str) -> Column:
+    """The column, with nanoseconds (read as integers) floored to microseconds."""
+    col = ref(field.name)
     micros = F.floor(col.cast("decimal(20,0)") / F.lit(1000).cast("decimal(4,0)")).cast("bigint")
-    return (ntz_from_micros(micros) if stored.endswith("None)") else F.timestamp_micros(micros)).alias(field.name)
+    return (ntz_from_micros(micros) if stored.endswith("None)") else F.timestamp_micros(micros))
 
 
 def scan(
