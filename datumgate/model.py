@@ -47,11 +47,15 @@ class IngestionSource:
 
 @dataclass(frozen=True)
 class IngestionOptions:
-    """``strict_schema`` refuses a known name that arrives with another schema."""
+    """``strict_schema`` refuses a known name that arrives with another schema.
+
+    ``verify`` decodes every file, which finds broken data behind a sound footer.
+    """
 
     strict_schema: bool = True
     max_bytes: int | None = None
     sample_limit: int | None = None
+    verify: bool = False
 
 
 @dataclass(frozen=True)

@@ -86,7 +86,7 @@ def inspect_sources(
         _sizes(spark, found, results, options)
     accepted = [f for f in found if "error_code" not in results[f[0]]]
     if accepted:
-        _facts(spark, accepted, results)
+        _facts(spark, accepted, results, options.verify)
     texts = [f for f in accepted if results[f[0]].get("format") == CSV and "error_code" not in results[f[0]]]
     if texts:
         _delimited_facts(spark, texts, {i: csv_options(spark, full, sources[i].csv) for i, full, _ in texts}, results)
@@ -121,7 +121,7 @@ def _sizes(spark: SparkSession, found: list[tuple], results: dict, options: Inge
             )
 
 
-def _facts(spark: SparkSession, accepted: list[tuple], results: dict) -> None:
+def _facts(spark: SparkSession, accepted: list[tuple], results: dict, verify: bool) -> None:
     """Fingerprints, formats, schemas and row counts of all sources in one job each."""
     roots = _outermost([f[1] for f in accepted])
     frame = _source_frame(spark, accepted)
@@ -131,7 +131,7 @@ def _facts(spark: SparkSession, accepted: list[tuple], results: dict) -> None:
     detected = detect_formats(list_files(spark, roots))
     typed = _files_of(frame, detected, len(accepted)).where("length > 0")
     typed = typed.withColumn("format", F.coalesce("hint", "format"))
-    facts = dataset_facts(typed, "ord")
+    facts = dataset_facts(typed, "ord", verify=verify)
     for row in facts.join(prints.select("ord", "fingerprint"), "ord").collect():
         result = results[row.ord]
         result.update(format=row.format, fingerprint=row.fingerprint)

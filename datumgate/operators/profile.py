@@ -32,6 +32,8 @@ EXTENDED_FAMILIES = (
 
 # One generated aggregate covers at most this many columns.
 COLUMNS_PER_PASS = 100
+# Size of a distinct sketch: 2 ** 12 registers, a standard error of about 1.6 %.
+SKETCH_BITS = 12
 
 
 def _family(dtype: T.DataType, extended: bool, bounds: bool = True) -> str | None:
@@ -64,7 +66,7 @@ def _families(extended: bool) -> tuple[tuple[str, str], ...]:
 
 
 def _aggregates(
-    fields: list[tuple[int, T.StructField]], extended: bool, rsd: float | None, bounds: bool
+    fields: list[tuple[int, T.StructField]], extended: bool, rsd: float | None, bounds: bool, sketches: bool
 ) -> list[str]:
     aggs = ["count(1) AS rows"]
     for i, field in fields:
@@ -77,10 +79,19 @@ def _aggregates(
             aggs += [f"min({value}) AS min_{i}", f"max({value}) AS max_{i}"]
         if rsd is not None:
             aggs.append(f"approx_count_distinct({name}, {rsd}D) AS distinct_{i}")
+        if sketches:
+            aggs.append(f"hll_sketch_agg({_hashable(name, field.dataType)}, {SKETCH_BITS}) AS sketch_{i}")
     return aggs
 
 
-def _state(i: int, field: T.StructField, extended: bool, rsd: float | None, bounds: bool) -> str:
+def _hashable(name: str, dtype: T.DataType) -> str:
+    """A column as a type that distinct sketches take."""
+    if isinstance(dtype, (T.IntegerType, T.LongType, T.StringType)):
+        return name
+    return f"to_json(struct({name}))" if isinstance(dtype, (T.ArrayType, T.StructType)) else f"CAST({name} AS string)"
+
+
+def _state(i: int, field: T.StructField, extended: bool, rsd: float | None, bounds: bool, sketches: bool) -> str:
     family = _family(field.dataType, extended, bounds)
     kind = declared_name(field) or field.dataType.simpleString()
     parts = [
@@ -99,10 +110,12 @@ def _state(i: int, field: T.StructField, extended: bool, rsd: float | None, boun
             elif name == family and isinstance(field.dataType, T.TimestampType):
                 value = f"unix_micros({value})"
             parts.append(f"CAST({value} AS {sql_type}) AS {side}_{name}")
+    if sketches:
+        parts.append(f"sketch_{i} AS distinct_sketch")
     return f"struct({', '.join(parts)})"
 
 
-def _summary_state(extended: bool) -> str:
+def _summary_state(extended: bool, sketches: bool) -> str:
     parts = [
         "-1 AS position",
         "CAST(NULL AS string) AS column",
@@ -113,6 +126,8 @@ def _summary_state(extended: bool) -> str:
     ]
     for name, sql_type in _families(extended):
         parts += [f"CAST(NULL AS {sql_type}) AS {side}_{name}" for side in ("min", "max")]
+    if sketches:
+        parts.append("CAST(NULL AS binary) AS distinct_sketch")
     return f"struct({', '.join(parts)})"
 
 
@@ -135,26 +150,35 @@ def column_states(
     rsd: float | None = None,
     summary: bool = False,
     bounds: bool = True,
+    sketches: bool = False,
 ) -> DataFrame:
     """Mergeable profile, one row per column (and per ``by`` group).
 
     ``summary=True`` adds one row with a null column name and the row count,
     from the same pass over the data. ``bounds=False`` leaves minimum and maximum
-    out, for checks that only count.
+    out, for checks that only count. ``sketches=True`` adds a distinct sketch
+    that ``merge_states`` can fold.
+
+    Bounds of texts cannot be held in a hash aggregate, so under ``by`` texts are
+    folded apart: only their columns are sorted.
     """
     by = by or []
     fields = [(i, f) for i, f in enumerate(df.schema.fields) if f.name not in by]
-    chunks = [fields[at : at + COLUMNS_PER_PASS] for at in range(0, len(fields), COLUMNS_PER_PASS)] or [[]]
+    groups = [fields]
+    if by and bounds and not sketches:
+        texts = [f for f in fields if isinstance(f[1].dataType, T.StringType)]
+        groups = [g for g in ([f for f in fields if f not in texts], texts) if g]
+    chunks = [g[at : at + COLUMNS_PER_PASS] for g in groups for at in range(0, len(g), COLUMNS_PER_PASS)] or [[]]
     keys = [ref(name) for name in by]
     names = [quoted(name) for name in by]
     frames = []
     for at, chunk in enumerate(chunks):
-        states = [_state(i, f, extended, rsd, bounds) for i, f in chunk]
+        states = [_state(i, f, extended, rsd, bounds, sketches) for i, f in chunk]
         if summary and at == 0:
-            states.append(_summary_state(extended))
-        folded = df.groupBy(*keys).agg(*[F.expr(a) for a in _aggregates(chunk, extended, rsd, bounds)])
+            states.append(_summary_state(extended, sketches))
+        folded = df.groupBy(*keys).agg(*[F.expr(a) for a in _aggregates(chunk, extended, rsd, bounds, sketches)])
         if not states:
-            return folded.selectExpr(*names, f"inline(array({_summary_state(extended)}))").where("position >= 0")
+            return folded.selectExpr(*names, f"inline(array({_summary_state(extended, sketches)}))").where("position >= 0")
         frames.append(folded.selectExpr(*names, f"inline(array({', '.join(states)}))"))
     return reduce(DataFrame.unionByName, frames)
 
@@ -178,15 +202,19 @@ def merge_states(states: DataFrame) -> DataFrame:
     """Fold the states of several parts of a dataset into its whole profile.
 
     Parts may be partitions profiled on different days: states add up, so a
-    growing dataset never needs its old files read again.
+    growing dataset never needs its old files read again. The distinct count
+    is known when the states hold sketches.
     """
+    held = "distinct_sketch" in states.columns
+    distinct = [F.hll_sketch_estimate(F.hll_union_agg("distinct_sketch")).alias("distinct_count_approx")] if held else []
     sides = [c for c in states.columns if c.startswith(("min_", "max_"))]
     folded = states.groupBy("position", "column", "data_type").agg(
         F.sum("total_count").alias("total_count"),
         F.sum("null_count").alias("null_count"),
         *[(F.min if c.startswith("min_") else F.max)(c).alias(c) for c in sides],
+        *distinct,
     )
-    merged = folded.withColumn("distinct_count_approx", F.lit(None).cast("bigint"))
+    merged = folded if held else folded.withColumn("distinct_count_approx", F.lit(None).cast("bigint"))
     order = [c for c in states.columns if c in merged.columns]
     return with_percentage(merged.select(*order))
 

@@ -45,6 +45,7 @@ from ..sources.delimited import join_cells, numbered
 from ..sources.files import detect_formats, file_name, format_by_magic, leading_bytes, list_files
 from ..sources.footers import footer_contract, read_footers
 from ..sources.scan import row_count, scan
+from .cases import CASES
 from .tables import TABLES, path_of, table
 
 SAMPLE = 1000
@@ -632,4 +633,5 @@ def all_queries() -> dict[str, Query]:
         ipc_nested_round_trip,
     ):
         found[query.__name__] = query
+    found |= {name: query for name, (query, _) in CASES.items()}
     return {name: _configured(query) for name, query in found.items()}

@@ -1,20 +1,17 @@
-"""Arrow IPC: a partitioned data source, and IPC buffers as DataFrame rows."""
+"""Arrow IPC: files read in spans of record batches, and IPC buffers as DataFrame rows."""
 
 from __future__ import annotations
 
 import itertools
-import json
 import uuid
-from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
 from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..errors import CorruptedBatch, SchemaMismatch, UnsupportedDataType
@@ -85,50 +82,29 @@ def _for_spark(batch: pa.RecordBatch, wanted: T.StructType, source: str) -> pa.R
     return pa.RecordBatch.from_arrays(columns, names=wanted.names)
 
 
-@dataclass
-class _Span(InputPartition):
-    """Parts of files one task reads: (uri, first batch, end batch or None)."""
+def _spans(files: DataFrame, span_bytes: int) -> DataFrame:
+    """``(path, first, stop)``: files cut into runs of record batches, by their own index.
 
-    parts: tuple[tuple[str, int, int | None], ...]
-
-
-class ArrowIpcReader(DataSourceReader):
-    def __init__(self, schema: T.StructType, options: dict):
-        self.wanted = schema
-        self.files = json.loads(options["files"])
-        self.partition_bytes = int(options.get("partitionBytes", PARTITION_BYTES))
-
-    def __getstate__(self) -> dict:
-        # Tasks get their own span; the list of all files stays with the planner.
-        return {k: v for k, v in self.__dict__.items() if k != "files"}
+    A stream has no index and stays whole. The tasks open the files.
+    """
 
-    def partitions(self) -> list[InputPartition]:
-        """Large files split by record batch, small files share a partition."""
-        large = [(u, n) for u, n in self.files if n > self.partition_bytes]
-        spans = []
-        with ThreadPoolExecutor(16) as pool:
-            for (uri, size), count in zip(large, pool.map(_batch_count, [u for u, _ in large])):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path, size in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist()):
+                count = _batch_count(path) if size > span_bytes else None
                 if count is None:
-                    spans.append(_Span(((uri, 0, None),)))
+                    rows.append((path, 0, None))
                     continue
-                step = max(1, count * self.partition_bytes // size)
-                spans += [_Span(((uri, at, min(at + step, count)),)) for at in range(0, count, step)]
-        bundle, filled = [], 0
-        for uri, size in sorted(f for f in self.files if f[1] <= self.partition_bytes):
-            if bundle and filled + size > self.partition_bytes:
-                spans.append(_Span(tuple(bundle)))
-                bundle, filled = [], 0
-            bundle.append((uri, 0, None))
-            filled += size + OPEN_COST_BYTES
-        if bundle:
-            spans.append(_Span(tuple(bundle)))
-        return spans
-
-    def read(self, partition: _Span) -> Iterator[pa.RecordBatch]:
-        for uri, start, stop in partition.parts:
-            with open_file(uri) as source:
-                for batch in ipc_batches(open_ipc(source), start, stop):
-                    yield _for_spark(batch, self.wanted, uri)
+                step = max(1, count * span_bytes // size)
+                rows += [(path, at, min(at + step, count)) for at in range(0, count, step)]
+            paths, firsts, stops = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(paths, pa.string()), pa.array(firsts, pa.int64()), pa.array(stops, pa.int64())],
+                names=["path", "first", "stop"],
+            )
+
+    return files.select("path", "length").mapInArrow(cut, "path string, first bigint, stop bigint")
 
 
 def _batch_count(uri: str) -> int | None:
@@ -138,18 +114,19 @@ def _batch_count(uri: str) -> int | None:
         return reader.num_record_batches if isinstance(reader, pa.ipc.RecordBatchFileReader) else None
 
 
-class ArrowIpcSource(DataSource):
-    """``spark.read.format("arrow_ipc")``; use ``read_ipc``, which lists the files."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "arrow_ipc"
-
-    def schema(self) -> T.StructType:
-        return ipc_schema(json.loads(self.options["files"])[0][0])
-
-    def reader(self, schema: T.StructType) -> DataSourceReader:
-        return ArrowIpcReader(schema, self.options)
+def _read_span(uri: str, first: int, stop: int | None, wanted: T.StructType) -> Iterator[pa.RecordBatch]:
+    """Rows of one span; buffers of other columns are not read."""
+    with open_file(uri) as source:
+        try:
+            held = open_ipc(source).schema
+            places = [held.get_field_index(name) for name in wanted.names]
+            # A name that is absent or double is reported from the whole batch.
+            fields = None if -1 in places else sorted(places)
+            source.seek(0)
+            for batch in ipc_batches(open_ipc(source, fields), first, stop):
+                yield _for_spark(batch, wanted, uri)
+        except pa.ArrowInvalid as broken:
+            raise CorruptedBatch(f"{uri}: {broken}") from broken
 
 
 def ipc_schema(uri: str) -> T.StructType:
@@ -168,16 +145,27 @@ def read_ipc(
     columns: list[str] | None = None,
     partition_bytes: int = PARTITION_BYTES,
 ) -> DataFrame:
-    """Rows of Arrow IPC files (either layout). ``columns`` prunes before Spark."""
-    files = [(r.path, r.length) for r in list_files(spark, paths).where("length > 0").toLocalIterator()]
-    if not files:
+    """Rows of Arrow IPC files (either layout). ``columns`` are the only ones read.
+
+    The driver sees one schema and the total size; tasks list the spans, and a
+    shuffle of their names spreads them evenly.
+    """
+    files = list_files(spark, paths).where("length > 0")
+    cost = F.col("length") + F.lit(min(OPEN_COST_BYTES, partition_bytes))
+    [total] = files.agg(F.min("path").alias("first"), F.sum(cost).alias("bytes")).collect()
+    if total.first is None:
         raise CorruptedBatch(f"no Arrow IPC data below {paths}")
-    schema = ipc_schema(min(files)[0])
+    schema = ipc_schema(total.first)
     if columns is not None:
         schema = T.StructType([schema[c] for c in columns])
-    spark.dataSource.register(ArrowIpcSource)
-    reader = spark.read.format("arrow_ipc").schema(schema)
-    return reader.options(files=json.dumps(files), partitionBytes=str(partition_bytes)).load()
+    spans = _spans(files, partition_bytes).repartition(1 + total.bytes // partition_bytes)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for span in batch.to_pylist():
+                yield from _read_span(span["path"], span["first"], span["stop"], schema)
+
+    return spans.mapInArrow(read, schema)
 
 
 def _unsigned(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -15,7 +15,7 @@ from ..model import ARROW_IPC, CSV, PARQUET, CsvOptions
 from ..operators.infer import load_delimited
 from .arrow_ipc import read_ipc
 from .files import detect_file, detect_formats, first_file, list_files, require_path
-from .footers import dataset_facts
+from .footers import dataset_facts, inspect_footer
 
 NANOS_AS_LONG = "spark.sql.legacy.parquet.nanosAsLong"
 
@@ -42,7 +42,15 @@ def csv_options(spark: SparkSession, path: str, options: CsvOptions | None = Non
 
 
 def stated_facts(spark: SparkSession, root: str, fmt: str) -> Row:
-    """The dataset's row of ``dataset_facts``: one job over the headers of all its files."""
+    """The dataset's row of ``dataset_facts``: one job over the headers of all its files.
+
+    The header of a dataset that is one file is read without a job.
+    """
+    if first_file(spark, root) == root:
+        facts = inspect_footer(root, fmt, counts=False)
+        if facts["error_code"] is not None:
+            raise error_for(facts["error_code"], facts["error_message"])
+        return Row(schema_json=facts["schema_json"], partitioned=False)
     relative = F.ltrim(F.substring("path", len(root) + 1, 2**31 - 1), F.lit("/"))
     files = list_files(spark, root).where("length > 0").select("path", F.lit(fmt).alias("format"), F.lit(0).alias("key"))
     found = dataset_facts(files.withColumn("relative_path", relative), "key", counts=False).collect()
@@ -120,6 +128,7 @@ def scan(
     if fmt == PARQUET:
         df = scan_parquet(spark, full)
     elif fmt == ARROW_IPC:
+        stated_facts(spark, full.rstrip("/"), ARROW_IPC)
         df = read_ipc(spark, full)
     elif fmt == CSV:
         df = load_delimited(spark, full, csv_options(spark, full, csv))
@@ -129,7 +138,9 @@ def scan(
 
 
 def row_count(df: DataFrame, sample_limit: int | None = None) -> DataFrame:
-    """``(row_count, row_count_is_sampled)``; a limit caps the count at that many rows."""
+    """``(row_count, row_count_is_sampled)``; under a limit every task stops once it is passed."""
+    if sample_limit is not None:
+        df = df.limit(sample_limit + 1)
     counted = df.agg(F.count(F.lit(1)).alias("n"))
     if sample_limit is None:
         return counted.select(F.col("n").alias("row_count"), F.lit(False).alias("row_count_is_sampled"))

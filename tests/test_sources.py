@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import json
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -9,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from datumgate.errors import CorruptedBatch, InvalidFormat, SourceIoError, UnsupportedDataType
+from datumgate.errors import CorruptedBatch, InvalidFormat, SchemaMismatch, SourceIoError, UnsupportedDataType
+from datumgate.functions.cells import split_cells
 from datumgate.functions.types import arrow_canonical, canonical_name
 from datumgate.operators.contract import contract_report, require_canonical
 from datumgate.operators.identity import (
@@ -19,6 +21,11 @@ from datumgate.operators.identity import (
     register_files,
     version_id,
 )
+from datumgate.operators.ingest import ingest
+from datumgate.operators.parquet_footers import profile_parquet
+from datumgate.operators.profile import profile_columns
+from datumgate.operators.registry import Registry
+from datumgate.model import CsvOptions, IngestionOptions, IngestionSource
 from datumgate.sources.arrow_ipc import deserialize, read_ipc, serialize, write_ipc
 from datumgate.sources.files import detect_formats, list_files
 from datumgate.sources.footers import footer_contract
@@ -166,7 +173,9 @@ def test_ipc_layouts_split_by_batch(spark, tmp_path):
     assert sorted(r.v for r in df.collect()) == list(range(1000))
     stream = write_file(table, tmp_path / "s.arrow", "stream", rows=100)
     df = read_ipc(spark, stream, partition_bytes=2000, columns=["s"])
-    assert df.columns == ["s"] and df.rdd.getNumPartitions() == 1 and df.count() == 1000
+    # A stream has no index, so one task reads it whole.
+    assert df.columns == ["s"] and df.count() == 1000
+    assert df.select(F.spark_partition_id()).distinct().count() == 1
     both = read_ipc(spark, str(tmp_path))
     assert both.count() == 2000
 
@@ -308,3 +317,94 @@ def test_nanoseconds_leave_the_session_alone(spark, tmp_path):
     pq.write_table(pa.table({"t": pa.array([1_500], pa.timestamp("ns"))}), path, version="2.6")
     scan(spark, path).collect()
     assert spark.conf.get("spark.sql.legacy.parquet.nanosAsLong") == "false"
+
+
+def corrupted_pages(tmp_path):
+    """A Parquet file with a sound footer whose data pages are overwritten."""
+    path = tmp_path / "broken" / "ferries.parquet"
+    path.parent.mkdir()
+    pq.write_table(pa.table({"n": list(range(50_000)), "s": [f"ferry {i * 7919}" for i in range(50_000)]}), path)
+    data = bytearray(path.read_bytes())
+    data[5000:25000] = bytes((i * 31 + 7) % 256 for i in range(20_000))
+    path.write_bytes(data)
+    return str(path)
+
+
+def test_verified_ingestion_finds_broken_pages(spark, tmp_path):
+    registry = Registry(spark, str(tmp_path / "log"))
+    source = [IngestionSource("ferries", corrupted_pages(tmp_path))]
+    [row] = ingest(spark, registry, source, IngestionOptions(verify=True)).collect()
+    assert (row.error_code, row.row_count) == ("CorruptedBatch", None)
+    assert "ferries" in row.error_message
+
+
+def test_declared_types_reach_profile_and_drift_check(spark, tmp_path):
+    types = {"u8": pa.uint8(), "u16": pa.uint16(), "u32": pa.uint32(), "u64": pa.uint64(), "large": pa.large_string()}
+    texts = {"large": ["a", "b"]}
+    table = pa.table({n: pa.array(texts.get(n, [1, 200]), t) for n, t in types.items()})
+    first, second = str(tmp_path / "a.parquet"), str(tmp_path / "b.parquet")
+    pq.write_table(table, first)
+    pq.write_table(table.set_column(0, "u8", pa.array([1, 200], pa.int16())), second)
+    expected = {"u8": "UInt8", "u16": "UInt16", "u32": "UInt32", "u64": "UInt64", "large": "LargeUtf8"}
+    for profile in (profile_parquet(spark, first), profile_columns(scan(spark, first))):
+        assert {r.column: r.data_type for r in profile.collect()} == expected
+    registry = Registry(spark, str(tmp_path / "log"))
+    sources = [IngestionSource("t", first), IngestionSource("t", second)]
+    codes = [r.error_code for r in ingest(spark, registry, sources).orderBy("ord").collect()]
+    assert codes == [None, "SchemaMismatch"]
+
+
+def test_partitioned_and_mixed_folders(spark, tmp_path):
+    def put(place):
+        (tmp_path / place).mkdir(parents=True)
+        pq.write_table(pa.table({"id": [1, 2]}), tmp_path / place / "x.parquet")
+
+    put("hive/p=1")
+    put("hive/p=2")
+    registry = Registry(spark, str(tmp_path / "log"))
+    [row] = ingest(spark, registry, [IngestionSource("h", str(tmp_path / "hive"))]).collect()
+    stated = [f["name"] for f in json.loads(row.schema_json)["fields"]]
+    df = scan(spark, str(tmp_path / "hive"))
+    assert stated == df.columns == ["id", "p"] and row.row_count == df.count() == 4
+    put("hive/deep")
+    with pytest.raises(SchemaMismatch):
+        scan(spark, str(tmp_path / "hive"))
+
+
+def test_csv_options_and_headers_at_ingestion(spark, tmp_path):
+    (tmp_path / "plain.csv").write_text("1;2\n3;x\n")
+    both = tmp_path / "both"
+    both.mkdir()
+    (both / "1.csv").write_text("a,b\n1,x\n")
+    (both / "2.csv").write_text("\n a, b \n7,y\n8,z\n")
+    mixed = tmp_path / "mixed"
+    mixed.mkdir()
+    (mixed / "1.csv").write_text("a,b\n1,x\n")
+    (mixed / "2.csv").write_text("b,a\nyy,22\n")
+    registry = Registry(spark, str(tmp_path / "log"))
+    options = CsvOptions(delimiter=";", has_header=False)
+    sources = [
+        IngestionSource("plain", str(tmp_path / "plain.csv"), csv=options),
+        IngestionSource("both", str(both)),
+        IngestionSource("mixed", str(mixed)),
+    ]
+    rows = {r.name: r for r in ingest(spark, registry, sources).collect()}
+    kinds = {n: [(f["name"], f["type"]) for f in json.loads(rows[n].schema_json)["fields"]] for n in ("plain", "both")}
+    assert kinds == {
+        "plain": [("column_1", "long"), ("column_2", "string")],
+        "both": [("a", "long"), ("b", "string")],
+    }
+    assert (rows["plain"].row_count, rows["both"].row_count, rows["mixed"].error_code) == (2, 3, "SchemaMismatch")
+
+
+def test_ipc_reads_only_the_columns_asked_for(spark, tmp_path):
+    table = pa.table({"a": pa.array([1, 2], pa.int64()), "b": ["x", "y"], "c": pa.array([0.5, None])})
+    path = write_file(table, tmp_path / "t.arrow")
+    assert [tuple(r) for r in read_ipc(spark, path, columns=["c", "a"]).orderBy("a").collect()] == [(0.5, 1), (None, 2)]
+
+
+def test_quoted_noncharacters_stay(spark):
+    mark, other = chr(0xFDD0), chr(0xFDD6)
+    lines = spark.createDataFrame([(f'"x{mark}y{mark}{other},z",2',)], "line string")
+    [row] = lines.select(split_cells(F.col("line"), ",").alias("cells")).collect()
+    assert row.cells == [f"x{mark}y{mark}{other},z", "2"]
