@@ -29,14 +29,15 @@ class LineRules:
     ``closing``: some word of a line ends with one of these marks (quotes and
     brackets may follow), else the line is no prose. ``navigation``: breadcrumbs, menus and lists of links.
     ``boilerplate``: whole notices. ``min_kept_share``: share of the
-    non-blank characters that must stay.
+    non-blank characters that must stay. No pattern may repeat a group that
+    overlaps itself: matching must stay linear in the length of a line.
     """
 
     closing: str = r"[.!?…:;][\"'’”»)\]]*([\x20\x09-\x0D]|$)"
-    navigation: str = r"^[^.!?]*([|»>] *[^.!?]*){2,}$"
+    navigation: str = r"^[^.!?|»>]*[|»>][^.!?|»>]*[|»>][^.!?]*$"
     boilerplate: str = (
         r"(?i)^[\x20\x09-\x0D]*(all rights reserved|copyright \(c\)|privacy policy|terms of (use|service)"
-        r"|cookie (policy|settings)|click here|read more|sign (in|up)|subscribe|skip to content)[^.!?]*[.!?]?[\x20\x09-\x0D]*$"
+        r"|cookie (policy|settings)|click here|read more|sign (in|up)|subscribe|skip to content)[^.!?]*([.!?][\x20\x09-\x0D]*)?$"
     )
     min_kept_share: float = 0.5
     min_words: int = 50
