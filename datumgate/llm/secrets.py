@@ -39,8 +39,9 @@ KINDS = ("assign", "access", "hex", "private_key", "jwt", "bomb")
 
 PRIVATE_KEY = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")
 JWT = re.compile(r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}")
-URL_TOKEN = re.compile(r"[^\s\"'<>%]*(?:%[0-9A-Fa-f]{2}[^\s\"'<>%]*)+")
-UNICODE_TOKEN = re.compile(r"[^\s\"'<>\\]*(?:\\u[0-9A-Fa-f]{4}[^\s\"'<>\\]*)+")
+# A token starts where its run of characters starts, so that a long run is read once.
+URL_TOKEN = re.compile(r"(?<![^\s\"'<>%])[^\s\"'<>%]*(?:%[0-9A-Fa-f]{2}[^\s\"'<>%]*)+")
+UNICODE_TOKEN = re.compile(r"(?<![^\s\"'<>\\])[^\s\"'<>\\]*(?:\\u[0-9A-Fa-f]{4}[^\s\"'<>\\]*)+")
 UNICODE_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})")
 BASE64_TOKEN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 HEX_TOKEN = re.compile(r"(?:[0-9A-Fa-f]{2}){16,}")
@@ -134,20 +135,24 @@ def scan_text(text: str | None) -> tuple[list[Span], list[Span]]:
     base = base_spans(text)
     spans = set(base) | set(extra_spans(text))
     seen = set()
-    work = [(text, None)]
+    # Each entry yields the layers of one text; only the texts along one nesting are in memory.
+    work = [(layers_of(text), None)]
     while work:
-        layer, origin = work.pop()
-        if origin is not None:
-            spans.update((kind, *origin) for kind, _, _ in base_spans(layer) + extra_spans(layer))
-        for start, end, decoded in layers_of(layer):
-            outer = origin or (start, end)
-            if decoded is None:
-                spans.add(("bomb", *outer))
-                continue
-            mark = (outer, hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).digest())
-            if mark not in seen:
-                seen.add(mark)
-                work.append((decoded, outer))
+        layers, origin = work[-1]
+        token = next(layers, None)
+        if token is None:
+            work.pop()
+            continue
+        start, end, decoded = token
+        outer = origin or (start, end)
+        if decoded is None:
+            spans.add(("bomb", *outer))
+            continue
+        mark = (outer, hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).digest())
+        if mark not in seen:
+            seen.add(mark)
+            spans.update((kind, *outer) for kind, _, _ in base_spans(decoded) + extra_spans(decoded))
+            work.append((layers_of(decoded), outer))
     order = lambda s: (s[1], KINDS.index(s[0]), s[2])
     return sorted(base, key=order), sorted(spans, key=order)
 
