@@ -12,6 +12,7 @@ with fewest edits stays, then the first; repeated rows are scanned alike.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -88,35 +89,35 @@ class Scanner:
 
     def spans(self, joined: str) -> list[tuple[int, int, str, int, float]]:
         """(start, end, label, edits, similarity) in ``joined``, the words with single spaces."""
-        windows: dict[int, list[list[int]]] = {}
+        windows: dict[int, set[tuple[int, int]]] = {}
         for last, (length, uses) in self.automaton.iter(joined):
             for number, start in uses:
                 notice = self.notices[number]
-                low = max(0, last + 1 - length - start - notice.edits)
-                high = min(len(joined), last + 1 - length - start + len(notice.text) + notice.edits)
-                own = windows.setdefault(number, [])
-                if own and low <= own[-1][1]:
-                    own[-1][0], own[-1][1] = min(own[-1][0], low), max(own[-1][1], high)
-                else:
-                    own.append([low, high])
+                first = last + 1 - length - start
+                low, high = max(0, first - notice.edits), min(len(joined), first + len(notice.text) + notice.edits)
+                windows.setdefault(number, set()).add((low, high))
         found: dict[str, list[tuple[int, int, int, int, float]]] = {}
         for number, spots in windows.items():
             notice = self.notices[number]
-            for low, high in spots:
-                for m in self.patterns[number].finditer(joined, low, high):
-                    edits = sum(m.fuzzy_counts)
-                    start, end = m.span()
-                    while start < end and joined[start] == " ":
-                        start += 1
-                    while end > start and joined[end - 1] == " ":
-                        end -= 1
-                    found.setdefault(notice.label, []).append((edits, start, end, number, 1 - edits / len(notice.text)))
+            # Each window is verified alone, so that a text full of notices costs no more than its windows.
+            for low, high in sorted(spots):
+                m = self.patterns[number].search(joined, low, high)
+                if m is None:
+                    continue
+                edits = sum(m.fuzzy_counts)
+                start, end = m.span()
+                while start < end and joined[start] == " ":
+                    start += 1
+                while end > start and joined[end - 1] == " ":
+                    end -= 1
+                found.setdefault(notice.label, []).append((edits, start, end, number, 1 - edits / len(notice.text)))
         out = []
         for label, spans in found.items():
-            taken: list[tuple[int, int]] = []
+            taken: list[tuple[int, int]] = []  # ordered and apart from each other
             for edits, start, end, _, similarity in sorted(spans):
-                if all(end <= a or start >= b for a, b in taken):
-                    taken.append((start, end))
+                at = bisect_left(taken, (start, end))
+                if (at == 0 or taken[at - 1][1] <= start) and (at == len(taken) or end <= taken[at][0]):
+                    taken.insert(at, (start, end))
                     out.append((start, end, label, edits, similarity))
         return sorted(out)
 
@@ -131,9 +132,10 @@ def base_places(padded: bytes) -> list[tuple[int, str]]:
     found = []
     for phrase, label in PHRASES:
         needle = b" " + phrase.encode() + b" "
-        at = padded.find(needle)
+        at, before, words = padded.find(needle), 0, 0
         while at >= 0:
-            found.append((padded.count(b" ", 0, at), label))
+            words, before = words + padded.count(b" ", before, at), at
+            found.append((words, label))
             at = padded.find(needle, at + 1)
     return sorted(found)
 
@@ -143,15 +145,17 @@ def scan_text(text: str | None, scanner: Scanner) -> dict:
     padded = b" " + b" ".join(words) + b" "
     base = base_places(padded)
     joined = padded.decode()
+    found = scanner.spans(joined)
+    spaces = [i for i, c in enumerate(joined) if c == " "] if found else []
     spans = [
         {
             "label": label,
-            "start_word": joined.count(" ", 0, start) - 1,
-            "end_word": joined.count(" ", 0, end),
+            "start_word": bisect_left(spaces, start) - 1,
+            "end_word": bisect_left(spaces, end),
             "edits": edits,
             "similarity": similarity,
         }
-        for start, end, label, edits, similarity in scanner.spans(joined)
+        for start, end, label, edits, similarity in found
     ]
     labels = {label for _, label in base}
     return {
