@@ -47,7 +47,7 @@ def path_of_url(url: Column) -> Column:
 def canonical_url(url: Column) -> Column:
     """Lower-case host without ``www.`` and default port, path, sorted query without tracking, no fragment."""
     host = F.regexp_replace(F.regexp_replace(host_of(url), r"^www\.", ""), r":(80|443)$", "")
-    path = F.regexp_replace(path_of_url(url), r"/+$", "")
+    path = F.rtrim(path_of_url(url), F.lit("/"))
     query = F.coalesce(F.regexp_extract(url, r"^(?s)[^?#]*\?([^#]*)", 1), F.lit(""))
     kept = F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(r"^(utm_[a-z]+|ref|fbclid|gclid)(=|$)"))
     joined = F.array_join(F.array_sort(kept), "&")

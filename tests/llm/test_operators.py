@@ -281,6 +281,11 @@ def test_edited_notices(text, label):
     assert span["edits"] > 0 and span["start_word"] == 1 and 0 < found["score"] < 1
 
 
+def test_many_edited_notices_in_one_text():
+    found = licenses.scan_text("gnu general public licence " * 20_000, licenses.Scanner())
+    assert [s["start_word"] for s in found["spans"]] == list(range(0, 80_000, 4))
+
+
 # 7
 
 
@@ -305,6 +310,13 @@ def test_navigation_costs_the_document(spark):
     assert {r.doc_id: r.kept for r in quality_rules.judge_documents(frame).collect()} == {1: False, 2: True}
 
 
+def test_long_lines_are_judged_in_linear_time(spark):
+    lines = ["|" * 50_000 + ".", "click here" + " " * 50_000 + ". x", "a | b | c", "a | b | c.", "read more", "Read more now! "]
+    fails = spark.createDataFrame([(x,) for x in lines], "line string")
+    got = [r[0] for r in fails.select(quality_rules.line_fails(F.col("line"), quality_rules.LineRules())).collect()]
+    assert got == [False, False, True, False, True, True]
+
+
 # 8
 
 
@@ -378,6 +390,15 @@ def test_nested_layers():
         assert ("assign", 4, 4 + len(layer)) in spans and ("assign", 4, 4 + len(layer)) not in base
 
 
+def test_long_runs_and_many_layers():
+    import base64
+
+    assert secrets.scan_text("x" * 300_000 + " 5% " + "y" * 300_000 + " \\u") == ([], [])
+    tokens = [base64.b64encode(f"token = value{i:012d}".encode()).decode() for i in range(2_000)]
+    _, spans = secrets.scan_text(" ".join(tokens))
+    assert sum(kind == "assign" for kind, _, _ in spans) == 2_000
+
+
 def test_assignments_in_either_case():
     base, _ = secrets.scan_text("API_KEY: 'abcdefghijkl' Token=short secret=toolongenough1")
     assert [(k, s) for k, s, _ in base] == [("assign", 0), ("assign", 36)]
