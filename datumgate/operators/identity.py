@@ -87,17 +87,37 @@ def version_id(fingerprint: Column, schema_json: Column) -> Column:
     return F.sha2(F.concat(fingerprint, schema_json), 256)
 
 
-def register_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def dataset_names(spark: SparkSession, paths: list[str], names: dict[str, str]) -> Column:
+    """Name of each file: its path below the longest of ``paths`` above it, so that equal base names stay apart.
+
+    A name given for a folder precedes the path below it; a file given itself has
+    its given name, or else its base name.
+    """
+    path = F.col("path")
+    chosen = file_name(path)
+    roots = {require_path(spark, p).rstrip("/"): names.get(p) for p in paths}
+    for root, given in sorted(roots.items()):
+        below = F.substring(path, len(root) + 2, 2**31 - 1)
+        chosen = (
+            F.when(path == root, F.lit(given) if given else file_name(path))
+            .when(path.startswith(root + "/"), F.concat(F.lit(f"{given}/"), below) if given else below)
+            .otherwise(chosen)
+        )
+    return chosen
+
+
+def register_files(spark: SparkSession, paths: str | list[str], names: dict[str, str] | None = None) -> DataFrame:
     """Light registration rows: name, format, fingerprint and size, no rows read.
 
-    ``row_count`` is 0 until the files are profiled.
+    ``names`` gives names to some of ``paths``. ``row_count`` is 0 until the files are profiled.
     """
+    paths = [paths] if isinstance(paths, str) else list(paths)
     formats = detect_formats(list_files(spark, paths)).select("path", "format")
     return (
         file_fingerprints(spark, paths)
         .join(formats, "path")
         .select(
-            file_name(F.col("path")).alias("name"),
+            dataset_names(spark, paths, names or {}).alias("name"),
             "path",
             "format",
             "fingerprint",

@@ -238,6 +238,16 @@ def test_light_registration(spark, tmp_path):
     assert row.byte_size > 0 and len(row.fingerprint) == 64
 
 
+def test_equal_base_names_stay_apart(spark, tmp_path):
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        pq.write_table(pa.table({"berth": [1]}), str(tmp_path / folder / "part-0.parquet"))
+    found = lambda paths, names=None: sorted(r.name for r in register_files(spark, paths, names).collect())
+    assert found(str(tmp_path)) == ["a/part-0.parquet", "b/part-0.parquet"]
+    a, b = str(tmp_path / "a" / "part-0.parquet"), str(tmp_path / "b")
+    assert found([a, b], {a: "harbours", b: "ships"}) == ["harbours", "ships/part-0.parquet"]
+
+
 def test_version_id(spark):
     expected = hashlib.sha256(b"abc123{}").hexdigest()
     [row] = spark.range(1).select(version_id(F.lit("abc123"), F.lit("{}")).alias("v")).collect()
