@@ -3,16 +3,17 @@
 One Bloom filter per language; the filters are sliced, so the word at a position
 has one bit per language, and the AND of the words at an n-gram's positions
 has the bits of all languages that (may) contain it. Per text the bits are
-counted by language, corrected for the filter's false positives, and the largest
-count decides.
+counted by language, weighted by the information of a mask with that many bits (log2 of
+languages over popcount: a gram of all languages tells nothing, one of two tells these two
+from the rest), corrected for the filter's false positives, and the largest sum decides.
 
 Training reads a bounded sample of the labelled rows: about ``sample_rows`` per
-language, chosen by hash. An n-gram belongs to a language when its rate there is
-at least ``min_share`` of the sum of its rates. The driver gets at most ``POSITIONS``
-rows, whatever the input.
+language, chosen by hash. An n-gram belongs to every language that has it ``MIN_COUNT`` times and at
+a rate of ``MIN_RATE`` in the sample; ``min_share`` also asks for a share of the sum of its
+rates. The driver gets at most ``POSITIONS`` rows, whatever the input.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0. A
-text with letters but no known n-gram gets the first language name with score 0, as
+text with letters but no n-gram that tells languages apart gets the first language name with score 0, as
 ties do. Repeated rows are judged alike; empty tables give empty
 results. With no labelled rows all texts are ``und``.
 """
@@ -39,7 +40,9 @@ POSITIONS = 1 << 18
 MAX_LANGUAGES = 63
 SAMPLE_ROWS = 4_000
 MIN_COUNT = 3
-MIN_SHARE = 0.6
+MIN_RATE = 3e-5
+MIN_SHARE = 0.0
+WEIGHT_UNIT = 1 << 16
 _SPACE = 0x20
 
 
@@ -175,7 +178,10 @@ def train(
         .select(
             "gram",
             F.aggregate(
-                F.filter("each", lambda x: (x["rate"] >= min_share * F.col("sum")) & (x["n"] >= MIN_COUNT)),
+                F.filter(
+                    "each",
+                    lambda x: (x["rate"] >= min_share * F.col("sum")) & (x["n"] >= MIN_COUNT) & (x["rate"] >= MIN_RATE),
+                ),
                 F.lit(0).cast("long"),
                 lambda a, x: a.bitwiseOR(x["bit"]),
             ).alias("mask"),
@@ -198,14 +204,22 @@ def train(
     return LanguageModel(languages, slices, fill**HASHES)
 
 
+def popcount_weights(languages: int) -> np.ndarray:
+    """Whole weights of masks with 0, 1, ... bits; with one language, each of its grams counts 1."""
+    bits = np.arange(1, languages + 2)
+    weights = np.maximum(0, np.log2(languages / bits)) if languages > 1 else (bits == 1).astype(float)
+    return np.concatenate(([0], np.round(weights * WEIGHT_UNIT))).astype(np.int64)
+
+
 def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
     """The columns in ``keep`` (all by default), lang_pred and score of every row.
 
-    The score is the winner's share of the corrected counts. Columns of ``docs``
+    The score is the winner's share of the corrected sums. Columns of ``docs``
     with the names of the two new ones are replaced.
     """
     languages = model.languages
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
+    weights = popcount_weights(len(languages))
     narrow = np.uint8 if len(languages) <= 8 else np.int64
     shared = docs.sparkSession.sparkContext.broadcast((model.slices.astype(narrow), model.false_rate))
 
@@ -214,7 +228,7 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = Non
         slices, false_rate = shared.value
         for batch in batches:
             raw = batch.column(len(keep))
-            total, hits = np.zeros(len(raw), np.int64), np.zeros((len(raw), max(1, len(languages))))
+            hits, absent = (np.zeros((len(raw), max(1, len(languages)))) for _ in range(2))
             letters = np.zeros(len(raw), bool)
             for first, after, data, offsets in _prepared_slices(raw):
                 ascii_letter = np.concatenate(([0], np.cumsum((LETTERS[data] != _SPACE) & (data < 0x80))))
@@ -223,18 +237,22 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = Non
                     continue
                 for size, grams in _grams(data):
                     starts, ends = _window_bounds(offsets, size, len(grams))
-                    total[first:after] += ends - starts
                     found = slices[_positions(grams)[0]]
                     for p in _positions(grams)[1:]:
                         found = found & slices[p]
+                    bits = np.bitwise_count(found)
+                    weight, with_one_more = weights[bits], weights[bits + 1]
                     for k in range(len(languages)):
-                        sums = np.concatenate(([0], np.cumsum((found >> k) & 1, dtype=np.int64)))
-                        hits[first:after, k] += sums[ends] - sums[starts]
+                        there = ((found >> k) & 1).astype(bool)
+                        for into, each in ((hits, np.where(there, weight, 0)), (absent, np.where(there, 0, with_one_more))):
+                            sums = np.concatenate(([0], np.cumsum(each)))
+                            into[first:after, k] += sums[ends] - sums[starts]
             for i in np.flatnonzero(~letters):
                 letters[i] = _has_letter(raw[i].as_py())
             predicted, score = [UNKNOWN] * len(raw), np.zeros(len(raw))
             if languages:
-                corrected = np.maximum(0, hits - total[:, None] * false_rate) / np.maximum(1e-9, 1 - false_rate)
+                # A false bit adds the weight of a mask with one more; grams without the bit tell how much that is.
+                corrected = np.maximum(0, hits - absent * false_rate / np.maximum(1e-9, 1 - false_rate))
                 best, sums = corrected.argmax(1), corrected.sum(1)
                 top = corrected[np.arange(len(raw)), best]
                 score = np.where(letters & (sums > 0), top / np.maximum(sums, 1e-300), 0.0)

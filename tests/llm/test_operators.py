@@ -114,6 +114,19 @@ def test_sliced_filter_returns_all_languages_of_a_gram(docs):
     assert {"es", "fr"} <= found
 
 
+def test_shared_grams_tell_related_languages_from_the_rest(spark, docs):
+    model = language_id.train(docs)
+    gram = dict(language_id._grams(np.frombuffer(b" de ", np.uint8)))[4]
+    masks = [model.slices[p] for p in language_id._positions(gram)]
+    assert {"es", "fr"} <= {lang for k, lang in enumerate(model.languages) if all((m >> k) & 1 for m in masks)}
+    rows = [(i, text, lang) for i in range(20) for lang, text in (("a", "xyz wvu"), ("m", "nacht und tag"), ("n", "nacht und dag"))]
+    related = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    asked = spark.createDataFrame([(1, "nacht"), (2, "nacht und tag"), (3, "nacht und dag")], "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(asked, related).collect()}
+    assert got[1][0] in ("m", "n") and 0.4 < got[1][1] <= 0.51
+    assert got[2][0] == "m" and got[3][0] == "n"
+
+
 # 3
 
 
