@@ -7,9 +7,11 @@ already seen are not scanned again, which ends cycles. A secret found in a layer
 span of the outermost encoded token in the original text.
 
 Defined results: a null text counts as empty; an empty text has no spans; a
-layer that is no valid UTF-8 text is not a text and is dropped; spans found twice
-count once; repeated rows are scanned alike. An inflated layer above
-``MAX_LAYER_BYTES`` is not kept in memory: its token is reported as kind ``bomb``.
+layer that is no valid UTF-8 is scanned with its invalid bytes replaced; spans found twice
+count once; repeated rows are scanned alike. Base64 wrapped over lines is read as one token,
+and each of its lines as a token too. All members of gzip data are read, and broken data as far
+as it goes. An inflated layer above ``MAX_LAYER_BYTES`` is scanned in chunks of that size that
+overlap by ``OVERLAP_BYTES``, and its token is also reported as kind ``bomb``.
 """
 
 from __future__ import annotations
@@ -44,8 +46,13 @@ URL_TOKEN = re.compile(r"(?<![^\s\"'<>%])[^\s\"'<>%]*(?:%[0-9A-Fa-f]{2}[^\s\"'<>
 UNICODE_TOKEN = re.compile(r"(?<![^\s\"'<>\\])[^\s\"'<>\\]*(?:\\u[0-9A-Fa-f]{4}[^\s\"'<>\\]*)+")
 UNICODE_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})")
 BASE64_TOKEN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+WRAPPED_TOKEN = re.compile(
+    r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}"
+)
 HEX_TOKEN = re.compile(r"(?:[0-9A-Fa-f]{2}){16,}")
 MAX_LAYER_BYTES = 64 << 20
+OVERLAP_BYTES = 1 << 20
+PIECE_BYTES = 16 << 20
 
 Span = tuple[str, int, int]
 
@@ -67,66 +74,79 @@ def extra_spans(text: str) -> list[Span]:
     return found
 
 
-class TooLarge(Exception):
-    """An inflated layer above the limit."""
-
-
-def _inflated(data: bytes) -> bytes:
-    """Contents of gzip or zlib data, else the data."""
+def _inflated(data: bytes) -> Iterator[bytes]:
+    """Contents of all members of gzip or zlib data in pieces, else the data."""
     wrapped = data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] & 0x0F == 8 and int.from_bytes(data[:2], "big") % 31 == 0)
     if not wrapped:
-        return data
-    unpacker = zlib.decompressobj(47)
-    try:
-        out = unpacker.decompress(data, MAX_LAYER_BYTES + 1)
-    except zlib.error:
-        return data
-    if len(out) > MAX_LAYER_BYTES:
-        raise TooLarge
-    return out
-
-
-def _text_of(data: bytes) -> str | None:
-    data = _inflated(data)
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    odd = sum(not (c.isprintable() or c in "\t\r\n") for c in text)
-    return text if text and odd * 20 <= len(text) else None
-
-
-def _from_base64(token: str) -> str | None:
-    plain = token.rstrip("=").replace("-", "+").replace("_", "/")
+        yield data
+        return
+    left, some = data, False
+    while left:
+        unpacker = zlib.decompressobj(47)
+        try:
+            while not unpacker.eof:
+                piece = unpacker.decompress(left, PIECE_BYTES)
+                left = unpacker.unconsumed_tail
+                if piece:
+                    some = True
+                    yield piece
+                elif not left:
+                    break
+        except zlib.error:
+            if not some:
+                yield data
+            elif not unpacker.eof:
+                yield left  # not another member
+            return
+        left = unpacker.unused_data
+
+
+def _texts_of(data: bytes) -> Iterator[str | None]:
+    """The text in the data, in overlapping chunks after a None if it is too large to keep."""
+    kept, whole = bytearray(), True
+    for piece in _inflated(data):
+        for at in range(0, len(piece), MAX_LAYER_BYTES):
+            kept += piece[at : at + MAX_LAYER_BYTES]
+            while len(kept) > MAX_LAYER_BYTES:
+                if whole:
+                    yield None
+                whole = False
+                yield kept[:MAX_LAYER_BYTES].decode(errors="replace")
+                del kept[: MAX_LAYER_BYTES - OVERLAP_BYTES]
+    if kept:
+        yield kept.decode(errors="replace")
+
+
+def _from_base64(token: str) -> Iterator[str | None]:
+    plain = "".join(token.split()).rstrip("=").replace("-", "+").replace("_", "/")
     if len(plain) % 4 == 1:
-        return None
+        plain = plain[:-1]
     try:
-        return _text_of(base64.b64decode(plain + "=" * (-len(plain) % 4), validate=True))
+        data = base64.b64decode(plain + "=" * (-len(plain) % 4), validate=True)
     except binascii.Error:
-        return None
+        return
+    yield from _texts_of(data)
 
 
-def _from_unicode(token: str) -> str | None:
+def _from_unicode(token: str) -> Iterator[str]:
     plain = UNICODE_ESCAPE.sub(lambda m: chr(int(m[1], 16)), token)
-    return plain.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
+    yield plain.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
 
 
 def layers_of(text: str) -> Iterator[tuple[int, int, str | None]]:
-    """(start, end, decoded text) of each encoded token; None stands for one too large to keep."""
-    decoders = [(BASE64_TOKEN, _from_base64), (HEX_TOKEN, lambda t: _text_of(bytes.fromhex(t)))]
+    """(start, end, decoded text) of each encoded token; a None comes before the chunks of one too large to keep."""
+    decoders = [(BASE64_TOKEN, _from_base64), (HEX_TOKEN, lambda t: _texts_of(bytes.fromhex(t)))]
+    if "\n" in text:
+        decoders.append((WRAPPED_TOKEN, _from_base64))
     if "%" in text:
-        decoders.append((URL_TOKEN, lambda t: _text_of(unquote_to_bytes(t))))
+        decoders.append((URL_TOKEN, lambda t: _texts_of(unquote_to_bytes(t))))
     if "\\u" in text:
         decoders.append((UNICODE_TOKEN, _from_unicode))
     for pattern, decode in decoders:
         for m in pattern.finditer(text):
-            try:
-                decoded = decode(m[0])
-            except TooLarge:
-                yield *m.span(), None
-                continue
-            if decoded is not None and decoded != m[0]:
-                yield *m.span(), decoded
+            for decoded in decode(m[0]):
+                if decoded != m[0]:
+                    yield *m.span(), decoded
 
 
 def scan_text(text: str | None) -> tuple[list[Span], list[Span]]:

@@ -403,6 +403,31 @@ def test_nested_layers():
         assert ("assign", 4, 4 + len(layer)) in spans and ("assign", 4, 4 + len(layer)) not in base
 
 
+def test_whole_layers_are_scanned(monkeypatch):
+    import base64
+    import gzip
+    import random
+
+    secret = "password = abcDEF123456xyz"
+    rng = random.Random(1)
+    lines = "".join(f"log line about {rng.random()}\n" for _ in range(60))
+    wrapped = base64.encodebytes(gzip.compress((lines + secret).encode())).decode().rstrip("\n")
+    one = lambda data: base64.b64encode(data).decode()
+    layers = ["caf%E9&password%3DabcDEF123456", wrapped, wrapped.replace("\n", "\r\n  ")]
+    layers.append(one(bytes(rng.randbytes(300)) + secret.encode() + b"\n" + bytes(rng.randbytes(300))))
+    layers.append(one(gzip.compress(b"nothing here") + gzip.compress(secret.encode())))
+    layers.append(one(gzip.compress(secret.encode())[:-6]))
+    for layer in layers:
+        base, spans = secrets.scan_text(f"see {layer} there")
+        assert ("assign", 4, 4 + len(layer)) in spans and ("assign", 4, 4 + len(layer)) not in base
+    monkeypatch.setattr(secrets, "MAX_LAYER_BYTES", 1000)
+    monkeypatch.setattr(secrets, "OVERLAP_BYTES", 100)
+    for before in range(900, 2100, 13):
+        layer = one(gzip.compress(b"." * before + secret.encode() + b" " + b"." * 1500))
+        spans = secrets.scan_text(layer)[1]
+        assert {("assign", 0, len(layer)), ("bomb", 0, len(layer))} <= set(spans)
+
+
 def test_long_runs_and_many_layers():
     import base64
 
