@@ -95,11 +95,13 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def listed_urls(pages: DataFrame) -> DataFrame:
     """The fixed rules, and the canonical URLs of all pages on spam hosts as listed ones."""
     rules = pages.sparkSession.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
+    rules = rules.withColumn("kind", F.lit(url_filter.RULE))
     key = url_filter.canonical_url(F.col("url"))
     spam = pages.where(url_filter.host_of(F.col("url")).rlike(SPAM_HOST)).select(
         F.regexp_extract(key, "^[^/?]*", 0).alias("host"),
-        F.regexp_extract(key, "^[^/?]*(.*)$", 1).alias("path"),
+        F.regexp_extract(key, "(?s)^[^/?]*(.*)$", 1).alias("path"),
         F.lit(url_filter.BLOCK).alias("verdict"),
+        F.lit(url_filter.EXACT).alias("kind"),
     )
     return rules.unionByName(spam)
 

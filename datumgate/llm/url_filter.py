@@ -1,8 +1,9 @@
 """URL filter: blocked Bloom filter first, exact hash join after.
 
-A list holds (host, path, verdict) entries. A path that ends with ``/`` is a
-prefix rule for its host and all subdomains; any other path is one listed
-canonical URL. Every URL is reduced to the keys it could be listed under (each
+A list holds (host, path, verdict) entries, and in a column ``kind`` whether each is a
+``rule`` (a path prefix that ends with ``/``, for its host and all subdomains) or one listed
+canonical URL (``exact``). Only where no kind is stated, a path that ends with ``/`` is taken
+for a rule. Every URL is reduced to the keys it could be listed under (each
 host suffix with each path prefix that ends at a ``/``, and its canonical form).
 A Bloom filter of fixed size drops nearly all keys that are not listed; an exact
 join on the key removes the false positives; the longest rule wins, and a listed
@@ -73,6 +74,8 @@ def candidate_keys(host: Column, path: Column) -> Column:
 def listed_entries(listed: DataFrame) -> DataFrame:
     """(key, kind, verdict), one row per key."""
     kind = F.when(F.col("path").endswith("/"), RULE).otherwise(EXACT)
+    if "kind" in listed.columns:
+        kind = F.coalesce("kind", kind)
     key = F.concat(_lower(F.coalesce("host", F.lit(""))), F.coalesce("path", F.lit("")))
     return (
         listed.select(key.alias("key"), kind.alias("kind"), F.col("verdict"))

@@ -479,6 +479,15 @@ def test_url_filter(spark):
     assert url_filter.judge_urls(pages.limit(0), listed).count() == 0
 
 
+def test_listed_urls_may_end_like_rules(spark):
+    from datumgate.llm.queries import listed_urls
+
+    rows = [(1, "http://spam.example.net/a?next=http://x.org/"), (2, "http://spam.org/a\nb"), (3, "http://x.org/a"), (4, "http://spam.org/")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge_urls(pages, listed_urls(pages)).collect()}
+    assert got == {1: (None, "block"), 2: (None, "block"), 3: (None, "allow"), 4: (None, "block")}
+
+
 def test_long_lists_are_joined_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(url_filter, "BROADCAST_ENTRIES", 2)
     pages = spark.createDataFrame([(i, f"http://h{i}.org/p") for i in range(50)], "page_id long, url string")
