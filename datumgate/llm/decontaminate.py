@@ -1,13 +1,18 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
 
-The n-grams of all test items are counted in the whole corpus. A seed of an item is
+Seeds are four words in a row, and three words with up to one other word among them in the
+item and up to two in the document. A copy with score 0.5 and seven equal words has three equal
+words that near each other: its M equal words are at least 2 a replaced or lost word and 1 an
+added one, so some three neighbours have at most one replaced or lost, or two added, among them.
+
+The seeds of all test items are counted in the whole corpus. A seed of an item is
 rare up to ``RARE_PLACES`` places, up to ``rare_rate`` of all places, and up to
-``MEDIAN_FACTOR`` times the item's median seed; so every item keeps at least half of its seeds
+``MEDIAN_FACTOR`` times the item's median seed of as many words; so every item keeps at least half of its seeds
 however often it was copied, and an edited copy does not make its own seeds common. Documents emit the passages around rare seeds; a join on the seed pairs
 them with items, and each pair is aligned word by word (match 2, mismatch and gap
 -1). The score is the best local alignment over that of a whole copy.
 
-Both scans of the corpus test n-grams against a bitmap of fixed size and join
+Both scans of the corpus test seeds against two bitmaps of fixed size and join
 the survivors exactly, so what is shuffled follows the hits, not the text.
 
 Defined results: null and empty texts hold no passage; items of fewer words than a seed
@@ -26,18 +31,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import bitmap_of, in_bitmap, packed, tidy, unpacked, written
-from .words import text_slices, windows, words_of
+from .words import U, mix, text_slices, windows, words_of
 
 SEED_WORDS = 4
 MIN_SCORE = 0.5
 RARE_RATE = 1e-6
 RARE_PLACES = 100
 MEDIAN_FACTOR = 10
+#: Places of the second and third word of a seed of three, after the first.
+ITEM_TRIPLES = ((1, 2), (1, 3), (2, 3))
+TEXT_TRIPLES = (*ITEM_TRIPLES, (1, 4), (2, 4), (3, 4))
+_STEP = 0x9E3779B97F4A7C15
 LONGS = pa.list_(pa.int64())
 
 
+def seed_places(hashes: np.ndarray, bounds: np.ndarray, triples: tuple[tuple[int, int], ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(first word, seed) of the seeds of four words, then of each kind of three; the lowest bit tells them apart."""
+    window, valid = windows(hashes, bounds, SEED_WORDS)
+    at = np.flatnonzero(valid)
+    yield at, (window[at] & ~U(1)).view(np.int64)
+    left = np.repeat(bounds[1:], np.diff(bounds)) - np.arange(len(hashes))
+    with np.errstate(over="ignore"):
+        first = hashes * U(_STEP)
+        for second, third in triples:
+            at = np.flatnonzero(left > third)
+            yield at, (mix((first[at] + hashes[at + second]) * U(_STEP) + hashes[at + third]) | U(1)).view(np.int64)
+
+
+def seed_bitmaps(seeds: DataFrame) -> tuple[bytes, bytes]:
+    """Bitmaps of two parts of the seeds' bits."""
+    return packed(bitmap_of(seeds)), packed(bitmap_of(seeds.select(F.shiftleft("seed", 24))))
+
+
+def in_both(bitmaps: list[np.ndarray], seeds: np.ndarray) -> np.ndarray:
+    """Numbers of the seeds that are in both bitmaps."""
+    some = np.flatnonzero(in_bitmap(bitmaps[0], seeds))
+    return some[in_bitmap(bitmaps[1], seeds[some] << 24)]
+
+
 def item_words(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(item_id, words, seeds): word hashes and n-gram hashes of each item."""
+    """(item_id, words, seeds): word hashes and seeds of each item."""
     kind = items.schema[id_col].dataType.simpleString()
 
     @tidy
@@ -46,32 +79,35 @@ def item_words(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
             words, seeds = [], []
             for _, _, data, offsets in text_slices(batch.column(1)):
                 hashes, _, _, bounds = words_of(data, offsets)
-                window, valid = windows(hashes, bounds, SEED_WORDS)
+                places = list(seed_places(hashes, bounds, ITEM_TRIPLES))
                 for a, b in zip(bounds, bounds[1:], strict=False):
                     words.append(hashes[a:b].view(np.int64))
-                    seeds.append(np.unique(window[a:b][valid[a:b]].view(np.int64)))
+                    seeds.append(np.unique(np.concatenate([x[slice(*np.searchsorted(at, (a, b)))] for at, x in places])))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(words, LONGS), pa.array(seeds, LONGS)], names=["item_id", "words", "seeds"]
             )
 
     split_items = items.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text")).distinct()
-    return split_items.mapInArrow(split, f"item_id {kind}, words array<long>, seeds array<long>").where(F.size("seeds") > 0)
+    return split_items.mapInArrow(split, f"item_id {kind}, words array<long>, seeds array<long>").where(F.size("words") >= SEED_WORDS)
 
 
 def seed_counts(docs: DataFrame, seeds: DataFrame) -> DataFrame:
     """(seed, n): places of each seed in the corpus, and one row (null, n) with the number of all places."""
-    shared = docs.sparkSession.sparkContext.broadcast(packed(bitmap_of(seeds)))
+    shared = docs.sparkSession.sparkContext.broadcast(seed_bitmaps(seeds))
 
     @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = unpacked(shared.value)
+        bitmaps = [unpacked(b) for b in shared.value]
         for batch in batches:
             for _, _, data, offsets in text_slices(batch.column(0)):
                 hashes, _, _, bounds = words_of(data, offsets)
-                window, valid = windows(hashes, bounds, SEED_WORDS)
-                found, n = np.unique(window[valid & in_bitmap(bitmap, window)].view(np.int64), return_counts=True)
+                met, places = [], 0
+                for at, seeds in seed_places(hashes, bounds, TEXT_TRIPLES):
+                    met.append(seeds[in_both(bitmaps, seeds)])
+                    places = places or len(at)
+                found, n = np.unique(np.concatenate(met), return_counts=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([*found.tolist(), None], pa.int64()), pa.array([*n.tolist(), int(valid.sum())], pa.int64())],
+                    [pa.array([*found.tolist(), None], pa.int64()), pa.array([*n.tolist(), places], pa.int64())],
                     names=["seed", "n"],
                 )
 
@@ -83,11 +119,13 @@ def rare_seeds(items: DataFrame, counts: DataFrame, rare_rate: float) -> DataFra
     each = items.select("item_id", F.explode("seeds").alias("seed")).distinct()
     places = counts.where("seed is null").select((F.col("n") * rare_rate).alias("limit"))
     known = each.join(counts.where("seed is not null"), "seed", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    medians = known.groupBy("item_id").agg(F.percentile_approx("n", 0.5, 1000).alias("median"))
+    known = known.withColumn("kind", F.col("seed").bitwiseAND(1))
+    medians = known.groupBy("item_id", "kind").agg(F.percentile_approx("n", 0.5, 1000).alias("median"))
     limit = places.first()
     common = max(RARE_PLACES, float(limit["limit"]) if limit else 0.0)
     bound = F.greatest(MEDIAN_FACTOR * F.col("median"), F.lit(float(common)))
-    return known.join(medians.withColumnRenamed("item_id", "_item"), F.col("item_id").eqNullSafe(F.col("_item"))).where(
+    same = F.col("item_id").eqNullSafe(F.col("_item")) & (F.col("kind") == F.col("_kind"))
+    return known.join(medians.withColumnsRenamed({"item_id": "_item", "kind": "_kind"}), same).where(
         F.col("n") <= bound
     ).select("seed", "item_id")
 
@@ -95,18 +133,20 @@ def rare_seeds(items: DataFrame, counts: DataFrame, rare_rate: float) -> DataFra
 def passages(docs: DataFrame, seeds: DataFrame, reach: int) -> DataFrame:
     """(doc_id, start, words, seeds): word hashes ``reach`` words around rare seeds, overlaps merged."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(packed(bitmap_of(seeds.select("seed"))))
+    shared = docs.sparkSession.sparkContext.broadcast(seed_bitmaps(seeds.select("seed")))
 
     @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = unpacked(shared.value)
+        bitmaps = [unpacked(b) for b in shared.value]
         for batch in batches:
             for first, _, data, offsets in text_slices(batch.column(1)):
                 hashes, _, _, bounds = words_of(data, offsets)
-                window, valid = windows(hashes, bounds, SEED_WORDS)
-                hits = np.flatnonzero(valid & in_bitmap(bitmap, window))
+                places = [(at[some], x[some]) for at, x in seed_places(hashes, bounds, TEXT_TRIPLES) for some in (in_both(bitmaps, x),)]
+                hits, met = (np.concatenate(part) for part in zip(*places, strict=True))
                 if not len(hits):
                     continue
+                order = np.argsort(hits, kind="stable")
+                hits, met = hits[order], met[order]
                 owner = np.searchsorted(bounds, hits, "right") - 1
                 new = np.concatenate(([True], (np.diff(hits) > 2 * reach) | (np.diff(owner) > 0)))
                 heads = np.flatnonzero(new)
@@ -115,11 +155,11 @@ def passages(docs: DataFrame, seeds: DataFrame, reach: int) -> DataFrame:
                 for a, b in zip(heads, tails, strict=True):
                     t = owner[a]
                     low = max(bounds[t], hits[a] - reach)
-                    high = min(bounds[t + 1], hits[b - 1] + SEED_WORDS + reach)
+                    high = min(bounds[t + 1], hits[b - 1] + SEED_WORDS + 1 + reach)
                     rows.append(first + int(t))
                     starts.append(int(low - bounds[t]))
                     words.append(hashes[low:high].view(np.int64))
-                    found.append(np.unique(window[hits[a:b]].view(np.int64)))
+                    found.append(np.unique(met[a:b]))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(rows)), pa.array(starts, pa.int64()), pa.array(words, LONGS), pa.array(found, LONGS)],
                     names=["doc_id", "start", "words", "seeds"],
@@ -154,6 +194,9 @@ def scored(pairs: DataFrame, min_score: float) -> DataFrame:
             for i in range(batch.num_rows):
                 words = batch.column(2)[i].values.to_numpy()
                 item = batch.column(4)[i].values.to_numpy()
+                # Equal words count 2 at most, so fewer of them cannot reach the score.
+                if np.isin(item, words).sum() < min_score * len(item):
+                    continue
                 best, end = align(item, words)
                 score = best / (2 * len(item))
                 if score >= min_score:

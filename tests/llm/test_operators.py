@@ -350,6 +350,27 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(frame, items.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("every", [3, 4])
+def test_leaks_with_many_edits(spark, every):
+    items = [[f"q{k}x{i}" for i in range(n)] for k, n in enumerate((11, 14, 20, 35, 60))]
+    rows = []
+    for k, item in enumerate(items):
+        replaced = [f"e{i}" if i % every == every - 1 else w for i, w in enumerate(item)]
+        lost = [w for i, w in enumerate(item) if i % every != every - 1]
+        added = [x for i, w in enumerate(item) for x in ([w, f"e{i}"] if i % 2 else [w])]
+        rows += [(10 * k + j, f"some words before {' '.join(copy)} and some after") for j, copy in enumerate((replaced, lost, added))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    tests = spark.createDataFrame([(k, " ".join(item)) for k, item in enumerate(items)], "item_id long, text string")
+    want = set()
+    for d, text in rows:
+        for k, item in enumerate(items):
+            number = {w: i for i, w in enumerate(dict.fromkeys([*item, *text.split()]))}
+            best, _ = decontaminate.align(*(np.array([number[w] for w in side]) for side in (item, text.split())))
+            want |= {(d, k)} if best >= len(item) else set()
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(frame, tests).collect()}
+    assert got == want and len(want) >= 10
+
+
 def test_leaks_of_documents(docs, texts, spark, sf_small):
     items = {r.item_id: words(r.text) for r in table(spark, sf_small, "benchmark").collect()}
     want = set()
