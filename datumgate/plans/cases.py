@@ -24,6 +24,8 @@ PREVIEW = 10
 RSD, CLOSE = 0.02, 5
 # Distance of neighbouring order values of one name.
 GAP = 1_000_003
+# Where all order values but the first lie.
+BURST = 10**15
 
 
 def _nested(spark: SparkSession, sf_dir: str) -> str:
@@ -212,6 +214,21 @@ def registry_gappy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.select("seq", "version_id", "parent_version_id", "changed", "schema_changed")
 
 
+def registry_bursty_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors and clicks as one name, all else as another; one event long before a burst of all others."""
+    seq = F.col("event_id")
+    events = table(spark, sf_dir, "events").select(
+        F.when(seq == table(spark, sf_dir, "events").agg(F.min("event_id")).scalar(), F.lit(0)).otherwise(seq + BURST).alias("seq"),
+        F.when(F.col("event_type") == "signup", F.lit("remove")).otherwise(F.lit("register")).alias("op"),
+        F.when(F.col("event_type").isin("error", "click"), F.lit("few")).otherwise(F.lit("hot")).alias("name"),
+        F.lit("{}").alias("schema_json"),
+        F.sha2(F.col("user_id").cast("string"), 256).alias("fingerprint"),
+        F.col("ts").alias("at"),
+    )
+    history = resolve(events, NAMESPACE, width=1000)
+    return history.select("seq", "op", "version_id", "parent_version_id", "is_open")
+
+
 def ipc_uint64_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     big = F.col("l_partkey").cast("decimal(20,0)") + F.lit(str(2**63)).cast("decimal(20,0)")
     lineitem = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", big.cast("decimal(20,0)").alias("u64"))
@@ -285,6 +302,19 @@ CASES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
         SELECT seq, version_id, parent_version_id, coalesce(version_id <> parent_version_id, false) AS changed,
             coalesce(props <> parent_props, false) AS schema_changed FROM p""",
     ),
+    "registry_bursty_names": (
+        registry_bursty_names,
+        f"""WITH e AS (SELECT CASE WHEN event_id = (SELECT min(event_id) FROM events) THEN 0 ELSE event_id + {BURST} END AS seq,
+            CASE WHEN event_type = 'signup' THEN 'remove' ELSE 'register' END AS op,
+            CASE WHEN event_type IN ('error', 'click') THEN 'few' ELSE 'hot' END AS name,
+            sha256(sha256(user_id::VARCHAR) || '{{}}') AS version FROM events),
+        p AS (SELECT *, lag(CASE WHEN op = 'register' THEN version END) OVER w AS parent_version_id,
+            count(*) FILTER (WHERE op = 'remove') OVER (PARTITION BY name ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)
+              + CASE WHEN op = 'remove' THEN 1 ELSE 0 END AS removals_from_here
+            FROM e WINDOW w AS (PARTITION BY name ORDER BY seq))
+        SELECT seq, op, CASE WHEN op = 'register' THEN version END AS version_id, parent_version_id,
+            removals_from_here = 0 AS is_open FROM p""",
+    ),
     "ipc_uint64_round_trip": (
         ipc_uint64_round_trip,
         f"SELECT l_orderkey, l_linenumber, (l_partkey::HUGEINT + {2**63})::VARCHAR AS u64 FROM lineitem",

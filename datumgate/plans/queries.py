@@ -51,7 +51,7 @@ from .tables import TABLES, path_of, table
 SAMPLE = 1000
 MAX_BYTES = 100_000
 NAMESPACE = "registry"
-CHUNK = 1000
+CHUNK = 10_000
 
 Query = Callable[[SparkSession, str], DataFrame]
 
