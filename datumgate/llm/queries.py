@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, over whole tables."""
+"""The registered queries of the operators, over whole tables."""
 
 from __future__ import annotations
 
@@ -10,7 +10,21 @@ from pyspark.sql import functions as F
 
 from ..plans.tables import table
 from ..session import configure, scratch_dir
-from . import bpe, decontaminate, language_id, licenses, line_dedup, ngram_join, quality_rules, secrets, url_filter, warc
+from . import (
+    bpe,
+    decontaminate,
+    language_id,
+    licenses,
+    line_dedup,
+    ngram_join,
+    periodic_runs,
+    quality_rules,
+    secrets,
+    url_filter,
+    warc,
+    whitening,
+    winnowing,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -112,6 +126,49 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    white = whitening.whiten(vectors)
+    return white.select(
+        "vec_id", "n", "deviation", "identity_error", F.posexplode(F.arrays_zip("whitened", "explained")).alias("place", "pair")
+    ).select(
+        "vec_id", (F.col("place") + 1).alias("component"), "n", "deviation", "pair.whitened", "pair.explained", "identity_error"
+    )
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    planted = docs.withColumn("text", periodic_runs.with_planted_run(F.col("text"), F.col("doc_id")))
+    found = periodic_runs.detect_runs(planted)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    start, length, period = -F.col("best.col2"), F.col("best.length"), -F.col("best.col3")
+    return found.withColumn("best", longest).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        start.alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(F.lit(1000) * length / period).alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2(F.coalesce("collapsed", F.lit("")), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return winnowing.compare_with_edited(docs).select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited_text", 256).alias("edited_sha256"),
+        winnowing.as_text("marks").alias("fingerprint"),
+        winnowing.as_text("edited_marks").alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
 def _configured(query: Query) -> Query:
     return lambda spark, sf_dir: query(configure(spark), sf_dir)
 
@@ -130,5 +187,8 @@ def llm_queries() -> dict[str, Query]:
             op8_decontamination,
             op9_secret_scan,
             op10_url_filter,
+            op11_embedding_whitening,
+            op12_periodic_runs,
+            op13_winnowing,
         )
     }
