@@ -3,14 +3,21 @@
 Texts with equal words are one *content*; contents are compared by their sets of
 ``SHINGLE_WORDS``-word shingles. Contents that share a band of MinHash values are
 candidates. Every content of a shared bucket gets a home (the least leader of its
-buckets) and homes are cut into blocks of bounded size; two blocks are compared
+buckets, then of those that share a bucket with these, ``HOME_ROUNDS`` times over, so that a group of
+near copies has one home or few) and homes are cut into blocks; two blocks are compared
 when a bucket has members in both. Within a pair of blocks, each pair of contents that shares a band
 has its MinHash values compared in steps; it is dropped once the posterior
 probability of reaching the threshold falls below ``TOLERANCE``, and what remains
 is verified on the whole shingle sets. A content pair meets in one pair of
 blocks only, so links add up; a pair of blocks emits one row per
 content with its number of links and its root in a spanning forest. Large groups
-of near copies therefore cost no pair rows, no large group and no cap.
+of near copies therefore cost no pair rows and no cap.
+
+A home has up to ``HOME_BLOCKS`` blocks, so a content is sent to as many tasks at most, however large its
+home, until blocks reach ``MOST_CONTENTS`` contents or ``MOST_SHINGLES`` shingles, what a task holds.
+Only homes beyond ``HOME_BLOCKS`` such blocks (65,536 contents that are no exact copies) have more, and
+send each content to more tasks; the number of links is exact there too. Tasks compare their blocks in
+tiles, so the pairs in memory are bounded.
 
 Defined results: the class of a document is the least doc_id of its connected group of links;
 a text without words (null, empty) has no shingles and links to nothing, its
@@ -39,8 +46,13 @@ BANDS, BAND_VALUES = 32, 4  # a pair of similarity 0.8 shares no band with proba
 HASHES = BANDS * BAND_VALUES
 STEP = 16
 TOLERANCE = 1e-6
+HOME_ROUNDS = 2
 BLOCK_CONTENTS = 256
 BLOCK_SHINGLES = 400_000
+HOME_BLOCKS = 8
+MOST_CONTENTS = 8192
+MOST_SHINGLES = 4_000_000
+TILE = 512
 SALTS = 8
 NO_ID = -(2**63)
 _FACTORS = random_numbers(HASHES, 101) | U(1)
@@ -149,11 +161,23 @@ def bucket_rows(reps: DataFrame) -> DataFrame:
     return reps.select("content", "bands").mapInArrow(run, "bucket long, content long")
 
 
+def homes_of(members: DataFrame) -> DataFrame:
+    """(content, home): the least leader within ``HOME_ROUNDS`` steps from bucket to bucket."""
+    homes = members.groupBy("content").agg(F.min("leader").alias("home"))
+    held = members.select("bucket", "content")
+    for _ in range(HOME_ROUNDS):
+        near = held.join(homes, "content").groupBy("bucket").agg(F.min("home").alias("home"))
+        homes = written(held.join(near, "bucket").groupBy("content").agg(F.min("home").alias("home")), "join-homes")
+    return homes
+
+
 def blocks_of(members: DataFrame, reps: DataFrame) -> DataFrame:
-    """(content, block): contents with the same least leader, in blocks of bounded size."""
-    homes = members.groupBy("content").agg(F.min("leader").alias("home")).join(reps.select("content", "n_shingles"), "content")
+    """(content, block): contents of one home, in blocks of bounded size."""
+    homes = homes_of(members).join(reps.select("content", "n_shingles"), "content")
     sizes = homes.groupBy("home").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("weight"))
-    parts = F.ceil(F.greatest(F.col("n") / BLOCK_CONTENTS, F.col("weight") / BLOCK_SHINGLES))
+    wanted = F.ceil(F.greatest(F.col("n") / BLOCK_CONTENTS, F.col("weight") / BLOCK_SHINGLES))
+    needed = F.ceil(F.greatest(F.col("n") / MOST_CONTENTS, F.col("weight") / MOST_SHINGLES))
+    parts = F.greatest(F.least(wanted, F.lit(HOME_BLOCKS)), needed)
     part = F.pmod(F.xxhash64("content"), F.col("parts"))
     return homes.join(sizes.select("home", parts.alias("parts")), "home").select("content", F.xxhash64("home", part).alias("block"))
 
@@ -244,9 +268,11 @@ def linked_pairs(values: np.ndarray, sets: list[np.ndarray], left: np.ndarray, r
     return left[ok], right[ok]
 
 
-def _forest(count: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Least index of each index's group of links."""
-    parent = list(range(count))
+def _joined(roots: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Least index of each index's group, after the groups of the given pairs are joined."""
+    count = len(roots)
+    pairs = np.unique(np.minimum(roots[left], roots[right]) * count + np.maximum(roots[left], roots[right]))
+    parent = roots.tolist()
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -254,10 +280,22 @@ def _forest(count: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
             x = parent[x]
         return x
 
-    for a, b in zip(left.tolist(), right.tolist(), strict=True):
-        a, b = root(a), root(b)
+    for pair in pairs.tolist():
+        a, b = root(pair // count), root(pair % count)
         parent[max(a, b)] = min(a, b)
-    return np.array([root(x) for x in range(count)], np.int64)
+    return np.array([root(x) for x in range(count)], np.int64) if len(pairs) else roots
+
+
+def _tiles(ours: np.ndarray, theirs: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(indexes, left, right): all pairs of two lists of indexes, or within one, in tiles; left and right are places in the indexes."""
+    cut = lambda x: [x[k : k + TILE] for k in range(0, len(x), TILE)]
+    mine = cut(ours)
+    for k, a in enumerate(mine):
+        if theirs is None:
+            yield a, *np.triu_indices(len(a), 1)
+        for b in mine[k + 1 :] if theirs is None else cut(theirs):
+            places = np.arange(len(b)) + len(a)
+            yield np.concatenate((a, b)), np.repeat(np.arange(len(a)), len(b)), np.tile(places, len(a))
 
 
 def compare_blocks(rows: DataFrame, threshold: float, tolerance: float) -> DataFrame:
@@ -269,17 +307,16 @@ def compare_blocks(rows: DataFrame, threshold: float, tolerance: float) -> DataF
         # Views of the Arrow buffers: the sets are not copied.
         sets = [np.frombuffer(v.as_buffer(), np.uint64) for p in parts for v in p.column(5)]
         values = np.stack([np.frombuffer(v.as_buffer(), np.uint32) for p in parts for v in p.column(6)])
-        if low == high:
-            left, right = np.triu_indices(len(contents), 1)
-        else:
-            ours, theirs = np.flatnonzero(block == low), np.flatnonzero(block == high)
-            left, right = np.repeat(ours, len(theirs)), np.tile(theirs, len(ours))
-        left, right = linked_pairs(values, sets, left, right, threshold, tolerance)
-        links = np.bincount(left, copies[right], len(contents)) + np.bincount(right, copies[left], len(contents))
-        roots = _forest(len(contents), left, right)
+        links, roots = np.zeros(len(contents), np.int64), np.arange(len(contents))
+        for own, left, right in _tiles(np.flatnonzero(block == low), None if low == high else np.flatnonzero(block == high)):
+            left, right = linked_pairs(values[own], [sets[i] for i in own], left, right, threshold, tolerance)
+            left, right = own[left], own[right]
+            np.add.at(links, left, copies[right])
+            np.add.at(links, right, copies[left])
+            roots = _joined(roots, left, right)
         some = np.flatnonzero(links > 0)
         return pa.RecordBatch.from_arrays(
-            [pa.array(contents[some]), pa.array(links[some].astype(np.int64)), pa.array(contents[roots[some]])],
+            [pa.array(contents[some]), pa.array(links[some]), pa.array(contents[roots[some]])],
             names=["content", "links", "root"],
         )
 
@@ -391,16 +428,17 @@ def ngram_join(
 
 
 def one_per_class(docs: DataFrame, joined: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each class: the class id's, of several its text of least hash; all columns stay."""
+    """One row of each class: the class id's, of several its text of least hash; all columns stay, whatever their names."""
     kept = (
         joined.where(F.col("doc_id").eqNullSafe(F.col("class_id")))
         .groupBy("class_id", "class_key")
-        .agg(F.min("text_hash").alias("_hash"))
-        .select(F.coalesce("class_id", F.lit(NO_ID)).alias("_id"), "_hash")
+        .agg(F.min("text_hash").alias("hash"))
+        .select(F.coalesce("class_id", F.lit(NO_ID)).alias("id"), "hash")
         .distinct()
     )
-    keys = {
-        "_id": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)),
-        "_hash": F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))),
-    }
-    return docs.withColumns(keys).join(kept, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).drop("_id", "_hash")
+    rows = docs.select(
+        F.struct("*").alias("row"),
+        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"),
+        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash"),
+    )
+    return rows.join(kept, ["id", "hash"], "left_semi").dropDuplicates(["id", "hash"]).select("row.*")

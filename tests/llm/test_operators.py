@@ -179,6 +179,43 @@ def test_join_on_documents(docs, texts):
     assert got == {d: (links[k], ids[roots[k]]) for k, d in enumerate(ids)}
 
 
+def test_rows_sent_grow_with_the_contents(spark):
+    """One group of near copies: a content goes to the same number of tasks, however many there are."""
+    sent = []
+    for n in (2000, 4000, 8000, 16_000):
+        members = spark.range(n).select(F.lit(1).cast("long").alias("bucket"), F.col("id").alias("content"), F.lit(0).cast("long").alias("leader"))
+        reps = spark.range(n).select(F.col("id").alias("content"), F.lit(150).alias("n_shingles"))
+        blocks = ngram_join.blocks_of(members, reps).cache()
+        pairs = ngram_join.block_pairs(members, blocks)
+        sides = pairs.withColumn("block", F.explode(F.array_distinct(F.array("low", "high"))))
+        sent.append(sides.join(blocks, "block").count())
+    assert sent == [8 * n for n in (2000, 4000, 8000, 16_000)]
+
+
+def test_homes_reach_over_buckets(spark):
+    chain = [(b, c) for b in range(6) for c in (b, b + 1)]
+    members = spark.createDataFrame([(b, c, min(x for k, x in chain if k == b)) for b, c in chain], "bucket long, content long, leader long")
+    homes = {r.content: r.home for r in ngram_join.homes_of(members).collect()}
+    assert homes == {c: max(0, c - 1 - ngram_join.HOME_ROUNDS) for c in range(7)}
+
+
+def test_tiles_hold_every_pair_once(monkeypatch):
+    monkeypatch.setattr(ngram_join, "TILE", 4)
+    for n, m in ((0, 0), (1, 5), (9, 7), (8, 4)):
+        a, b = np.arange(n), np.arange(100, 100 + m)
+        within = [(own[i], own[j]) for own, left, right in ngram_join._tiles(a, None) for i, j in zip(left, right, strict=True)]
+        assert Counter(within) == Counter((i, j) for i in range(n) for j in range(i + 1, n))
+        across = [(own[i], own[j]) for own, left, right in ngram_join._tiles(a, b) for i, j in zip(left, right, strict=True)]
+        assert Counter(across) == Counter((i, j) for i in a for j in b)
+
+
+def test_one_per_class_keeps_columns_of_any_name(spark):
+    rows = [(1, "a b c d e f", 1, "x"), (2, "a b c d e f", 2, "y"), (3, "g h i j k l", 3, "z")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _id int, _hash string")
+    kept = ngram_join.one_per_class(frame, ngram_join.ngram_join(frame))
+    assert sorted(tuple(r) for r in kept.collect()) == [rows[0], rows[2]] and kept.columns == frame.columns
+
+
 def test_join_awkward(awkward, nothing):
     joined = ngram_join.ngram_join(awkward)
     got = Counter((r.doc_id, r.class_id, r.n_links) for r in joined.collect())
