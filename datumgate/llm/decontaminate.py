@@ -253,7 +253,14 @@ def find_leaks(
     )
 
 
-def without_leaks(docs: DataFrame, leaks: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Documents that hold no copy; a null id is matched too."""
-    bad = leaks.select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["_leak"]), "left_anti")
+def without_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Documents that hold no copy of an item, with all their columns.
+
+    A document is told by its id and its text together: other texts under the id of one that
+    leaks, a null one included, stay.
+    """
+    key = F.xxhash64(F.col(id_col).isNull(), F.col(id_col), F.col(text_col).isNull(), F.col(text_col))
+    leaks = find_leaks(docs.select(key.alias("doc_id"), F.col(text_col).alias("text")), items, **options)
+    rows = docs.select(F.struct("*").alias("row"), key.alias("key"))
+    bad = leaks.select(F.col("doc_id").alias("key")).distinct()
+    return rows.join(bad, "key", "left_anti").select("row.*")

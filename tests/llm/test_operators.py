@@ -382,7 +382,13 @@ def test_leaks(spark):
     got = {(r.doc_id, r.item_id): r for r in decontaminate.find_leaks(frame, items).collect()}
     assert set(got) == {(1, 7), (2, 7)}
     assert got[1, 7].score == 1.0 and (got[2, 7].start_word, got[2, 7].end_word) == (10, 39)
-    assert {r.doc_id for r in decontaminate.without_leaks(frame, decontaminate.find_leaks(frame, items)).collect()} == {3, 4, 5, 6}
+    assert {r.doc_id for r in decontaminate.without_leaks(frame, items).collect()} == {3, 4, 5, 6}
+    # Other texts under a leaking id, null or not, stay.
+    leak = next(r for r in frame.collect() if r.doc_id == 1)
+    rows = [(1, leak.text, "a", 1), (1, "a clean text", "b", 2), (None, leak.text, "c", 3), (None, "also clean", "d", 4), (None, None, "e", 5)]
+    shared = spark.createDataFrame(rows, "doc_id long, text string, key string, row int")
+    left = decontaminate.without_leaks(shared, items)
+    assert left.columns == shared.columns and sorted(r.key for r in left.collect()) == ["b", "d", "e"]
     assert decontaminate.find_leaks(frame.limit(0), items).count() == 0
     assert decontaminate.find_leaks(frame, items.limit(0)).count() == 0
 
