@@ -301,14 +301,22 @@ def with_planted_run(text: Column, doc_id: Column) -> Column:
     """
     h = F.crc32(doc_id.cast("string").cast("binary"))
     g = F.floor(h / 10)
-    words = F.filter(F.split(text, SPACES), lambda w: w != "")
+    # Each name is bound as a lambda's variable, so that it is computed once and not for each word.
+    bound = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+
+    def tail(w: Column, n: Column) -> Column:
+        a = F.pmod(g, n)
+        p = F.lit(1) + F.floor((n - a) / (F.lit(3) + F.pmod(g, F.lit(8))))
+
+        def repeated(at: Column) -> Column:
+            word = lambda x, i: F.when(i < at["a"], x).otherwise(F.get(w, (at["a"] + F.pmod(i - at["a"], at["p"])).cast("int")))
+            return F.array_join(F.transform(w, word), " ")
+
+        return bound(F.struct(a.alias("a"), p.alias("p")), repeated)
 
     def planted(w: Column) -> Column:
         n = F.size(w).cast("long")
-        a = F.pmod(g, F.nullif(n, F.lit(0)))
-        p = F.lit(1) + F.floor((n - a) / (F.lit(3) + F.pmod(g, F.lit(8))))
-        source = lambda x, i: F.when(i < a, x).otherwise(F.get(w, (a + F.pmod(i - a, p)).cast("int")))
-        return F.array_join(F.transform(w, source), " ")
+        return F.when(n > 0, tail(w, F.greatest(n, F.lit(1)))).otherwise(text)
 
-    chosen = F.coalesce(F.pmod(h, F.lit(10)) == 0, F.lit(False))
-    return F.when(chosen & (F.size(words) > 0), planted(words)).otherwise(text)
+    chosen = F.coalesce(F.pmod(h, F.lit(10)) == 0, F.lit(False)) & text.isNotNull()
+    return F.when(chosen, bound(F.filter(F.split(text, SPACES), lambda w: w != ""), planted)).otherwise(text)
