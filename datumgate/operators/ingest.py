@@ -27,6 +27,7 @@ from ..sources.delimited import header_rows, names_of
 from ..sources.files import detect_formats, list_files, qualified
 from ..sources.footers import dataset_facts
 from ..sources.scan import csv_options, read_parquet, scan
+from ..sources.verify import first_faults
 from .identity import file_fingerprints, manifest_fingerprints
 from .infer import file_masks
 from .registry import Registry, current
@@ -131,7 +132,7 @@ def _facts(spark: SparkSession, accepted: list[tuple], results: dict, verify: bo
     detected = detect_formats(list_files(spark, roots))
     typed = _files_of(frame, detected, len(accepted)).where("length > 0")
     typed = typed.withColumn("format", F.coalesce("hint", "format"))
-    facts = dataset_facts(typed, "ord", verify=verify)
+    facts = dataset_facts(typed, "ord", faults=first_faults(typed) if verify else None)
     for row in facts.join(prints.select("ord", "fingerprint"), "ord").collect():
         result = results[row.ord]
         result.update(format=row.format, fingerprint=row.fingerprint)

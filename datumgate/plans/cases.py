@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import EngineError
-from ..model import CSV, PARQUET, IngestionOptions, IngestionSource
+from ..model import ARROW_IPC, CSV, PARQUET, IngestionOptions, IngestionSource
 from ..operators.ingest import ingest, preview
 from ..operators.infer import infer_masks
 from ..operators.profile import column_states, exact_distinct, merge_states, profile_columns
 from ..operators.registry import Registry, resolve, versions
 from ..session import scratch_dir
 from ..sources.arrow_ipc import read_ipc, write_ipc
+from ..sources.files import filesystem_of, list_files, open_file
 from ..sources.scan import scan
+from ..sources.verify import check_files
 from .tables import TABLES, table
 
 NAMESPACE = "cases"
@@ -26,6 +29,8 @@ RSD, CLOSE = 0.02, 5
 GAP = 1_000_003
 # Where all order values but the first lie.
 BURST = 10**15
+# The column whose pages are overwritten in one copy.
+BROKEN_COLUMN = "o_orderpriority"
 
 
 def _nested(spark: SparkSession, sf_dir: str) -> str:
@@ -214,6 +219,75 @@ def registry_gappy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.select("seq", "version_id", "parent_version_id", "changed", "schema_changed")
 
 
+def _broken_copies(files: DataFrame, target: str) -> DataFrame:
+    """Copies of one Parquet and one IPC file below ``target``, each with other bytes overwritten; done in tasks.
+
+    ``pages``: the pages of one column of the first row group. ``footer``: the end of the file.
+    ``batches``: the header of the first record batch.
+    """
+
+    def copy(path: str, kind: str) -> str:
+        from pyarrow import parquet
+
+        out = f"{target}/{kind}"
+        with open_file(path) as source:
+            size = source.size()
+            if kind == "pages":
+                group = parquet.ParquetFile(source).metadata.row_group(0)
+                [chunk] = [c for c in map(group.column, range(group.num_columns)) if c.path_in_schema == BROKEN_COLUMN]
+                first = chunk.dictionary_page_offset if chunk.has_dictionary_page else chunk.data_page_offset
+                low, high = first, first + chunk.total_compressed_size
+            elif kind == "footer":
+                low, high = size - 64, size - 8
+            else:
+                # An IPC file starts with its magic, then the schema's length, the schema and the first batch.
+                source.seek(12)
+                low = 16 + int.from_bytes(source.read(4), "little") + 8
+                high = low + 64
+            source.seek(0)
+            filesystem, place = filesystem_of(out)
+            filesystem.create_dir(place)
+            with filesystem.open_output_stream(f"{place}/file") as sink:
+                at = 0
+                while piece := source.read(1 << 20):
+                    piece = bytearray(piece)
+                    for k in range(max(low - at, 0), min(high - at, len(piece))):
+                        piece[k] = (k * 37 + 11) % 256
+                    sink.write(bytes(piece))
+                    at += len(piece)
+        return f"{out}/file"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths = [copy(p, k) for p, k in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), *batch.columns[1:]], names=["path", "format", "kind"])
+
+    return files.select("path", "format", "kind").mapInArrow(run, "path string, format string, kind string")
+
+
+def verify_broken_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as Parquet and as Arrow IPC, all sound, beside copies of a file of each with broken bytes."""
+    orders = table(spark, sf_dir, "orders")
+    parquet, ipc, broken = (scratch_dir(spark, f"verify-{name}") for name in ("parquet", "ipc", "broken"))
+    orders.write.parquet(parquet)
+    write_ipc(orders, ipc)
+    whole = [list_files(spark, p).where("length > 0").select("path", F.lit(f).alias("format")) for p, f in ((parquet, PARQUET), (ipc, ARROW_IPC))]
+    first = [files.groupBy("format").agg(F.min("path").alias("path")) for files in whole]
+    kinds = F.when(F.col("format") == PARQUET, F.array(F.lit("pages"), F.lit("footer"))).otherwise(F.array(F.lit("batches")))
+    copies = _broken_copies(first[0].unionByName(first[1]).withColumn("kind", F.explode(kinds)), broken)
+    named = scratch_dir(spark, "verify-copies")
+    copies.write.parquet(named)
+    files = whole[0].unionByName(whole[1]).withColumn("kind", F.lit("whole")).unionByName(spark.read.parquet(named))
+    found = check_files(files).join(files.select("path", "kind").dropDuplicates(["path"]), "path")
+    faults = F.col("error").isNotNull()
+    return found.groupBy("format", "kind").agg(
+        F.sum(F.when(F.col("kind") == "whole", F.col("row_count"))).alias("sound_rows"),
+        F.count_distinct(F.when(faults, F.col("path"))).alias("broken_files"),
+        F.min(F.when(faults, F.coalesce("part", F.lit(-1)))).alias("first_broken_part"),
+        F.array_join(F.array_sort(F.collect_set(F.when(faults, F.col("column")))), ",").alias("broken_columns"),
+    )
+
+
 def registry_bursty_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors and clicks as one name, all else as another; one event long before a burst of all others."""
     seq = F.col("event_id")
@@ -302,6 +376,14 @@ CASES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
         SELECT seq, version_id, parent_version_id, coalesce(version_id <> parent_version_id, false) AS changed,
             coalesce(props <> parent_props, false) AS schema_changed FROM p""",
     ),
+    "verify_broken_files": (
+        verify_broken_files,
+        f"""SELECT format, 'whole' AS kind, count(*) AS sound_rows, 0::BIGINT AS broken_files, NULL::BIGINT AS first_broken_part,
+            '' AS broken_columns FROM orders, (VALUES ('parquet'), ('arrow_ipc')) AS f(format) GROUP BY format
+        UNION ALL SELECT 'parquet', 'pages', NULL, 1, 0, '{BROKEN_COLUMN}'
+        UNION ALL SELECT 'parquet', 'footer', NULL, 1, -1, ''
+        UNION ALL SELECT 'arrow_ipc', 'batches', NULL, 1, 0, ''""",
+    ),
     "registry_bursty_names": (
         registry_bursty_names,
         f"""WITH e AS (SELECT CASE WHEN event_id = (SELECT min(event_id) FROM events) THEN 0 ELSE event_id + {BURST} END AS seq,

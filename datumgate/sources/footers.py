@@ -69,11 +69,8 @@ def ipc_batches(reader, start: int = 0, stop: int | None = None) -> Iterator[pa.
         yield from reader
 
 
-def inspect_footer(path: str, fmt: str | None, counts: bool = True, verify: bool = False) -> dict:
-    """Facts of one file as a row of ``FOOTER_SCHEMA``.
-
-    ``counts=False`` leaves IPC rows uncounted; ``verify=True`` decodes all data, batch by batch.
-    """
+def inspect_footer(path: str, fmt: str | None, counts: bool = True) -> dict:
+    """Facts of one file as a row of ``FOOTER_SCHEMA``; ``counts=False`` leaves IPC rows uncounted."""
     row = {name: None for name in FOOTER_SCHEMA.names}
     row.update(path=path, format=fmt)
     if fmt not in (PARQUET, ARROW_IPC):
@@ -102,11 +99,6 @@ def inspect_footer(path: str, fmt: str | None, counts: bool = True, verify: bool
             row["schema_json"] = T.StructType(
                 [T.StructField(f.name, t, True, declared_metadata(stored, t)) for f, (stored, t) in types]
             ).json()
-            if verify:
-                if fmt == ARROW_IPC:
-                    source.seek(0)
-                for batch in footer.iter_batches() if fmt == PARQUET else ipc_batches(open_ipc(source)):
-                    batch.validate(full=True)
             if fmt == ARROW_IPC and counts:
                 # Only the batches themselves know their lengths.
                 row["row_count"] = ipc_row_count(source, schema)
@@ -127,7 +119,7 @@ def _arrow_footer_schema() -> pa.Schema:
     )
 
 
-def read_footers(files: DataFrame, keep: Sequence[str] = (), counts: bool = True, verify: bool = False) -> DataFrame:
+def read_footers(files: DataFrame, keep: Sequence[str] = (), counts: bool = True) -> DataFrame:
     """The schema each ``(path, format)`` row's file states itself; ``keep`` passes columns through.
 
     Runs in the partitions the listing already has; nothing is shuffled. Types
@@ -139,7 +131,7 @@ def read_footers(files: DataFrame, keep: Sequence[str] = (), counts: bool = True
     def inspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             asked = zip(batch.column("path").to_pylist(), batch.column("format").to_pylist())
-            rows = [inspect_footer(path, fmt, counts, verify) for path, fmt in asked]
+            rows = [inspect_footer(path, fmt, counts) for path, fmt in asked]
             facts = pa.RecordBatch.from_pylist(rows, schema=footer_schema)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(f.name) for f in kept] + facts.columns, names=[f.name for f in kept] + facts.schema.names
@@ -149,9 +141,11 @@ def read_footers(files: DataFrame, keep: Sequence[str] = (), counts: bool = True
     return wanted.mapInArrow(inspect, T.StructType(kept + FOOTER_SCHEMA.fields))
 
 
-def dataset_facts(typed: DataFrame, key: str, counts: bool = True, verify: bool = False) -> DataFrame:
+def dataset_facts(typed: DataFrame, key: str, counts: bool = True, faults: DataFrame | None = None) -> DataFrame:
     """One row per dataset from its ``(key, relative_path, path, format)`` files, every file looked at.
 
+    ``faults`` is ``(path, fault)`` of files whose data was found broken.
+
     Carries the schema and row count, or the first error: undetectable,
     unsupported type, corrupt, then files that differ in format or schema, or
     that are only partly in a Hive layout.
@@ -165,7 +159,10 @@ def dataset_facts(typed: DataFrame, key: str, counts: bool = True, verify: bool
     )
     worst = F.struct(rank.alias("rank"), F.col("path"), F.col("error_code"), F.col("error_message"))
     in_layout = is_partitioned(F.col("relative_path"))
-    folded = read_footers(typed, keep=[key, "relative_path"], counts=counts, verify=verify).groupBy(key).agg(
+    footers = read_footers(typed, keep=[key, "relative_path"], counts=counts)
+    if faults is not None:
+        footers = _with_faults(footers, faults)
+    folded = footers.groupBy(key).agg(
         F.min("format").alias("format"),
         F.max("format").alias("other_format"),
         F.min("schema_json").alias("schema_json"),
@@ -194,6 +191,20 @@ def dataset_facts(typed: DataFrame, key: str, counts: bool = True, verify: bool
     )
 
 
+def _with_faults(footers: DataFrame, faults: DataFrame) -> DataFrame:
+    """Footers of files with broken data, as those of broken files."""
+    broken = F.col("fault").isNotNull() & F.col("error_code").isNull()
+    gone = lambda name: F.when(~broken, F.col(name))
+    return footers.join(faults, "path", "left").withColumns(
+        {
+            "error_code": F.when(broken, F.lit(CORRUPTED_BATCH)).otherwise(F.col("error_code")),
+            "error_message": F.when(broken, F.concat_ws(": ", "path", "fault")).otherwise(F.col("error_message")),
+            "row_count": gone("row_count"),
+            "schema_json": gone("schema_json"),
+        }
+    )
+
+
 def footer_contract(files: DataFrame) -> DataFrame:
     """One row per (file, field): the type in the file and whether it is canonical."""
     return read_footers(files).select("path", F.inline("fields"))

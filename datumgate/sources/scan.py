@@ -16,6 +16,7 @@ from ..operators.infer import load_delimited
 from .arrow_ipc import read_ipc
 from .files import detect_file, detect_formats, first_file, list_files, require_path
 from .footers import dataset_facts, inspect_footer
+from .verify import require_sound
 
 NANOS_AS_LONG = "spark.sql.legacy.parquet.nanosAsLong"
 
@@ -121,10 +122,17 @@ def scan(
     *,
     csv: CsvOptions | None = None,
     sample_limit: int | None = None,
+    verify: bool = False,
 ) -> DataFrame:
-    """Rows of the dataset at ``path``. A given format wins over detection."""
+    """Rows of the dataset at ``path``. A given format wins over detection.
+
+    ``verify=True`` decodes every Parquet row group and IPC batch first and raises ``CorruptedBatch``, which names
+    file, part and column, before any row is handed out.
+    """
     full = require_path(spark, path)
     fmt = fmt or detect(spark, full)
+    if verify:
+        require_sound(spark, list_files(spark, full).where("length > 0").select("path", F.lit(fmt).alias("format")))
     if fmt == PARQUET:
         df = scan_parquet(spark, full)
     elif fmt == ARROW_IPC:

@@ -3,6 +3,7 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import json
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -30,6 +31,7 @@ from datumgate.sources.arrow_ipc import deserialize, read_ipc, serialize, write_
 from datumgate.sources.files import detect_formats, list_files
 from datumgate.sources.footers import footer_contract
 from datumgate.sources.scan import scan
+from datumgate.sources.verify import check_files, require_sound
 
 ISLANDS = pa.table(
     {"id": pa.array([9, 5, 7, 6], pa.int32()), "island": pa.array([None, "Fyn", "Als", "Mors"], pa.string())}
@@ -348,6 +350,40 @@ def test_verified_ingestion_finds_broken_pages(spark, tmp_path):
     assert "ferries" in row.error_message
 
 
+def test_broken_row_groups_and_batches_are_named(spark, tmp_path):
+    rows = pa.table({"n": list(range(30_000)), "s": [f"pier {i * 7919}" for i in range(30_000)]})
+    sound, torn, cut = (str(tmp_path / name) for name in ("sound.parquet", "torn.parquet", "cut.parquet"))
+    pq.write_table(rows, sound, row_group_size=10_000)
+    data = bytearray(Path(sound).read_bytes())
+    chunk = pq.ParquetFile(sound).metadata.row_group(1).column(1)
+    low = chunk.dictionary_page_offset or chunk.data_page_offset
+    data[low : low + chunk.total_compressed_size] = bytes((k * 31 + 7) % 256 for k in range(chunk.total_compressed_size))
+    Path(torn).write_bytes(data)
+    Path(cut).write_bytes(data[:-40])
+    file, stream = str(tmp_path / "a.arrow"), str(tmp_path / "b.arrows")
+    for path, new in ((file, pa.ipc.new_file), (stream, pa.ipc.new_stream)):
+        with pa.OSFile(path, "wb") as sink, new(sink, rows.schema) as writer:
+            writer.write_table(rows, max_chunksize=7_000)
+    Path(stream).write_bytes(Path(stream).read_bytes()[:-60_000])
+    formats = [(sound, "parquet"), (torn, "parquet"), (cut, "parquet"), (file, "arrow_ipc"), (stream, "arrow_ipc"), ("x.csv", "csv")]
+    files = spark.createDataFrame(formats, "path string, format string")
+    found = {}
+    for r in check_files(files).collect():
+        found.setdefault(r.path, []).append((r.part, r.row_count, r.column, r.error is not None))
+    by_part = lambda path: sorted(found[path], key=lambda r: (r[0] is None, r[0]))
+    assert by_part(sound) == [(k, 10_000, None, False) for k in range(3)]
+    assert by_part(torn) == [(0, 10_000, None, False), (1, None, "s", True), (2, 10_000, None, False)]
+    assert by_part(cut) == [(None, None, None, True)]
+    assert by_part(file) == [(k, n, None, False) for k, n in enumerate((7000, 7000, 7000, 7000, 2000))]
+    assert by_part(stream) == [(0, None, None, True)] and "x.csv" not in found
+    assert check_files(files.limit(0)).count() == 0
+    with pytest.raises(CorruptedBatch, match="torn.parquet: row group 1, column s"):
+        scan(spark, torn, verify=True)
+    with pytest.raises(CorruptedBatch, match="cut.parquet: footer"):
+        require_sound(spark, files.where(F.col("path") == cut))
+    assert scan(spark, sound, verify=True).count() == 30_000
+
+
 def test_declared_types_reach_profile_and_drift_check(spark, tmp_path):
     types = {"u8": pa.uint8(), "u16": pa.uint16(), "u32": pa.uint32(), "u64": pa.uint64(), "large": pa.large_string()}
     texts = {"large": ["a", "b"]}
