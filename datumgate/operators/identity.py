@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import digest_text, limb_sums, row_text, word_totals
-from ..sources.files import detect_formats, file_name, list_files, open_file, require_path
+from ..sources.files import detect_formats, file_name, is_hidden, open_file, outer_roots, require_path, walk_files
 
 # Files up to this size are hashed from the binaryFile source, which holds a
 # whole file in one row; larger ones are streamed through the hash in a task.
@@ -21,12 +21,30 @@ READ_BYTES = 1 << 20
 def file_fingerprints(spark: SparkSession, paths: str | list[str], *, in_row_bytes: int = IN_ROW_BYTES) -> DataFrame:
     """``(path, length, fingerprint)``: hex SHA-256 of the bytes of every file.
 
-    Both branches push their length filter into the listing. One file is one
-    sequential hash, so the work is spread over files; the scan already puts
-    each large file into a partition of its own.
+    Files that Spark's scan delivers, up to ``in_row_bytes``, are hashed from its rows; larger, empty and hidden
+    ones are streamed through the hash. One file is one sequential hash, so the work is spread over files.
     """
+    roots = outer_roots(spark, paths)
+    every = walk_files(spark, roots)
+    scanned = ~is_hidden(F.col("root"), F.col("path")) & F.col("length").between(1, in_row_bytes)
     load = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load
-    files = load([paths] if isinstance(paths, str) else list(paths))
+    small = load(roots).where(F.col("length").between(1, in_row_bytes))
+    path = F.col("path")
+    below = lambda root: (path == root) | F.startswith(path, F.concat(root, F.lit("/")))
+    small = small.where(~F.exists(F.lit(roots), lambda root: below(root) & is_hidden(root, path)))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rest = every.where(~scanned).repartition(tasks, "path")
+    hashed = small.select("path", "length", F.sha2("content", 256).alias("fingerprint"))
+    return hashed.unionByName(stream_fingerprints(rest))
+
+
+def data_fingerprints(spark: SparkSession, paths: list[str], *, in_row_bytes: int = IN_ROW_BYTES) -> DataFrame:
+    """``file_fingerprints`` of the files a dataset is read from: those that Spark's scans list.
+
+    Both branches push their length filter into the listing; the scan already puts
+    each large file into a partition of its own.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
     small = files.where(F.col("length") <= in_row_bytes).select(
         "path", "length", F.sha2("content", 256).alias("fingerprint")
     )
@@ -112,7 +130,7 @@ def register_files(spark: SparkSession, paths: str | list[str], names: dict[str,
     ``names`` gives names to some of ``paths``. ``row_count`` is 0 until the files are profiled.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    formats = detect_formats(list_files(spark, paths)).select("path", "format")
+    formats = detect_formats(walk_files(spark, paths).select("path", "length")).select("path", "format")
     return (
         file_fingerprints(spark, paths)
         .join(formats, "path")

@@ -24,11 +24,11 @@ from ..functions.cells import NULL_CELL, TYPES, type_of_mask
 from ..functions.local import local_frame
 from ..model import CSV, PARQUET, CsvOptions, IngestionOptions, IngestionSource
 from ..sources.delimited import header_rows, names_of
-from ..sources.files import detect_formats, list_files, qualified
+from ..sources.files import detect_formats, list_files, outermost, qualified
 from ..sources.footers import dataset_facts
 from ..sources.scan import csv_options, read_parquet, scan
 from ..sources.verify import first_faults
-from .identity import file_fingerprints, manifest_fingerprints
+from .identity import data_fingerprints, manifest_fingerprints
 from .infer import file_masks
 from .registry import Registry, current
 
@@ -41,17 +41,6 @@ INSPECTED = """
 """
 
 
-def _outermost(roots: list[str]) -> list[str]:
-    """Distinct roots without those that lie below another one."""
-    known = set(roots)
-    kept = []
-    for root in sorted(known):
-        parts = root.split("/")
-        if not any("/".join(parts[:i]) in known for i in range(1, len(parts))):
-            kept.append(root)
-    return kept
-
-
 def _files_of(sources: DataFrame, files: DataFrame, count: int) -> DataFrame:
     """Files paired with the sources whose path is the file or a folder above it.
 
@@ -107,7 +96,7 @@ def _source_frame(spark: SparkSession, found: list[tuple]) -> DataFrame:
 
 
 def _sizes(spark: SparkSession, found: list[tuple], results: dict, options: IngestionOptions) -> None:
-    files = list_files(spark, _outermost([f[1] for f in found]))
+    files = list_files(spark, outermost([f[1] for f in found]))
     paired = _files_of(_source_frame(spark, found), files, len(found))
     sizes = {r.ord: r.bytes for r in paired.groupBy("ord").agg(F.sum("length").alias("bytes")).collect()}
     for i, _, _ in found:
@@ -124,9 +113,9 @@ def _sizes(spark: SparkSession, found: list[tuple], results: dict, options: Inge
 
 def _facts(spark: SparkSession, accepted: list[tuple], results: dict, verify: bool) -> None:
     """Fingerprints, formats, schemas and row counts of all sources in one job each."""
-    roots = _outermost([f[1] for f in accepted])
+    roots = outermost([f[1] for f in accepted])
     frame = _source_frame(spark, accepted)
-    digests = file_fingerprints(spark, roots)
+    digests = data_fingerprints(spark, roots)
     paired = _files_of(frame, digests, len(accepted)).where("length > 0")
     prints = manifest_fingerprints(paired, ["ord"])
     detected = detect_formats(list_files(spark, roots))
@@ -158,7 +147,7 @@ def _delimited_facts(spark: SparkSession, found: list[tuple], options_of: dict[i
     """
     for options in dict.fromkeys(options_of.values()):
         members = [f for f in found if options_of.get(f[0]) == options]
-        roots = _outermost([f[1] for f in members])
+        roots = outermost([f[1] for f in members])
         files = _files_of(_source_frame(spark, members), list_files(spark, roots), len(members))
         files = files.where("length > 0").select("ord", "path")
         headers = {r.ord: r for r in header_rows(files, "ord", options.delimiter).collect()}

@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 from ..errors import EngineError
 from ..model import ARROW_IPC, CSV, PARQUET, IngestionOptions, IngestionSource
+from ..operators.identity import file_fingerprints
 from ..operators.ingest import ingest, preview
 from ..operators.infer import infer_masks
 from ..operators.profile import column_states, exact_distinct, merge_states, profile_columns
 from ..operators.registry import Registry, resolve, versions
 from ..session import scratch_dir
 from ..sources.arrow_ipc import read_ipc, write_ipc
-from ..sources.files import filesystem_of, list_files, open_file
+from ..sources.files import filesystem_of, list_files, open_file, qualified
 from ..sources.scan import scan
 from ..sources.verify import check_files
 from .tables import TABLES, table
@@ -288,6 +289,17 @@ def verify_broken_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def listing_sees_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders of a partitioned copy of orders that hold files, and the empty marker beside them, with its hash."""
+    folder = _partitioned(spark, sf_dir)
+    relative = F.substr("path", F.length(F.lit(qualified(spark, folder)[0])) + 2)
+    prints = file_fingerprints(spark, folder).withColumn("name", F.split_part(relative, F.lit("/"), F.lit(1)))
+    marked = F.col("name").startswith("_")
+    return prints.where(marked | F.col("path").endswith(".parquet")).groupBy("name").agg(
+        F.max(F.col("length") == 0).alias("is_empty"), F.max(F.when(marked, F.col("fingerprint"))).alias("fingerprint")
+    )
+
+
 def registry_bursty_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors and clicks as one name, all else as another; one event long before a burst of all others."""
     seq = F.col("event_id")
@@ -384,6 +396,11 @@ CASES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
         UNION ALL SELECT 'parquet', 'footer', NULL, 1, -1, ''
         UNION ALL SELECT 'arrow_ipc', 'batches', NULL, 1, 0, ''""",
     ),
+    "listing_sees_all": (
+        listing_sees_all,
+        """SELECT DISTINCT 'o_orderstatus=' || o_orderstatus AS name, false AS is_empty, NULL::VARCHAR AS fingerprint FROM orders
+        UNION ALL SELECT '_SUCCESS', true, sha256('')""",
+    ),
     "registry_bursty_names": (
         registry_bursty_names,
         f"""WITH e AS (SELECT CASE WHEN event_id = (SELECT min(event_id) FROM events) THEN 0 ELSE event_id + {BURST} END AS seq,

@@ -42,7 +42,7 @@ from ..operators.registry import REGISTER, REMOVE, Registry, current_of_raw, res
 from ..session import configure, scratch_dir
 from ..sources.arrow_ipc import deserialize, read_ipc, serialize, write_ipc
 from ..sources.delimited import join_cells, numbered
-from ..sources.files import detect_formats, file_name, format_by_magic, leading_bytes, list_files
+from ..sources.files import detect_formats, file_name, format_by_magic, leading_bytes, list_files, walk_files
 from ..sources.footers import footer_contract, read_footers
 from ..sources.scan import row_count, scan
 from .cases import CASES
@@ -105,7 +105,7 @@ def detected_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return list_files(spark, sf_dir).select(
+    return walk_files(spark, sf_dir).select(
         file_name(F.col("path")).alias("file_name"),
         F.col("length").alias("byte_size"),
         (F.col("length") == 0).alias("is_empty"),

@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import SourceIoError
+from ..functions.local import local_frame
 from ..model import EXTENSIONS, MAGIC
+from ..session import scratch_dir
 
 
 def filesystem_of(uri: str):
@@ -38,6 +40,70 @@ def list_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return listing.load([paths] if isinstance(paths, str) else list(paths)).select("path", "length")
 
 
+def outermost(roots: list[str]) -> list[str]:
+    """Distinct roots without those that lie below another one."""
+    known = set(roots)
+    kept = []
+    for root in sorted(known):
+        parts = root.split("/")
+        if not any("/".join(parts[:i]) in known for i in range(1, len(parts))):
+            kept.append(root)
+    return kept
+
+
+def outer_roots(spark: SparkSession, paths: str | list[str]) -> list[str]:
+    """The paths as Spark prints them, without those below another; raises where one is absent."""
+    return outermost([require_path(spark, p).rstrip("/") for p in ([paths] if isinstance(paths, str) else paths)])
+
+
+def walk_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``(root, path, length)`` of every file below the paths: empty ones and hidden ones (``_``, ``.``) too.
+
+    Spark's file scans leave those out. Here the folders of one depth are listed in tasks, a folder in each row,
+    and the folders found are the next depth, until there are none. Each depth is a written table; the
+    driver holds the caller's paths only.
+    """
+    roots = outer_roots(spark, paths)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def entries(uri: str) -> list[tuple]:
+        from pyarrow import fs
+
+        filesystem, place = filesystem_of(uri)
+        info = filesystem.get_file_info(place)
+        if info.type == fs.FileType.File:
+            return [(uri, info.size, False)]
+        found = filesystem.get_file_info(fs.FileSelector(place))
+        return [(f"{uri}/{f.base_name}", f.size, f.type == fs.FileType.Directory) for f in found]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for root, path in zip(*(batch.column(k).to_pylist() for k in (0, 1)), strict=True):
+                found = entries(path)
+                columns = [[root] * len(found), *([f[k] for f in found] for k in range(3))]
+                kinds = (pa.string(), pa.string(), pa.int64(), pa.bool_())
+                arrays = [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["root", "path", "length", "is_folder"])
+
+    folders = local_frame(spark, [(r, r) for r in roots], "root string, path string")
+    depths = []
+    while True:
+        depths.append(scratch_dir(spark, "listing"))
+        # A number of tasks of its own: by their size alone the names would all go to one.
+        spread = folders.repartition(tasks, "path")
+        spread.mapInArrow(run, "root string, path string, length bigint, is_folder boolean").write.parquet(depths[-1])
+        folders = spark.read.parquet(depths[-1]).where("is_folder").select("root", "path")
+        if folders.isEmpty():
+            break
+    return spark.read.parquet(*depths).where("not is_folder").select("root", "path", "length")
+
+
+def is_hidden(root: Column, path: Column) -> Column:
+    """Whether a file, or a folder between it and ``root``, has a name that begins with ``_`` or ``.``."""
+    below = F.when(path == root, file_name(path)).otherwise(F.substr(path, F.length(root) + 2))
+    return F.exists(F.split(below, "/"), lambda part: part.rlike("^[_.]"))
+
+
 def is_partitioned(relative_path: Column) -> Column:
     """Whether a file lies below a folder named ``key=value``, as in a Hive layout."""
     return F.exists(F.split(relative_path, "/"), lambda part: part.rlike("^[^=]+=")) & relative_path.contains("/")

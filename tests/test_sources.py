@@ -28,7 +28,7 @@ from datumgate.operators.profile import profile_columns
 from datumgate.operators.registry import Registry
 from datumgate.model import CsvOptions, IngestionOptions, IngestionSource
 from datumgate.sources.arrow_ipc import deserialize, read_ipc, serialize, write_ipc
-from datumgate.sources.files import detect_formats, list_files
+from datumgate.sources.files import detect_formats, list_files, walk_files
 from datumgate.sources.footers import footer_contract
 from datumgate.sources.scan import scan
 from datumgate.sources.verify import check_files, require_sound
@@ -232,6 +232,32 @@ def test_directory_fingerprint(spark, tmp_path):
     assert of("two") != same
 
 
+def test_empty_and_hidden_files_count(spark, tmp_path):
+    payload = {"a": b"1", "_SUCCESS": b"", ".hidden": b"22", "b c": b"", "sub/.d/e": b"333", "sub/_x/y+%20": b"4", "k=1/f": b"5"}
+    root = tmp_path / ".store"
+    prints = []
+    for n, (name, data) in enumerate(payload.items(), 1):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(data)
+        prints.append(directory_fingerprint(spark, str(root)).first().fingerprint)
+        assert directory_fingerprint(spark, str(root)).first().file_count == n
+    (root / "nothing" / "at all").mkdir(parents=True)
+    assert len(set(prints)) == len(payload) and directory_fingerprint(spark, str(root)).first().fingerprint == prints[-1]
+    below = lambda path: path.split("/.store/")[1]
+    assert {below(r.path): r.length for r in walk_files(spark, str(root)).collect()} == {k: len(v) for k, v in payload.items()}
+    for limit in (0, 1, 1 << 20):
+        rows = file_fingerprints(spark, [str(root), str(root / "sub")], in_row_bytes=limit).collect()
+        assert sorted((below(r.path), r.fingerprint) for r in rows) == sorted((k, hashlib.sha256(v).hexdigest()) for k, v in payload.items())
+    assert {r.name for r in register_files(spark, str(root)).collect()} == set(payload)
+    [one] = file_fingerprints(spark, str(root / "_SUCCESS")).collect()
+    assert (one.length, one.fingerprint) == (0, hashlib.sha256(b"").hexdigest())
+    (root / "nothing").joinpath("z").write_bytes(b"")
+    [empty] = walk_files(spark, str(root / "nothing")).collect()
+    assert empty.length == 0
+    with pytest.raises(SourceIoError):
+        walk_files(spark, str(root / "absent"))
+
+
 def test_light_registration(spark, tmp_path):
     path = str(tmp_path / "users.parquet")
     pq.write_table(pa.table({"berth": [4, 8, 2], "vessel": [None, "Kestrel", "Osprey"]}), path)
