@@ -24,11 +24,11 @@ def rules_frame(spark: SparkSession, rules: Sequence[QualityRule]) -> DataFrame:
     rows = []
     for index, rule in enumerate(rules):
         if isinstance(rule, MinRowCount):
-            rows.append((index, MIN_ROWS, None, float(rule.minimum), str(rule.minimum)))
+            rows.append((index, MIN_ROWS, None, float(rule.minimum), rule.minimum, str(rule.minimum)))
         elif isinstance(rule, MaxNullPercentage):
-            rows.append((index, MAX_NULLS, rule.column, float(rule.max_allowed), f"{rule.max_allowed:.1f}"))
+            rows.append((index, MAX_NULLS, rule.column, float(rule.max_allowed), None, f"{rule.max_allowed:.1f}"))
         elif isinstance(rule, NonEmptyColumn):
-            rows.append((index, NON_EMPTY, rule.column, None, None))
+            rows.append((index, NON_EMPTY, rule.column, None, None, None))
         else:
             raise TypeError(f"not a quality rule: {rule!r}")
     schema = pa.schema(
@@ -37,6 +37,8 @@ def rules_frame(spark: SparkSession, rules: Sequence[QualityRule]) -> DataFrame:
             ("kind", pa.string()),
             ("rule_column", pa.string()),
             ("limit", pa.float64()),
+            # Counts are compared as integers; doubles miss differences beyond 2^53.
+            ("least_rows", pa.int64()),
             ("limit_text", pa.string()),
         ]
     )
@@ -57,7 +59,7 @@ def violations_of(profile: DataFrame, rules: Sequence[QualityRule]) -> DataFrame
     nulls, pct = F.col("null_count"), F.col("null_percentage")
     name, text = F.col("rule_column"), F.col("limit_text")
     broken = (
-        ((kind == MIN_ROWS) & (total < limit))
+        ((kind == MIN_ROWS) & (total < F.col("least_rows")))
         | ((kind == MAX_NULLS) & (pct > limit))
         | ((kind == NON_EMPTY) & (nulls == total) & (total > 0))
     )
