@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ..functions.cells import NULL_CELL, TYPES, cell_mask, split_cells, trim, type_of_mask, typed_cell
 from ..model import CsvOptions
 from ..sources.delimited import first_lines, header_cells, leading_lines, read_lines
-from ..sources.files import decoded_path, list_files
+from ..sources.files import decoded_path, list_files, with_keys
 
 
 def column_masks(lines: DataFrame, names: Sequence[str], options: CsvOptions = CsvOptions()) -> DataFrame:
@@ -80,14 +80,18 @@ def infer_schema(spark: SparkSession, paths: str | list[str], options: CsvOption
 
 
 def load_lines(lines: DataFrame, schema: T.StructType, options: CsvOptions = CsvOptions()) -> DataFrame:
-    """Typed rows from data lines."""
-    cells = lines.select(split_cells(F.col("line"), options.delimiter).alias("cells"))
-    trimmed = cells.select(*[trim(F.get("cells", F.lit(i))).alias(f"cell_{i}") for i in range(len(schema.fields))])
+    """Typed rows from data lines; the fields of a struct ``keys`` beside the line follow."""
+    keys = [f.name for f in lines.schema["keys"].dataType.fields] if "keys" in lines.columns else []
+    carried = ["keys"] if keys else []
+    cells = lines.select(split_cells(F.col("line"), options.delimiter).alias("cells"), *carried)
+    raw = [trim(F.get("cells", F.lit(i))).alias(f"cell_{i}") for i in range(len(schema.fields))]
+    trimmed = cells.select(*raw, *carried)
     return trimmed.select(
         *[
             typed_cell(f"cell_{i}", field.dataType, options.null_values).alias(field.name)
             for i, field in enumerate(schema.fields)
-        ]
+        ],
+        *[F.col("keys").getField(k).alias(k) for k in keys],
     )
 
 
@@ -96,7 +100,14 @@ def load_delimited(
     paths: str | list[str],
     options: CsvOptions = CsvOptions(),
     schema: T.StructType | None = None,
+    partitioned: bool = False,
 ) -> DataFrame:
-    """Typed rows of delimited files, inferring the schema when none is given."""
+    """Typed rows of delimited files, inferring the schema when none is given.
+
+    With ``partitioned`` the keys of folders named ``key=value`` follow the columns of the files.
+    """
     schema = schema or infer_schema(spark, paths, options)
-    return load_lines(read_lines(spark, paths, skip_header=options.has_header), schema, options)
+    lines = read_lines(spark, paths, skip_header=options.has_header, keyed=partitioned)
+    if partitioned:
+        with_keys(schema, lines.schema["keys"].dataType, str(paths))
+    return load_lines(lines, schema, options)

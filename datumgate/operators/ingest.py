@@ -24,7 +24,7 @@ from ..functions.cells import NULL_CELL, TYPES, type_of_mask
 from ..functions.local import local_frame
 from ..model import CSV, PARQUET, CsvOptions, IngestionOptions, IngestionSource
 from ..sources.delimited import header_rows, names_of
-from ..sources.files import detect_formats, list_files, outermost, qualified
+from ..sources.files import detect_formats, key_fields, list_files, outermost, qualified, with_keys
 from ..sources.footers import dataset_facts
 from ..sources.scan import csv_options, read_parquet, scan
 from ..sources.verify import first_faults
@@ -128,16 +128,23 @@ def _facts(spark: SparkSession, accepted: list[tuple], results: dict, verify: bo
         if row.error_code is not None:
             _fail(result, row.error_code, f"{result['path']}: {row.error_message}")
             continue
-        result.update(schema_json=row.schema_json, row_count=row.row_count, nanos=row.nanos)
-        if row.partitioned and row.format == PARQUET:
-            result["schema_json"] = _with_partitions(spark, result["path"], row.schema_json)
+        result.update(schema_json=row.schema_json, row_count=row.row_count, nanos=row.nanos, partitioned=row.partitioned)
+        if row.partitioned and row.format != CSV:
+            _with_partitions(spark, result)
 
 
-def _with_partitions(spark: SparkSession, path: str, schema_json: str) -> str:
-    """The stated schema and the partition columns that a scan adds to it."""
-    stated = T.StructType.fromJson(json.loads(schema_json))
-    added = [f for f in read_parquet(spark, path, True).schema.fields if f.name not in stated.names]
-    return T.StructType(stated.fields + added).json()
+def _with_partitions(spark: SparkSession, result: dict) -> None:
+    """The stated schema gets the partition columns that a scan adds to it."""
+    stated = T.StructType.fromJson(json.loads(result["schema_json"]))
+    if result["format"] == PARQUET:
+        added = [f for f in read_parquet(spark, result["path"], True).schema.fields if f.name not in stated.names]
+        result["schema_json"] = T.StructType(stated.fields + added).json()
+        return
+    try:
+        keys = T.StructType(key_fields(spark, result["path"]))
+        result["schema_json"] = with_keys(stated, keys, result["path"]).json()
+    except EngineError as failure:
+        _fail(result, failure.code, failure.message)
 
 
 def _delimited_facts(spark: SparkSession, found: list[tuple], options_of: dict[int, CsvOptions], results: dict) -> None:
@@ -166,6 +173,8 @@ def _delimited_facts(spark: SparkSession, found: list[tuple], options_of: dict[i
             found_types = [cells[i, p].data_type if (i, p) in cells else "string" for p in range(len(names))]
             schema = T.StructType([T.StructField(n, TYPES[t], True) for n, t in zip(names, found_types)])
             results[i].update(schema_json=schema.json(), row_count=cells[i, 0].lines if (i, 0) in cells else 0)
+            if results[i]["partitioned"]:
+                _with_partitions(spark, results[i])
 
 
 def _sample(result: dict, options: IngestionOptions) -> None:

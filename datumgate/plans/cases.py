@@ -30,6 +30,8 @@ RSD, CLOSE = 0.02, 5
 GAP = 1_000_003
 # Where all order values but the first lie.
 BURST = 10**15
+# Size above which a stream is split in ``ipc_split_stream``.
+SPLIT_BYTES = 32 << 10
 # The column whose pages are overwritten in one copy.
 BROKEN_COLUMN = "o_orderpriority"
 
@@ -82,6 +84,45 @@ def scan_partitioned_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(spark, _partitioned(spark, sf_dir))
 
 
+def _keyed(spark: SparkSession, sf_dir: str, write: Callable[[DataFrame, str], object]) -> str:
+    """Orders as a Hive layout by status in a format whose writer knows none."""
+    folder = scratch_dir(spark, "keyed")
+    orders = table(spark, sf_dir, "orders")
+    # A status is a letter, so there are few.
+    for (status,) in orders.select("o_orderstatus").distinct().collect():
+        write(orders.where(F.col("o_orderstatus") == status).drop("o_orderstatus"), f"{folder}/o_orderstatus={status}")
+    return folder
+
+
+def scan_partitioned_ipc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(spark, _keyed(spark, sf_dir, write_ipc))
+
+
+def scan_partitioned_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def write(df: DataFrame, path: str) -> None:
+        # Spark's writer puts a T into zoneless timestamps, which inference takes for text.
+        dated = df.withColumn("o_orderdate", F.col("o_orderdate").cast("string"))
+        dated.write.option("header", "true").csv(path)
+
+    return scan(spark, _keyed(spark, sf_dir, write))
+
+
+def ipc_split_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streams read by several tasks, beside the rows that their message headers state."""
+    folder = scratch_dir(spark, "streams")
+    write_ipc(table(spark, sf_dir, "events"), folder, "stream")
+    read = read_ipc(spark, folder, partition_bytes=SPLIT_BYTES).withColumn("task", F.spark_partition_id())
+    registry = Registry(spark, scratch_dir(spark, "registry"), NAMESPACE)
+    stated = ingest(spark, registry, [IngestionSource("events", folder)]).select(F.col("row_count").alias("stated_rows"))
+    found = read.agg(
+        F.count(F.lit(1)).alias("row_count"),
+        F.count_distinct("event_id").alias("event_ids"),
+        F.sum("user_id").alias("user_ids"),
+        (F.count_distinct("task") > 1).alias("is_split"),
+    )
+    return found.join(stated)
+
+
 def tsv_by_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(spark, _tsv(spark, sf_dir))
 
@@ -334,6 +375,13 @@ def _values(columns: str, rows: list[str]) -> str:
 CASES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "scan_nested_folder": (scan_nested_folder, "SELECT * FROM orders"),
     "scan_partitioned_folder": (scan_partitioned_folder, "SELECT * FROM orders"),
+    "scan_partitioned_ipc": (scan_partitioned_ipc, "SELECT * FROM orders"),
+    "scan_partitioned_csv": (scan_partitioned_csv, "SELECT * FROM orders"),
+    "ipc_split_stream": (
+        ipc_split_stream,
+        """SELECT count(*) AS row_count, count(DISTINCT event_id) AS event_ids, sum(user_id)::BIGINT AS user_ids,
+            true AS is_split, count(*) AS stated_rows FROM events""",
+    ),
     "tsv_by_extension": (tsv_by_extension, "SELECT * REPLACE (c_nationkey::BIGINT AS c_nationkey) FROM customer"),
     "folder_schema_mismatch": (
         folder_schema_mismatch,

@@ -1,4 +1,4 @@
-"""Arrow IPC: files read in spans of record batches, and IPC buffers as DataFrame rows."""
+"""Arrow IPC: files planned and read in spans of record batches, and IPC buffers as DataFrame rows."""
 
 from __future__ import annotations
 
@@ -9,16 +9,18 @@ from typing import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..errors import CorruptedBatch, SchemaMismatch, UnsupportedDataType
+from ..functions.columns import ref
 from ..functions.types import arrow_canonical, unsupported_message
 from ..operators.contract import require_canonical
-from .files import filesystem_of, list_files, open_file
-from .footers import ipc_batches, open_ipc
+from .files import filesystem_of, list_files, open_file, with_keys
+from .footers import ipc_batches, narrowest, open_ipc
+from .ipc_spans import stream_spans
 
 # Bytes one input partition aims for, and the cost of opening a further file.
 PARTITION_BYTES = 128 << 20
@@ -82,49 +84,67 @@ def _for_spark(batch: pa.RecordBatch, wanted: T.StructType, source: str) -> pa.R
     return pa.RecordBatch.from_arrays(columns, names=wanted.names)
 
 
+SPANS = "path string, first bigint, stop bigint, at bigint"
+
+
 def _spans(files: DataFrame, span_bytes: int) -> DataFrame:
-    """``(path, first, stop)``: files cut into runs of record batches, by their own index.
+    """The files' rows with ``first``, ``stop``, ``at``: each file cut into runs of record batches.
 
-    A stream has no index and stays whole. The tasks open the files.
+    Only files above ``span_bytes`` are opened, in the tasks. A file is cut by its index, a stream by a walk over its
+    message headers; there ``at`` is the byte where the run's first batch begins.
     """
+    kept = [f for f in files.schema.fields if f.name not in ("path", "length")]
+    schema = T.StructType(T.StructType.fromDDL(SPANS).fields + kept)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for path, size in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist()):
-                count = _batch_count(path) if size > span_bytes else None
-                if count is None:
-                    rows.append((path, 0, None))
-                    continue
-                step = max(1, count * span_bytes // size)
-                rows += [(path, at, min(at + step, count)) for at in range(0, count, step)]
-            paths, firsts, stops = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(paths, pa.string()), pa.array(firsts, pa.int64()), pa.array(stops, pa.int64())],
-                names=["path", "first", "stop"],
-            )
+            sizes = zip(batch.column("path").to_pylist(), batch.column("length").to_pylist(), strict=True)
+            rows = [(k, *span) for k, (path, size) in enumerate(sizes) for span in _cut(path, size, span_bytes)]
+            source = pa.array([r[0] for r in rows], pa.int64())
+            places = [pa.array([r[i] for r in rows], pa.int64()) for i in (1, 2, 3)]
+            carried = [batch.column(f.name).take(source) for f in kept]
+            yield pa.RecordBatch.from_arrays([batch.column("path").take(source), *places, *carried], names=schema.names)
 
-    return files.select("path", "length").mapInArrow(cut, "path string, first bigint, stop bigint")
+    return files.mapInArrow(cut, schema)
 
 
-def _batch_count(uri: str) -> int | None:
-    """Record batches of an IPC file; a stream has no index, so None."""
-    with open_file(uri) as source:
-        reader = open_ipc(source)
-        return reader.num_record_batches if isinstance(reader, pa.ipc.RecordBatchFileReader) else None
+def _cut(path: str, size: int, span_bytes: int) -> list[tuple[int, int | None, int | None]]:
+    """(first, stop, at) of one file's spans."""
+    if size <= span_bytes:
+        return [(0, None, None)]
+    with open_file(path) as source:
+        try:
+            reader = open_ipc(source)
+            if isinstance(reader, pa.ipc.RecordBatchFileReader):
+                count = reader.num_record_batches
+                step = max(1, count * span_bytes // size)
+                return [(first, min(first + step, count), None) for first in range(0, count, step)]
+            return [(0, batches, at) for at, batches, _ in stream_spans(source, span_bytes)]
+        except pa.ArrowInvalid as broken:
+            raise CorruptedBatch(f"{path}: {broken}") from broken
 
 
-def _read_span(uri: str, first: int, stop: int | None, wanted: T.StructType) -> Iterator[pa.RecordBatch]:
-    """Rows of one span; buffers of other columns are not read."""
+def _read_span(span: dict, wanted: T.StructType) -> Iterator[pa.RecordBatch]:
+    """Rows of one span; of a file, buffers of other columns are not read."""
+    uri = span["path"]
     with open_file(uri) as source:
         try:
             held = open_ipc(source).schema
-            places = [held.get_field_index(name) for name in wanted.names]
+            # Without columns (all asked for are keys) the narrowest one tells the rows.
+            names = wanted.names or [narrowest(held)] if len(held) else []
+            places = [held.get_field_index(name) for name in names]
             # A name that is absent or double is reported from the whole batch.
             fields = None if -1 in places else sorted(places)
             source.seek(0)
-            for batch in ipc_batches(open_ipc(source, fields), first, stop):
-                yield _for_spark(batch, wanted, uri)
+            reader = open_ipc(source, fields)
+            if span["at"] is None:
+                batches = ipc_batches(reader, span["first"], span["stop"])
+            else:
+                # The schema is read; the reader goes on at the run's first batch.
+                source.seek(span["at"])
+                batches = itertools.islice(reader, span["stop"])
+            for batch in batches:
+                yield _for_spark(batch, wanted, uri) if wanted.names else batch
         except pa.ArrowInvalid as broken:
             raise CorruptedBatch(f"{uri}: {broken}") from broken
 
@@ -144,30 +164,49 @@ def read_ipc(
     *,
     columns: list[str] | None = None,
     partition_bytes: int = PARTITION_BYTES,
+    partitioned: bool = False,
+    where: Column | None = None,
 ) -> DataFrame:
     """Rows of Arrow IPC files (either layout). ``columns`` are the only ones read.
 
-    The driver sees one schema and the total size; tasks list the spans, and a
-    shuffle of their names spreads them evenly.
+    With ``partitioned`` folders named ``key=value`` become columns behind the stored ones, typed as in Parquet
+    scans. ``where`` is a condition on these keys; files it refuses are never opened. The driver sees one schema and
+    the total size; tasks list the spans, and a shuffle of their names spreads them evenly. Files and streams
+    above ``partition_bytes`` are read by several tasks.
     """
-    files = list_files(spark, paths).where("length > 0")
+    listed = list_files(spark, paths, keyed=partitioned).where("length > 0")
+    keys = T.StructType(listed.schema.fields[2:])
+    kept = listed if where is None else listed.where(where)
+    # Names of their own: a key may be called like a column of the spans.
+    files = kept.select("path", "length", *[ref(k).alias(f"key_{k}") for k in keys.names])
     cost = F.col("length") + F.lit(min(OPEN_COST_BYTES, partition_bytes))
-    [total] = files.agg(F.min("path").alias("first"), F.sum(cost).alias("bytes")).collect()
-    if total.first is None:
+    [total] = files.agg(F.min("path").alias("first"), F.coalesce(F.sum(cost), F.lit(0)).alias("bytes")).collect()
+    # Where no file is left, the schema of any file is that of the empty result.
+    first = total.first if total.first is not None or where is None else listed.agg(F.min("path")).first()[0]
+    if first is None:
         raise CorruptedBatch(f"no Arrow IPC data below {paths}")
-    schema = ipc_schema(total.first)
+    schema = with_keys(ipc_schema(first), keys, str(paths))
     if columns is not None:
         schema = T.StructType([schema[c] for c in columns])
+    stored = T.StructType([f for f in schema if f.name not in keys.names])
     spans = _spans(files, partition_bytes).repartition(1 + total.bytes // partition_bytes)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for span in batch.to_pylist():
-                yield from _read_span(span["path"], span["first"], span["stop"], schema)
+            for k, span in enumerate(batch.to_pylist()):
+                held = {f.name: batch.column(f"key_{f.name}")[k] for f in schema if f.name in keys.names}
+                for rows in _read_span(span, stored):
+                    yield _keyed(rows, held, schema)
 
     return spans.mapInArrow(read, schema)
 
 
+def _keyed(rows: pa.RecordBatch, held: dict[str, pa.Scalar], schema: T.StructType) -> pa.RecordBatch:
+    """The columns of ``schema``: those held by the folder's name, repeated, the others from the rows."""
+    columns = [pa.repeat(held[n], rows.num_rows) if n in held else rows.column(n) for n in schema.names]
+    return pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+
 def _unsigned(batch: pa.RecordBatch) -> pa.RecordBatch:
     """64-bit unsigned integers, which Spark holds as decimal(20,0), as they were."""
     columns = [c.cast(pa.uint64()) if c.type == pa.decimal128(20, 0) else c for c in batch.columns]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..errors import InvalidFormat, SchemaMismatch
 from ..functions.cells import WHITE_SPACE, is_blank, split_cells, trim
+from ..functions.columns import ref
 from .files import filesystem_of, list_files
 
 # Reading whole lines through the CSV source: separator, quote and escape are
@@ -28,21 +29,26 @@ def _as_list(paths: str | list[str]) -> list[str]:
     return [paths] if isinstance(paths, str) else list(paths)
 
 
-def read_lines(spark: SparkSession, paths: str | list[str], *, skip_header: bool) -> DataFrame:
+# What a line is called until the keys are out of its way.
+_LINE = "_datumgate_line"
+
+
+def read_lines(spark: SparkSession, paths: str | list[str], *, skip_header: bool, keyed: bool = False) -> DataFrame:
     """Non-blank lines of all files below the paths, without each file's header line if asked.
 
-    One narrow scan: files split at any block, no shuffle and no join.
+    One narrow scan: files split at any block, no shuffle and no join. With ``keyed`` a struct ``keys`` of the
+    partition folders' keys follows, as the scan itself types and filters them.
     """
+    reader = spark.read.schema(f"{_LINE} string").option("recursiveFileLookup", str(not keyed).lower())
     if skip_header:
-        lines = (
-            spark.read.schema("line string")
-            .options(header="true", recursiveFileLookup="true", **_WHOLE_LINE)
-            .csv(_as_list(paths))
-        )
+        lines = reader.options(header="true", **_WHOLE_LINE).csv(_as_list(paths))
     else:
-        texts = spark.read.options(lineSep="\n", recursiveFileLookup="true").text(_as_list(paths))
-        lines = texts.withColumnRenamed("value", "line")
-    return lines.where(~is_blank(F.col("line")))
+        lines = reader.option("lineSep", "\n").text(_as_list(paths))
+    keys = [name for name in lines.columns if name != _LINE]
+    renamed = lines.withColumnRenamed(_LINE, "line")
+    if keyed:
+        renamed = lines.select(F.col(_LINE).alias("line"), F.struct(*[ref(k) for k in keys]).alias("keys"))
+    return renamed.where(~is_blank(F.col("line")))
 
 
 def leading_lines(files: DataFrame, limit: int) -> DataFrame:

@@ -8,8 +8,10 @@ from typing import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..errors import SourceIoError
+from ..errors import SchemaMismatch, SourceIoError
+from ..functions.columns import ref
 from ..functions.local import local_frame
 from ..model import EXTENSIONS, MAGIC
 from ..session import scratch_dir
@@ -31,13 +33,39 @@ def open_file(uri: str) -> pa.NativeFile:
     return filesystem.open_input_file(path)
 
 
-def list_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+# Columns of the listing, which no partition key may be called.
+_LISTED = ("path", "modificationTime", "length", "content")
+
+
+def list_files(spark: SparkSession, paths: str | list[str], keyed: bool = False) -> DataFrame:
     """``(path, length)`` of every file; contents are not read.
 
-    Spark's file scans plan no reads for empty files, so those are not listed.
+    Spark's file scans plan no reads for empty files, so those are not listed. With ``keyed`` the keys of
+    folders named ``key=value`` follow, typed as Spark's file scans type them.
     """
-    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    return listing.load([paths] if isinstance(paths, str) else list(paths)).select("path", "length")
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", str(not keyed).lower())
+    files = listing.load([paths] if isinstance(paths, str) else list(paths))
+    keys = [name for name in files.columns if name not in _LISTED]
+    if keyed:
+        # Spark gives such a key the place of the listing's own column.
+        taken = F.exists(F.split("path", "/"), lambda part: F.split_part(part, F.lit("="), F.lit(1)).isin(*_LISTED))
+        message = "a partition key is called as a column of the listing: " + ", ".join(_LISTED)
+        files = files.where(F.when(taken, F.raise_error(F.lit(message)).cast("boolean")).otherwise(True))
+    return files.select("path", "length", *[ref(k) for k in keys])
+
+
+def key_fields(spark: SparkSession, root: str) -> list[T.StructField]:
+    """The partition keys of a dataset, from its folders' names."""
+    return list_files(spark, root, keyed=True).schema.fields[2:]
+
+
+def with_keys(stored: T.StructType, keys: T.StructType, source: str) -> T.StructType:
+    """The stored columns and the partition keys behind them; a name may be used once, whatever its case."""
+    held = {name.lower() for name in stored.names}
+    both = [name for name in keys.names if name.lower() in held]
+    if both:
+        raise SchemaMismatch(f"{source}: {both[0]!r} is a column of the files and the key of their folders")
+    return T.StructType(stored.fields + keys.fields)
 
 
 def outermost(roots: list[str]) -> list[str]:

@@ -13,6 +13,7 @@ from ..errors import CORRUPTED_BATCH, INVALID_FORMAT, SCHEMA_MISMATCH, UNSUPPORT
 from ..functions.types import arrow_canonical, declared_metadata, unsupported_message
 from ..model import ARROW_IPC, PARQUET
 from .files import is_partitioned, open_file
+from .ipc_spans import batch_places
 
 FOOTER_SCHEMA = T.StructType(
     [
@@ -52,13 +53,25 @@ def open_ipc(source: pa.NativeFile, fields: list[int] | None = None):
         return pa.ipc.open_stream(source, options=options)
 
 
+def narrowest(schema: pa.Schema) -> str:
+    """Name of the column that takes the fewest bytes a row."""
+    widths = [f.type.bit_width if pa.types.is_primitive(f.type) else 1 << 16 for f in schema]
+    return schema.names[widths.index(min(widths))]
+
+
 def ipc_row_count(source: pa.NativeFile, schema: pa.Schema) -> int:
-    """Rows of an IPC file, from the buffers of its narrowest column alone."""
+    """Rows of an IPC file or stream, from its message headers; nothing is decoded."""
     if not len(schema):
         return 0
-    widths = [f.type.bit_width if pa.types.is_primitive(f.type) else 1 << 16 for f in schema]
+    places = list(batch_places(source))
     source.seek(0)
-    return sum(batch.num_rows for batch in ipc_batches(open_ipc(source, [widths.index(min(widths))])))
+    reader = open_ipc(source)
+    if isinstance(reader, pa.ipc.RecordBatchFileReader) and reader.num_record_batches != len(places):
+        # The index lists other batches than follow one another: it decides.
+        field = schema.get_field_index(narrowest(schema))
+        source.seek(0)
+        return sum(batch.num_rows for batch in ipc_batches(open_ipc(source, [field])))
+    return sum(place.rows for place in places)
 
 
 def ipc_batches(reader, start: int = 0, stop: int | None = None) -> Iterator[pa.RecordBatch]:

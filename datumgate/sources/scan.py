@@ -42,9 +42,11 @@ def csv_options(spark: SparkSession, path: str, options: CsvOptions | None = Non
     return CsvOptions(delimiter="\t") if name.lower().endswith(".tsv") else CsvOptions()
 
 
-def stated_facts(spark: SparkSession, root: str, fmt: str) -> Row:
+def stated_facts(spark: SparkSession, root: str, fmt: str, where: Column | None = None) -> Row:
     """The dataset's row of ``dataset_facts``: one job over the headers of all its files.
 
+    ``where``, a condition on partition keys, leaves out files; where it leaves none, all are looked at.
+
     The header of a dataset that is one file is read without a job.
     """
     if first_file(spark, root) == root:
@@ -53,8 +55,12 @@ def stated_facts(spark: SparkSession, root: str, fmt: str) -> Row:
             raise error_for(facts["error_code"], facts["error_message"])
         return Row(schema_json=facts["schema_json"], partitioned=False)
     relative = F.ltrim(F.substring("path", len(root) + 1, 2**31 - 1), F.lit("/"))
-    files = list_files(spark, root).where("length > 0").select("path", F.lit(fmt).alias("format"), F.lit(0).alias("key"))
-    found = dataset_facts(files.withColumn("relative_path", relative), "key", counts=False).collect()
+    files = list_files(spark, root, keyed=where is not None).where("length > 0")
+    kept = files if where is None else files.where(where)
+    named = kept.select("path", F.lit(fmt).alias("format"), F.lit(0).alias("key"))
+    found = dataset_facts(named.withColumn("relative_path", relative), "key", counts=False).collect()
+    if not found and where is not None:
+        return stated_facts(spark, root, fmt)
     if not found:
         raise InvalidFormat(f"No data in {root}")
     if found[0].error_code is not None:
@@ -121,11 +127,17 @@ def scan(
     fmt: str | None = None,
     *,
     csv: CsvOptions | None = None,
+    columns: list[str] | None = None,
+    where: Column | None = None,
     sample_limit: int | None = None,
     verify: bool = False,
 ) -> DataFrame:
     """Rows of the dataset at ``path``. A given format wins over detection.
 
+    Folders named ``key=value`` become columns behind the stored ones in every format. ``where`` is a condition on
+    these keys, ``columns`` are the only ones read. Parquet and text scans follow a later ``where`` and
+    ``select`` just as well; Arrow IPC files are spared by these two arguments only.
+
     ``verify=True`` decodes every Parquet row group and IPC batch first and raises ``CorruptedBatch``, which names
     file, part and column, before any row is handed out.
     """
@@ -136,12 +148,17 @@ def scan(
     if fmt == PARQUET:
         df = scan_parquet(spark, full)
     elif fmt == ARROW_IPC:
-        stated_facts(spark, full.rstrip("/"), ARROW_IPC)
-        df = read_ipc(spark, full)
+        facts = stated_facts(spark, full.rstrip("/"), ARROW_IPC, where)
+        df = read_ipc(spark, full, columns=columns, partitioned=facts.partitioned, where=where)
     elif fmt == CSV:
-        df = load_delimited(spark, full, csv_options(spark, full, csv))
+        facts = stated_facts(spark, full.rstrip("/"), CSV)
+        df = load_delimited(spark, full, csv_options(spark, full, csv), partitioned=facts.partitioned)
     else:
         raise InvalidFormat(f"Cannot tell the storage format of {path}")
+    if where is not None and fmt != ARROW_IPC:
+        df = df.where(where)
+    if columns is not None:
+        df = df.select(*[ref(c) for c in columns])
     return df if sample_limit is None else df.limit(sample_limit)
 
 
