@@ -4,9 +4,11 @@ Files hold one gzip member per record, each with the ``sl`` (skip lengths) field
 of the format's gzip annex, so a reader inflates only the header of a record it
 does not want and jumps over the rest. Members without that field are inflated
 and dropped. Plain files are read as well. Partitions are whole files, packed by
-size; the writer starts a new file at ``roll_bytes``. Filters on the record type
-and on header columns are pushed into the reader; ``payload=false`` leaves the
-payload out of the schema and never decodes it.
+size; the writer starts a new file at ``roll_bytes``. Predicates on the record type
+and on header columns are options of the reader, which tests them on the header alone;
+``payload=false`` leaves the payload out of the schema and never decodes it. They are options because
+Spark 4.1.2 keeps filters that it pushes into a Python data source for later queries of the same
+DataFrame, which then miss rows.
 
 A task writes hidden files; the commit on the driver renames those of the
 successful attempts, so a lost executor leaves no visible part.
@@ -14,6 +16,7 @@ successful attempts, so a lost executor leaves no visible part.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
@@ -28,11 +31,7 @@ from pyspark.sql.datasource import (
     DataSource,
     DataSourceReader,
     DataSourceWriter,
-    EqualTo,
-    In,
     InputPartition,
-    IsNotNull,
-    StringStartsWith,
     WriterCommitMessage,
 )
 
@@ -222,23 +221,11 @@ class WarcReader(DataSourceReader):
         self.path = options["path"]
         self.with_payload = options.get("payload", "true").lower() != "false"
         self.partition_bytes = int(options.get("partition_bytes", PARTITION_BYTES))
-        self.filters: list[tuple[str, str, object]] = []
-
-    def pushFilters(self, filters):
-        for f in filters:
-            name = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
-            if name not in HEADER_COLUMNS:
-                yield f
-            elif isinstance(f, EqualTo):
-                self.filters.append((name, "in", {f.value}))
-            elif isinstance(f, In):
-                self.filters.append((name, "in", set(f.value)))
-            elif isinstance(f, IsNotNull):
-                self.filters.append((name, "set", None))
-            elif isinstance(f, StringStartsWith):
-                self.filters.append((name, "starts", f.value))
-            else:
-                yield f
+        self.filters = [(name, "in", set(values)) for name, values in json.loads(options.get("among", "{}")).items()]
+        self.filters += [(name, "starts", lead) for name, lead in json.loads(options.get("starting", "{}")).items()]
+        unknown = {name for name, _, _ in self.filters} - set(HEADER_COLUMNS)
+        if unknown:
+            raise ValueError(f"not columns of the record header: {sorted(unknown)}")
 
     def _wanted(self, row) -> bool:
         for name, how, value in self.filters:
@@ -328,7 +315,6 @@ class WarcSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
 
 
@@ -378,9 +364,22 @@ def write_warc(records: DataFrame, path: str) -> None:
     records.write.format("warc").mode("append").option("path", path).save()
 
 
-def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+def read_warc(
+    spark: SparkSession,
+    path: str,
+    payload: bool = True,
+    *,
+    among: dict[str, list[str]] | None = None,
+    starting: dict[str, str] | None = None,
+) -> DataFrame:
+    """Records of the archives below ``path``.
+
+    ``among`` (column: values it may have) and ``starting`` (column: how it begins) are predicates on header columns.
+    Records they refuse, and those where such a column is null, are skipped by their header: the payload is not inflated.
+    """
     register(spark)
-    return spark.read.format("warc").option("path", path).option("payload", str(payload).lower()).load()
+    reader = spark.read.format("warc").option("path", path).option("payload", str(payload).lower())
+    return reader.option("among", json.dumps(among or {})).option("starting", json.dumps(starting or {})).load()
 
 
 def page_of(uri):
@@ -389,8 +388,8 @@ def page_of(uri):
 
 def archived_pages(spark: SparkSession, path: str) -> DataFrame:
     """What the archives hold of each page; digests of responses are computed from the payload read."""
-    responses = read_warc(spark, path).where(F.col("record_type") == RESPONSE)
-    revisits = read_warc(spark, path, payload=False).where(F.col("record_type") == REVISIT)
+    responses = read_warc(spark, path, among={"record_type": [RESPONSE]})
+    revisits = read_warc(spark, path, payload=False, among={"record_type": [REVISIT]})
     columns = lambda size, digest: [
         page_of(F.col("record_id")).alias("page_id"),
         size.cast("long").alias("payload_bytes"),

@@ -275,6 +275,20 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.archived_pages(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_warc_queries_of_one_frame_do_not_share_filters(spark, tmp_path):
+    pages = spark.createDataFrame([(k, f"http://{k % 3}/", "x" * 200 if k % 2 else f"y{k}", None) for k in range(20)], PAGES)
+    warc.write_warc(warc.page_records(pages), str(tmp_path))
+    records = warc.read_warc(spark, str(tmp_path))
+    kinds = [records.where(F.col("record_type") == kind) for kind in (warc.RESPONSE, warc.REVISIT)]
+    assert [k.count() for k in kinds] == [11, 9] and records.count() == 20
+    assert kinds[0].unionByName(kinds[1]).count() == 20
+    chosen = warc.read_warc(spark, str(tmp_path), among={"record_type": [warc.RESPONSE]}, starting={"target_uri": "http://0"})
+    expected = records.where("record_type = 'response' and target_uri like 'http://0%'")
+    assert sorted(r.record_id for r in chosen.collect()) == sorted(r.record_id for r in expected.collect())
+    with pytest.raises(Exception, match="not columns of the record header"):
+        warc.read_warc(spark, str(tmp_path), among={"payload": ["x"]}).count()
+
+
 def test_unwanted_payloads_are_not_inflated(tmp_path, monkeypatch):
     row = dict.fromkeys(warc.HEADER_COLUMNS) | {"record_type": "response", "payload": b"z" * 100_000, "payload_bytes": 100_000}
     (tmp_path / "a.warc.gz").write_bytes(warc.gzip_member(warc.record_bytes(row)) * 3)
