@@ -22,6 +22,7 @@ from ..errors import (
 )
 from ..functions.cells import NULL_CELL, TYPES, type_of_mask
 from ..functions.local import local_frame
+from ..functions.schema_diff import Difference
 from ..model import CSV, PARQUET, CsvOptions, IngestionOptions, IngestionSource
 from ..sources.delimited import header_rows, names_of
 from ..sources.files import detect_formats, key_fields, list_files, outermost, qualified, with_keys
@@ -31,6 +32,7 @@ from ..sources.verify import first_faults
 from .identity import data_fingerprints, manifest_fingerprints
 from .infer import file_masks
 from .registry import Registry, current
+from .schema_changes import json_differences
 
 # Above this many sources their table is joined by shuffle, not broadcast.
 BROADCAST_SOURCES = 10_000
@@ -184,8 +186,8 @@ def _sample(result: dict, options: IngestionOptions) -> None:
         result["row_count"] = rows if limit is None else min(rows, limit)
 
 
-def _refuse_drift(registry: Registry, inspected: DataFrame) -> DataFrame:
-    """Turn sources whose name is known with another schema into errors.
+def _refuse_drift(registry: Registry, inspected: DataFrame) -> list[tuple]:
+    """Rows in which sources whose name is known with another schema are errors that name the fields.
 
     A name is known from the registry or from an earlier source of the same call.
     """
@@ -195,12 +197,26 @@ def _refuse_drift(registry: Registry, inspected: DataFrame) -> DataFrame:
     expected = F.coalesce("known_schema", "first_schema")
     drifts = F.col("error_code").isNull() & (F.col("schema_json") != expected)
     message = F.concat(F.lit("Schema of '"), F.col("name"), F.lit("' differs from its registered version"))
-    return joined.withColumns(
+    marked = joined.withColumns(
         {
             "error_code": F.when(drifts, F.lit(SCHEMA_MISMATCH)).otherwise(F.col("error_code")),
             "error_message": F.when(drifts, message).otherwise(F.col("error_message")),
+            "drifted": drifts,
+            "expected": expected,
         }
-    ).select(*inspected.columns)
+    )
+    rows = []
+    # One row per source the caller listed.
+    for *row, drifted, known_json in marked.select(*inspected.columns, "drifted", "expected").collect():
+        if drifted:
+            at = inspected.columns.index("schema_json")
+            row[-1] += ": " + "; ".join(map(_in_words, json_differences(known_json, row[at])))
+        rows.append(tuple(row))
+    return rows
+
+
+def _in_words(found: Difference) -> str:
+    return " ".join(filter(None, (found.path, found.change, " to ".join(filter(None, (found.before, found.after))))))
 
 
 def ingest(
@@ -218,8 +234,8 @@ def ingest(
     """
     inspected = inspect_sources(spark, sources, options)
     if options.strict_schema:
-        # Fixed before the log grows: one row per source the caller listed.
-        inspected = local_frame(spark, _refuse_drift(registry, inspected).collect(), INSPECTED)
+        # Fixed before the log grows.
+        inspected = local_frame(spark, _refuse_drift(registry, inspected), INSPECTED)
     accepted = inspected.where("error_code is null").drop("nanos", "error_code", "error_message")
     stored = registry.register(accepted).select(
         "ord", "dataset_id", "version_id", F.col("at").alias("ingested_at"), "pipeline_version"

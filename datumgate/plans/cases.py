@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import EngineError
 from ..model import ARROW_IPC, CSV, PARQUET, IngestionOptions, IngestionSource
@@ -15,6 +16,7 @@ from ..operators.ingest import ingest, preview
 from ..operators.infer import infer_masks
 from ..operators.profile import column_states, exact_distinct, merge_states, profile_columns
 from ..operators.registry import Registry, resolve, versions
+from ..operators.schema_changes import schema_differences as differences_of
 from ..session import scratch_dir
 from ..sources.arrow_ipc import read_ipc, write_ipc
 from ..sources.files import filesystem_of, list_files, open_file, qualified
@@ -368,6 +370,30 @@ def ipc_empty_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.agg(F.count(F.lit(1)).alias("row_count")).withColumn("column_count", F.lit(len(back.columns)))
 
 
+def _field(name: str, dtype: T.DataType | str, nullable: bool = True) -> T.StructField:
+    return T.StructField(name, T._parse_datatype_string(dtype) if isinstance(dtype, str) else dtype, nullable)
+
+
+def schema_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each event's schema, one per type of event, changes in a schema before it."""
+    before = [_field("id", "int"), _field("at", "date"), _field("item", "struct<price:float,tags:array<int>>"), _field("note", "string")]
+    number, at, item, note = before
+    nested = _field("item", "struct<price:double,tags:array<bigint>,unit:string>")
+    after = {
+        "signup": [_field("id", "bigint"), at, item, note],
+        "error": [_field("id", "smallint"), at, item],
+        "click": [number, at, nested, note, _field("extra", "decimal(10,2)")],
+        "purchase": [note, number, at, item],
+    }
+    chosen = F.lit(T.StructType([number, _field("at", "string"), item, _field("note", "string", False)]).json())
+    for kind, fields in after.items():
+        chosen = F.when(F.col("event_type") == kind, F.lit(T.StructType(fields).json())).otherwise(chosen)
+    pairs = table(spark, sf_dir, "events").select(
+        "event_id", F.lit(T.StructType(before).json()).alias("parent_schema_json"), chosen.alias("schema_json")
+    )
+    return differences_of(pairs)
+
+
 def _values(columns: str, rows: list[str]) -> str:
     return f"SELECT * FROM (VALUES {', '.join(rows)}) AS v({columns})"
 
@@ -462,6 +488,18 @@ CASES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
         SELECT seq, op, CASE WHEN op = 'register' THEN version END AS version_id, parent_version_id,
             removals_from_here = 0 AS is_open FROM p""",
     ),
+    "schema_differences": (
+        schema_differences,
+        """SELECT event_id, path, change, before, after FROM events JOIN (VALUES
+            ('signup', 'id', 'widened', 'int', 'bigint'),
+            ('error', 'id', 'narrowed', 'int', 'smallint'), ('error', 'note', 'removed', 'string', NULL),
+            ('click', 'item.price', 'widened', 'float', 'double'), ('click', 'item.tags[]', 'widened', 'int', 'bigint'),
+            ('click', 'item.unit', 'added', NULL, 'string'), ('click', 'extra', 'added', NULL, 'decimal(10,2)'),
+            ('purchase', 'note', 'moved', '3', '0'), ('purchase', 'id', 'moved', '0', '1'),
+            ('purchase', 'at', 'moved', '1', '2'), ('purchase', 'item', 'moved', '2', '3'),
+            ('view', 'at', 'retyped', 'date', 'string'), ('view', 'note', 'nullability', 'nullable', 'not null')
+        ) AS d(event_type, path, change, before, after) USING (event_type)""",
+    ),
     "ipc_uint64_round_trip": (
         ipc_uint64_round_trip,
         f"SELECT l_orderkey, l_linenumber, (l_partkey::HUGEINT + {2**63})::VARCHAR AS u64 FROM lineitem",
