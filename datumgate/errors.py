@@ -9,6 +9,7 @@ CORRUPTED_BATCH = "CorruptedBatch"
 DATASET_NOT_FOUND = "DatasetNotFound"
 RESOURCE_LIMIT_EXCEEDED = "ResourceLimitExceeded"
 IO = "Io"
+CANCELLED = "Cancelled"
 
 
 class EngineError(Exception):
@@ -49,6 +50,10 @@ class SourceIoError(EngineError):
     code = IO
 
 
+class Cancelled(EngineError):
+    code = CANCELLED
+
+
 _BY_CODE = {
     cls.code: cls
     for cls in (
@@ -59,6 +64,7 @@ _BY_CODE = {
         DatasetNotFound,
         ResourceLimitExceeded,
         SourceIoError,
+        Cancelled,
     )
 }
 

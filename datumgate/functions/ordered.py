@@ -121,3 +121,19 @@ def with_history(
         (F.col("before") + F.coalesce("offset", F.lit(0))).alias("before"),
         F.coalesce("all", "total").alias("total"),
     )
+
+
+def with_place(df: DataFrame, order: str, name: str, *, width: int = CHUNK) -> DataFrame:
+    """Adds a column ``name``: each row's place, from 0 without gaps, in the order of a text or integer column.
+
+    Rows equal in ``order`` share a chunk and follow each other in any order.
+    """
+    borders = borders_of(df, [order], -(-df.count() // width))
+    rows = df.withColumn("__chunk", chunk_of([F.col(order)], borders))
+    inside = rows.withColumn(name, F.row_number().over(Window.partitionBy("__chunk").orderBy(order)) - 1)
+    sizes = rows.groupBy("__chunk").agg(F.count(F.lit(1)).alias("__rows"))
+    # A row per chunk.
+    before = Window.orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("__chunk", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__offset"))
+    placed = inside.join(offsets, "__chunk")
+    return placed.withColumn(name, (F.col(name) + F.col("__offset")).cast("bigint")).drop("__chunk", "__offset")

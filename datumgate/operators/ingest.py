@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..cancellation import Cancellation
 from ..errors import (
     CORRUPTED_BATCH,
     INVALID_FORMAT,
@@ -31,7 +32,8 @@ from ..sources.scan import csv_options, read_parquet, scan
 from ..sources.verify import first_faults
 from .identity import data_fingerprints, manifest_fingerprints
 from .infer import file_masks
-from .registry import Registry, current
+from .manifests import Manifests
+from .registry import Registry
 from .schema_changes import json_differences
 
 # Above this many sources their table is joined by shuffle, not broadcast.
@@ -57,13 +59,20 @@ def _files_of(sources: DataFrame, files: DataFrame, count: int) -> DataFrame:
 
 
 def inspect_sources(
-    spark: SparkSession, sources: Sequence[IngestionSource], options: IngestionOptions = IngestionOptions()
+    spark: SparkSession,
+    sources: Sequence[IngestionSource],
+    options: IngestionOptions = IngestionOptions(),
+    *,
+    manifests: Manifests | None = None,
+    cancellation: Cancellation | None = None,
 ) -> DataFrame:
     """One row per source with its facts, or with the first error in check order.
 
     Order: missing, empty, too large, undetectable, unsupported type, corrupt.
-    Sizes come from the listing; only sources within the limit are read.
+    Sizes come from the listing; only sources within the limit are read. With ``manifests`` only
+    files that these do not know yet are hashed.
     """
+    proceed = (cancellation or Cancellation(spark)).check
     results: dict[int, dict] = {}
     found = []
     for i, source in enumerate(sources):
@@ -75,12 +84,15 @@ def inspect_sources(
         else:
             _fail(results[i], IO, f"No such source: {source.source_path}")
     if found:
+        proceed()
         _sizes(spark, found, results, options)
     accepted = [f for f in found if "error_code" not in results[f[0]]]
     if accepted:
-        _facts(spark, accepted, results, options.verify)
+        proceed()
+        _facts(spark, accepted, results, options.verify, manifests)
     texts = [f for f in accepted if results[f[0]].get("format") == CSV and "error_code" not in results[f[0]]]
     if texts:
+        proceed()
         _delimited_facts(spark, texts, {i: csv_options(spark, full, sources[i].csv) for i, full, _ in texts}, results)
     for i, _, _ in accepted:
         _sample(results[i], options)
@@ -113,18 +125,35 @@ def _sizes(spark: SparkSession, found: list[tuple], results: dict, options: Inge
             )
 
 
-def _facts(spark: SparkSession, accepted: list[tuple], results: dict, verify: bool) -> None:
+def _fingerprints(spark: SparkSession, roots: list[str], frame: DataFrame, count: int) -> DataFrame:
+    paired = _files_of(frame, data_fingerprints(spark, roots), count).where("length > 0")
+    return manifest_fingerprints(paired, ["ord"]).select("ord", "fingerprint")
+
+
+def _known_fingerprints(spark: SparkSession, roots: list[str], frame: DataFrame, count: int, manifests: Manifests) -> DataFrame:
+    """``_fingerprints`` from manifests, which are brought up to the files there are."""
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(roots)
+    files = listing.where("length > 0").select("path", "length", F.col("modificationTime").alias("modified_at"))
+    datasets = frame.select("root").distinct()
+    paired = _files_of(datasets, files, count).withColumnRenamed("root", "dataset")
+    manifests.update(paired, datasets.withColumnRenamed("root", "dataset"))
+    totals = manifests.totals().select(F.col("dataset").alias("root"), "fingerprint")
+    return frame.join(totals, "root").select("ord", "fingerprint")
+
+
+def _facts(spark: SparkSession, accepted: list[tuple], results: dict, verify: bool, manifests: Manifests | None) -> None:
     """Fingerprints, formats, schemas and row counts of all sources in one job each."""
     roots = outermost([f[1] for f in accepted])
     frame = _source_frame(spark, accepted)
-    digests = data_fingerprints(spark, roots)
-    paired = _files_of(frame, digests, len(accepted)).where("length > 0")
-    prints = manifest_fingerprints(paired, ["ord"])
+    if manifests is None:
+        prints = _fingerprints(spark, roots, frame, len(accepted))
+    else:
+        prints = _known_fingerprints(spark, roots, frame, len(accepted), manifests)
     detected = detect_formats(list_files(spark, roots))
     typed = _files_of(frame, detected, len(accepted)).where("length > 0")
     typed = typed.withColumn("format", F.coalesce("hint", "format"))
     facts = dataset_facts(typed, "ord", faults=first_faults(typed) if verify else None)
-    for row in facts.join(prints.select("ord", "fingerprint"), "ord").collect():
+    for row in facts.join(prints, "ord").collect():
         result = results[row.ord]
         result.update(format=row.format, fingerprint=row.fingerprint)
         if row.error_code is not None:
@@ -191,7 +220,7 @@ def _refuse_drift(registry: Registry, inspected: DataFrame) -> list[tuple]:
 
     A name is known from the registry or from an earlier source of the same call.
     """
-    known = current(registry.log()).select("name", F.col("schema_json").alias("known_schema"))
+    known = registry.current().select("name", F.col("schema_json").alias("known_schema"))
     first = inspected.where("error_code is null").groupBy("name").agg(F.min_by("schema_json", "ord").alias("first_schema"))
     joined = inspected.join(known, "name", "left").join(first, "name", "left")
     expected = F.coalesce("known_schema", "first_schema")
@@ -224,19 +253,39 @@ def ingest(
     registry: Registry,
     sources: Sequence[IngestionSource],
     options: IngestionOptions = IngestionOptions(),
+    *,
+    manifests: Manifests | None = None,
+    cancellation: Cancellation | None = None,
 ) -> DataFrame:
     """Register every source that passes its checks; one result row per source.
 
     Rows of rejected sources carry ``error_code`` and ``error_message`` instead
     of a dataset. The files of all sources are listed, hashed and inspected
     together, in jobs whose number does not depend on how many sources there are
-    (only on how many different notations their delimited text has).
+    (only on how many different notations their delimited text has). With ``manifests`` only files that
+    are new or changed since the last call are hashed. A cancelled call raises ``Cancelled``
+    and registers nothing.
     """
-    inspected = inspect_sources(spark, sources, options)
+    cancellation = cancellation or Cancellation(spark)
+    with cancellation:
+        return _ingest(spark, registry, sources, options, manifests, cancellation)
+
+
+def _ingest(
+    spark: SparkSession,
+    registry: Registry,
+    sources: Sequence[IngestionSource],
+    options: IngestionOptions,
+    manifests: Manifests | None,
+    cancellation: Cancellation,
+) -> DataFrame:
+    inspected = inspect_sources(spark, sources, options, manifests=manifests, cancellation=cancellation)
+    cancellation.check()
     if options.strict_schema:
         # Fixed before the log grows.
         inspected = local_frame(spark, _refuse_drift(registry, inspected), INSPECTED)
     accepted = inspected.where("error_code is null").drop("nanos", "error_code", "error_message")
+    cancellation.check()
     stored = registry.register(accepted).select(
         "ord", "dataset_id", "version_id", F.col("at").alias("ingested_at"), "pipeline_version"
     )

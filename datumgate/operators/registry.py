@@ -6,20 +6,25 @@ new dataset. The identifier comes from the registry, the name and how often the
 name was removed before, so that running a lost task again, or two writers
 meeting a new name at once, gives the same identifier.
 
+The log is cut into segments. When a segment holds a given number of calls, the state
+all events so far lead to is written as a snapshot and a new segment begins: lookups and registrations read the
+last snapshot and the segment after it, whatever the number of events. History reads the whole log.
+
 One writer at a time is assumed: plain files offer no compare-and-set for the
 sequence numbers.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import DatasetNotFound
 from ..functions.hashing import identifier
-from ..functions.ordered import CHUNK, with_history
+from ..functions.ordered import CHUNK, with_history, with_place
 from ..model import PIPELINE_VERSION
+from ..sources.files import qualified
+from ..sources.generations import newest, subfolders
 from .identity import version_id
 
 REGISTER, REMOVE = "register", "remove"
@@ -39,6 +44,12 @@ _SUMMARY = ("version_count", "created_at", "updated_at")
 SALTS = 8
 
 
+# Calls of ``register`` and ``remove`` that a segment holds.
+CALLS_PER_SEGMENT = 64
+
+_STATE = ("dataset_id", "seq", "removed", *_CARRIED, "version_count", "created_at", "updated_at")
+
+
 def _is_removal() -> Column:
     return F.col("op") == REMOVE
 
@@ -79,18 +90,52 @@ def resolve_stored(log: DataFrame, *, width: int = CHUNK) -> DataFrame:
 
 
 def current(log: DataFrame) -> DataFrame:
-    """Registered datasets with the state of their last registration.
+    """Registered datasets with the state of their last registration."""
+    return current_of_states(event_states(log))
+
+
+def event_states(log: DataFrame) -> DataFrame:
+    """Each event as the state that it alone leads to."""
+    registered = F.col("op") == REGISTER
+    at = F.when(registered, F.col("at"))
+    return log.withColumns(
+        {
+            "removed": F.when(registered, F.lit(0)).otherwise(1),
+            "version_count": F.when(registered, F.lit(1)).otherwise(0).cast("bigint"),
+            "created_at": at,
+            "updated_at": at,
+        }
+    ).select(*_STATE)
+
+
+def current_of_states(states: DataFrame) -> DataFrame:
+    """The datasets still registered, from states of snapshots and events."""
+    return folded_states(states).select("dataset_id", *_CARRIED, *_SUMMARY)
+
+
+def folded_states(states: DataFrame) -> DataFrame:
+    """One state for each dataset still registered.
 
     Hash aggregates over numbers, not windows: one row per dataset and task,
     however many versions a dataset has. The last event, found by its number, is
     then joined back on (dataset, number), a key that no dataset can overfill.
     """
-    registered = F.col("op") == REGISTER
-    folded = log.groupBy("dataset_id").agg(
-        *_summary(registered), F.max(F.when(registered, F.lit(0)).otherwise(1)).alias("removed")
+    folded = states.groupBy("dataset_id").agg(
+        F.max(F.when(F.col("removed") == 0, F.col("seq"))).alias("seq"),
+        F.sum("version_count").alias("version_count"),
+        F.min("created_at").alias("created_at"),
+        F.max("updated_at").alias("updated_at"),
+        F.max("removed").alias("removed"),
     )
     last = folded.where("removed = 0").drop("removed")
-    return log.where(registered).join(last, ["dataset_id", "seq"]).select("dataset_id", *_CARRIED, *_SUMMARY)
+    held = states.where("removed = 0").select("dataset_id", "seq", *_CARRIED)
+    return held.join(last, ["dataset_id", "seq"]).withColumn("removed", F.lit(0)).select(*_STATE)
+
+
+def removals_of(states: DataFrame) -> DataFrame:
+    """``(name, removals, seq)``: how often each name was removed, and the number of the last removal."""
+    gone = states.where("removed > 0")
+    return gone.groupBy("name").agg(F.sum("removed").alias("removals"), F.max("seq").alias("seq"))
 
 
 def _summary(registered: Column) -> list[Column]:
@@ -151,28 +196,61 @@ def schema_drift(resolved: DataFrame) -> DataFrame:
 
 
 class Registry:
-    """The log at ``path``, on any file system Spark can write."""
+    """The log at ``path``, on any file system that Spark and PyArrow open."""
 
-    def __init__(self, spark: SparkSession, path: str, namespace: str | None = None):
+    def __init__(
+        self, spark: SparkSession, path: str, namespace: str | None = None, *, calls_per_segment: int = CALLS_PER_SEGMENT
+    ):
         self.spark = spark
-        self.path = path
+        self.path = path.rstrip("/")
         self.namespace = namespace or path
+        self.calls_per_segment = calls_per_segment
 
     def log(self) -> DataFrame:
         """All events as written."""
-        try:
-            return self.spark.read.schema(LOG_SCHEMA).parquet(self.path)
-        except AnalysisException as failure:
-            if "PATH_NOT_FOUND" not in str(failure):
-                raise
+        return self._segments(subfolders(self.spark, f"{self.path}/segments"))
+
+    def _segments(self, numbers: list[int]) -> DataFrame:
+        places = [f"{self.path}/segments/{n}" for n in numbers if qualified(self.spark, f"{self.path}/segments/{n}")[1]]
+        if not places:
             return self.spark.createDataFrame([], LOG_SCHEMA)
+        return self.spark.read.schema(LOG_SCHEMA).option("recursiveFileLookup", "true").parquet(*places)
+
+    def _segment(self) -> int:
+        """The segment being written: as many snapshots were finished before it."""
+        return newest(self.spark, f"{self.path}/snapshots") + 1
+
+    def states(self) -> DataFrame:
+        """The last snapshot's states and those of the events after it."""
+        at = self._segment()
+        tail = event_states(self._segments([at]))
+        if at == 0:
+            return tail
+        snapshot = self.spark.read.schema(tail.schema).parquet(f"{self.path}/snapshots/{at - 1}")
+        return snapshot.unionByName(tail)
+
+    def _append(self, events: DataFrame) -> None:
+        """Writes events as a folder of the segment, which is closed by a snapshot once it is full."""
+        at = self._segment()
+        place = f"{self.path}/segments/{at}"
+        calls = subfolders(self.spark, place)
+        # A call that died left no event in its folder, as Spark commits a write at its end.
+        events.write.mode("append").parquet(f"{place}/{calls[-1] + 1 if calls else 0}")
+        if len(calls) + 1 >= self.calls_per_segment:
+            states = self.states()
+            # A name keeps one row for all its removals, with a dataset that no event can name.
+            gone = removals_of(states).select(
+                F.concat(F.lit("removed:"), F.col("name")).alias("dataset_id"), "name", "seq", F.col("removals").cast("int").alias("removed")
+            )
+            snapshot = folded_states(states).unionByName(gone, allowMissingColumns=True)
+            snapshot.write.mode("overwrite").parquet(f"{self.path}/snapshots/{at}")
 
     def events(self) -> DataFrame:
         """All events, with parents and ``is_open``."""
         return resolve_stored(self.log())
 
     def _next_seq(self) -> int:
-        [row] = self.log().agg(F.max("seq").alias("seq")).collect()
+        [row] = self.states().agg(F.max("seq").alias("seq")).collect()
         return 0 if row.seq is None else row.seq + 1
 
     def register(self, rows: DataFrame) -> DataFrame:
@@ -182,8 +260,8 @@ class Registry:
         fixes the order) and ``name, path, format, schema_json, fingerprint,
         row_count, row_count_is_sampled, byte_size``.
         """
-        start = self._next_seq()
-        removals = self.log().where(F.col("op") == REMOVE).groupBy("name").agg(F.count(F.lit(1)).alias("removals"))
+        start, segment = self._next_seq(), self._segment()
+        removals = removals_of(self.states()).drop("seq")
         entries = rows.join(removals, "name", "left").select(
             (F.col("ord") + F.lit(start)).cast("bigint").alias("seq"),
             F.lit(REGISTER).alias("op"),
@@ -200,26 +278,29 @@ class Registry:
             F.current_timestamp().alias("at"),
             F.lit(PIPELINE_VERSION).alias("pipeline_version"),
         )
-        entries.write.mode("append").parquet(self.path)
-        return self.log().where(F.col("seq") >= start).withColumn("ord", F.col("seq") - start)
+        self._append(entries)
+        return self._segments([segment]).where(F.col("seq") >= start).withColumn("ord", F.col("seq") - start)
 
     def get(self, dataset_id: str) -> DataFrame:
         """The registered dataset with this id; the filter reaches the files."""
-        return self._one(self.log().where(F.col("dataset_id") == dataset_id), dataset_id)
+        return self._one(self.states().where(F.col("dataset_id") == dataset_id), dataset_id)
 
     def get_by_name(self, name: str) -> DataFrame:
-        return self._one(self.log().where(F.col("name") == name), name)
+        return self._one(self.states().where(F.col("name") == name), name)
 
     @staticmethod
-    def _one(log: DataFrame, wanted: str) -> DataFrame:
-        found = current(log)
+    def _one(states: DataFrame, wanted: str) -> DataFrame:
+        found = current_of_states(states)
         if not found.limit(1).count():
             raise DatasetNotFound(wanted)
         return found
 
     def list(self) -> DataFrame:
         """All registered datasets, by name."""
-        return current(self.log()).orderBy("name")
+        return self.current().orderBy("name")
+
+    def current(self) -> DataFrame:
+        return current_of_states(self.states())
 
     def versions(self, dataset_id: str) -> DataFrame:
         mine = self.log().where(F.col("dataset_id") == dataset_id)
@@ -237,7 +318,7 @@ class Registry:
             F.lit(PIPELINE_VERSION).alias("pipeline_version"),
         )
         full = self.spark.createDataFrame([], LOG_SCHEMA).unionByName(row, allowMissingColumns=True)
-        full.write.mode("append").parquet(self.path)
+        self._append(full)
         return self.spark.createDataFrame([gone])
 
     def update_row_counts(self, counted: DataFrame) -> DataFrame:
@@ -246,8 +327,6 @@ class Registry:
         ``counted`` is ``(name, row_count)``; the version id stays the same, as
         neither the bytes nor the schema changed.
         """
-        known = current(self.log()).drop("row_count")
-        rows = known.join(counted, "name").select(
-            F.monotonically_increasing_id().alias("ord"), *_CARRIED, F.lit(False).alias("row_count_is_sampled")
-        )
-        return self.register(rows)
+        known = self.current().drop("row_count")
+        rows = known.join(counted, "name").select(*_CARRIED, F.lit(False).alias("row_count_is_sampled"))
+        return self.register(with_place(rows, "name", "ord"))

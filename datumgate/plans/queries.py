@@ -46,6 +46,7 @@ from ..sources.files import detect_formats, file_name, format_by_magic, leading_
 from ..sources.footers import footer_contract, read_footers
 from ..sources.scan import row_count, scan
 from .cases import CASES
+from .growth import GROWTH, customer_entries
 from .tables import TABLES, path_of, table
 
 SAMPLE = 1000
@@ -451,19 +452,7 @@ def registry_hot_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def registry_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers registered in a written log; one segment is registered twice."""
     registry = Registry(spark, scratch_dir(spark, "registry"), NAMESPACE)
-    customer = table(spark, sf_dir, "customer")
-    rows = customer.select(
-        F.col("c_custkey").alias("ord"),
-        F.col("c_name").alias("name"),
-        F.concat(F.lit("/data/"), F.col("c_name")).alias("path"),
-        F.lit(PARQUET).alias("format"),
-        F.lit('{"fields":[]}').alias("schema_json"),
-        F.sha2(F.col("c_mktsegment"), 256).alias("fingerprint"),
-        F.lit(0).cast("bigint").alias("row_count"),
-        F.lit(False).alias("row_count_is_sampled"),
-        F.col("c_custkey").alias("byte_size"),
-        "c_mktsegment",
-    )
+    rows = customer_entries(spark, sf_dir)
     registry.register(rows.drop("c_mktsegment"))
     again = rows.where(F.col("c_mktsegment") == "BUILDING").drop("c_mktsegment")
     registry.register(again.withColumn("row_count", F.lit(7).cast("bigint")))
@@ -639,5 +628,6 @@ def all_queries() -> dict[str, Query]:
         ipc_nested_round_trip,
     ):
         found[query.__name__] = query
+    found |= {query.__name__: query for query in GROWTH}
     found |= {name: query for name, (query, _) in CASES.items()}
     return {name: _configured(query) for name, query in found.items()}
