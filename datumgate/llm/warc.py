@@ -320,9 +320,12 @@ def register(spark: SparkSession) -> None:
 
 # Page archives
 
+PAGE = "urn:x-page:"
+
 
 def page_uri(column):
-    return F.concat(F.lit("urn:x-page:"), F.coalesce(column.cast("string"), F.lit("")))
+    """An identifier of any type as a URI, escaped so that it stays on its header line; a null one has no colon behind it."""
+    return F.coalesce(F.concat(F.lit(PAGE), F.url_encode(column.cast("string"))), F.lit(PAGE[:-1]))
 
 
 def page_records(
@@ -382,20 +385,24 @@ def read_warc(
     return reader.option("among", json.dumps(among or {})).option("starting", json.dumps(starting or {})).load()
 
 
-def page_of(uri):
-    return F.regexp_extract(uri, r"^urn:x-page:(-?[0-9]+)$", 1).try_cast("long")
+def page_of(uri, id_type: str = "long"):
+    named = F.when(F.startswith(uri, F.lit(PAGE)), F.substr(uri, F.lit(len(PAGE) + 1)))
+    return F.try_url_decode(named).try_cast(id_type)
+
 
+def archived_pages(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
+    """What the archives hold of each page; digests of responses are computed from the payload read.
 
-def archived_pages(spark: SparkSession, path: str) -> DataFrame:
-    """What the archives hold of each page; digests of responses are computed from the payload read."""
+    ``id_type`` is the type of the page identifiers that were written; other records' identifiers are null.
+    """
     responses = read_warc(spark, path, among={"record_type": [RESPONSE]})
     revisits = read_warc(spark, path, payload=False, among={"record_type": [REVISIT]})
     columns = lambda size, digest: [
-        page_of(F.col("record_id")).alias("page_id"),
+        page_of(F.col("record_id"), id_type).alias("page_id"),
         size.cast("long").alias("payload_bytes"),
         digest.alias("payload_digest"),
         "record_type",
-        page_of(F.col("refers_to")).alias("refers_to"),
+        page_of(F.col("refers_to"), id_type).alias("refers_to"),
     ]
     return responses.select(*columns(F.octet_length("payload"), F.sha2("payload", 256))).unionByName(
         revisits.select(*columns(F.col("payload_bytes"), F.regexp_replace("payload_digest", "^sha256:", "")))

@@ -275,6 +275,15 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.archived_pages(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_warc_identifiers_of_any_text(spark, tmp_path):
+    same = "x" * 200
+    ids = ["p1", "p2", "a b/%41\n+ü", "", None]
+    pages = spark.createDataFrame([(i, "http://x.org/", same) for i in ids], "page_id string, url string, html string")
+    warc.write_warc(warc.page_records(pages), str(tmp_path / "texts"))
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.archived_pages(spark, str(tmp_path / "texts"), "string").collect()}
+    assert got == {i: ("response", None) if i == "" else ("revisit", "") for i in ids}
+
+
 def test_warc_queries_of_one_frame_do_not_share_filters(spark, tmp_path):
     pages = spark.createDataFrame([(k, f"http://{k % 3}/", "x" * 200 if k % 2 else f"y{k}", None) for k in range(20)], PAGES)
     warc.write_warc(warc.page_records(pages), str(tmp_path))
@@ -566,6 +575,63 @@ def test_listed_urls_may_end_like_rules(spark):
     assert got == {1: (None, "block"), 2: (None, "block"), 3: (None, "allow"), 4: (None, "block")}
 
 
+def listed_under(url, entries):
+    """Rule keys a URL fits, by the plain definition, the longest first."""
+    host, _, rest = url.partition("://")[2].partition("/")
+    path = "/" + re.split("[?#]", rest)[0]
+    fits = [h + p for h, p in entries if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return sorted(fits, key=len, reverse=True)
+
+
+def test_rules_equal_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    word = lambda: "ab"[rng.integers(2)] * int(rng.integers(1, 3))
+    some = lambda joint, most: joint.join(word() for _ in range(rng.integers(1, most)))
+    urls = {f"http://{some('.', 5)}/{some('/', 6)}{'/' if rng.random() < 0.5 else ''}" for _ in range(600)}
+    entries = {(some(".", 4), f"/{some('/', 4)}/") for _ in range(60)} | {("b", "/")}
+    pages = spark.createDataFrame([(u,) for u in urls], "url string")
+    listed = spark.createDataFrame([(*e, "block") for e in entries], "host string, path string, verdict string")
+    wanted = {u: (listed_under(u, entries) or [None])[0] for u in urls}
+    # With so small a filter most keys pass it, and the join removes those that are not listed.
+    for blocks in (1 << 10, 1):
+        monkeypatch.setattr(url_filter, "MIN_BLOCKS", 1)
+        monkeypatch.setattr(url_filter, "MAX_BLOCKS", blocks)
+        got = {r.url: r.rule for r in url_filter.judge_urls(pages, listed).collect()}
+        assert {u: len(r or "") for u, r in got.items()} == {u: len(r or "") for u, r in wanted.items()}
+        assert all(r in listed_under(u, entries) for u, r in got.items() if r)
+
+
+def test_filter_grows_with_the_list():
+    entries = [(f"h{i}.org/", url_filter.RULE) for i in range(20_000)]
+    blocks = url_filter.blocks_for(len(entries))
+    held = url_filter.entry_hashes(*zip(*entries, strict=True))
+    table = np.zeros((blocks, url_filter.WORDS), np.uint64)
+    block, masks = url_filter._bits(held, blocks)
+    np.bitwise_or.at(table, block, masks)
+    assert url_filter.may_hold(table, held).all()
+    other = url_filter.entry_hashes([f"other{i}.net" for i in range(50_000)], [url_filter.EXACT] * 50_000)
+    assert url_filter.may_hold(table, other).mean() < 0.01
+    assert url_filter.blocks_for(10**9) == url_filter.MAX_BLOCKS
+
+
+def test_long_urls_make_few_keys(spark):
+    import tracemalloc
+
+    host, path = ".".join(["a"] * 4_000 + ["com"]), "/x" * 8_000
+    tracemalloc.start()
+    table = np.zeros((1 << 10, url_filter.WORDS), np.uint64)
+    entries = [("com/x/", url_filter.RULE), ("a.com/x/x/x/", url_filter.RULE)]
+    block, masks = url_filter._bits(url_filter.entry_hashes(*zip(*entries, strict=True)), len(table))
+    np.bitwise_or.at(table, block, masks)
+    assert list(url_filter.possible_keys(host, path, table, 4)) == [k for k, _ in entries]
+    assert tracemalloc.get_traced_memory()[1] < 4 << 20
+    tracemalloc.stop()
+    pages = spark.createDataFrame([(1, f"http://{host}{path}", 5)], "page_id long, url string, _rule long")
+    listed = spark.createDataFrame([("com", "/x/", "block")], "host string, path string, verdict string")
+    [row] = url_filter.judge_urls(pages, listed).collect()
+    assert (row.rule, row.verdict, row._rule) == ("com/x/", "block", 5)
+
+
 def test_long_lists_are_joined_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(url_filter, "BROADCAST_ENTRIES", 2)
     pages = spark.createDataFrame([(i, f"http://h{i}.org/p") for i in range(50)], "page_id long, url string")
