@@ -36,6 +36,7 @@ WORDS = 8  # 64-bit words of a block: 512 bits, one cache line
 MIN_BLOCKS, MAX_BLOCKS = 1 << 10, 1 << 18  # 64 KiB to 16 MiB
 BITS_PER_ENTRY = 16
 PROBES = 8
+HASHES_AT_ONCE = 1 << 14
 BROADCAST_ENTRIES = 50_000
 MAX_ENTRY_BYTES = 2_048
 SALTS = 16
@@ -166,19 +167,45 @@ def build_filter(entries: DataFrame, blocks: int) -> np.ndarray:
     return table
 
 
-def possible_keys(host: str, path: str, table: np.ndarray, deepest: int) -> Iterator[str]:
-    """Keys of all rules that the filter may hold for one URL."""
-    if not host or not path.startswith("/"):
+def _flat(groups: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All hashes in a row, and the group of each."""
+    return np.array([h for g in groups for h in g], np.uint64), np.repeat(np.arange(len(groups)), [len(g) for g in groups])
+
+
+def possible_keys(hosts: list[str], paths: list[str], table: np.ndarray, deepest: int) -> Iterator[tuple[int, str]]:
+    """Number of the URL and key, of all rules that the filter may hold for some URLs."""
+    fits = [bool(h) and p.startswith("/") for h, p in zip(hosts, paths, strict=True)]
+    suffixes, owner = _flat([suffix_hashes(h) if ok else [] for h, ok in zip(hosts, fits, strict=True)])
+    starts = np.searchsorted(owner, np.arange(len(hosts)))
+    prefixes: dict[int, list[int]] = {}
+    pairs: list[tuple[int, int]] = []
+    hashes: list[np.ndarray] = []
+    for k in np.flatnonzero(may_hold(table, suffixes)).tolist():
+        i = int(owner[k])
+        if i not in prefixes:
+            prefixes[i] = prefix_hashes(paths[i], deepest)
+        pairs.append((i, k - int(starts[i]) + 1))
+        hashes.append(_pair_hashes(int(suffixes[k]), prefixes[i]))
+    if not pairs:
         return
-    suffixes = np.array(suffix_hashes(host), np.uint64)
-    labels = np.flatnonzero(may_hold(table, suffixes)) + 1
-    if not len(labels):
-        return
-    prefixes = prefix_hashes(path, deepest)
-    parts, names = path.split("/", deepest), host.split(".")
-    for count in labels:
-        for depth in np.flatnonzero(may_hold(table, _pair_hashes(int(suffixes[count - 1]), prefixes))) + 1:
-            yield ".".join(names[-count:]) + "/".join(parts[:depth]) + "/"
+    which = np.repeat(np.arange(len(pairs)), [len(h) for h in hashes])
+    begins = np.searchsorted(which, np.arange(len(pairs)))
+    for k in np.flatnonzero(may_hold(table, np.concatenate(hashes))).tolist():
+        i, labels = pairs[which[k]]
+        parts = paths[i].split("/", deepest)[: k - int(begins[which[k]]) + 1]
+        yield i, ".".join(hosts[i].split(".")[-labels:]) + "/".join(parts) + "/"
+
+
+def _runs(hosts: list[str], paths: list[str], deepest: int) -> Iterator[tuple[int, int]]:
+    """Neighbouring URLs that have about ``HASHES_AT_ONCE`` hashes together."""
+    first, filled = 0, 0
+    for i, (host, path) in enumerate(zip(hosts, paths, strict=True)):
+        filled += (host.count(".") + 1) + min(deepest, path.count("/"))
+        if filled >= HASHES_AT_ONCE:
+            yield first, i + 1
+            first, filled = i + 1, 0
+    if first < len(hosts):
+        yield first, len(hosts)
 
 
 def possible_hits(split: DataFrame, table: np.ndarray, deepest: int) -> DataFrame:
@@ -191,10 +218,10 @@ def possible_hits(split: DataFrame, table: np.ndarray, deepest: int) -> DataFram
             urls, hosts, paths, canonical = (batch.column(i).to_pylist() for i in range(4))
             found: list[tuple[str, str, str]] = []
             listed = may_hold(words, np.array([_exact_hash(c) for c in canonical], np.uint64))
-            for i, url in enumerate(urls):
-                found += [(url, key, RULE) for key in possible_keys(hosts[i], paths[i], words, deepest)]
-                if listed[i] and hosts[i]:
-                    found.append((url, canonical[i], EXACT))
+            for first, after in _runs(hosts, paths, deepest):
+                keys = possible_keys(hosts[first:after], paths[first:after], words, deepest)
+                found += [(urls[first + i], key, RULE) for i, key in keys]
+            found += [(urls[i], canonical[i], EXACT) for i in np.flatnonzero(listed).tolist() if hosts[i]]
             columns = [pa.array([row[k] for row in found], pa.string()) for k in range(3)]
             yield pa.RecordBatch.from_arrays(columns, names=["url", "key", "kind"])
 

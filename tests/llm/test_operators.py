@@ -623,7 +623,7 @@ def test_long_urls_make_few_keys(spark):
     entries = [("com/x/", url_filter.RULE), ("a.com/x/x/x/", url_filter.RULE)]
     block, masks = url_filter._bits(url_filter.entry_hashes(*zip(*entries, strict=True)), len(table))
     np.bitwise_or.at(table, block, masks)
-    assert list(url_filter.possible_keys(host, path, table, 4)) == [k for k, _ in entries]
+    assert list(url_filter.possible_keys([host], [path], table, 4)) == [(0, k) for k, _ in entries]
     assert tracemalloc.get_traced_memory()[1] < 4 << 20
     tracemalloc.stop()
     pages = spark.createDataFrame([(1, f"http://{host}{path}", 5)], "page_id long, url string, _rule long")
