@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import tidy
+from .scratch import free_names, tidy
 from .words import U, mix, text_slices
 
 UNKNOWN = "und"
@@ -215,10 +215,10 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = Non
     """The columns in ``keep`` (all by default), lang_pred and score of every row.
 
     The score is the winner's share of the corrected sums. Columns of ``docs``
-    with the names of the two new ones are replaced.
+    with the names of the two new ones, in any case, are replaced.
     """
     languages = model.languages
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("lang_pred", "score")]
     weights = popcount_weights(len(languages))
     narrow = np.uint8 if len(languages) <= 8 else np.int64
     shared = docs.sparkSession.sparkContext.broadcast((model.slices.astype(narrow), model.false_rate))
@@ -263,4 +263,5 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = Non
             )
 
     schema = T.StructType([docs.schema[c] for c in keep]).add("lang_pred", "string").add("score", "double")
-    return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(judge, schema)
+    [text] = free_names(docs, "_text")
+    return docs.select(*keep, F.col(text_col).alias(text)).mapInArrow(judge, schema)

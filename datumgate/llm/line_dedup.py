@@ -9,7 +9,7 @@ Defined results: lines are compared without white space at their ends; blank
 lines are never counted or removed. A null site is no site. A null text stays
 null with no lines, an empty text stays empty. Rows equal in doc_id and text are
 one document: all of them keep or lose the same lines. A null doc_id sorts
-first. An empty table gives an empty result. Other columns pass through.
+first. An empty table gives an empty result. Other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import free_names
+
 TRIMMED = " \t\r\x0b\f"
 NO_ID = -(2**63)
 SALTS = 16
@@ -93,20 +95,22 @@ def dedup_lines(
         .groupBy("_id", "_row")
         .agg(F.collect_set("_pos").alias("_drop"))
     )
+    id_name, row_name, drop, parts = free_names(docs, "_id", "_row", "_drop", "_lines")
+    removed = removed.select(F.col("_id").alias(id_name), F.col("_row").alias(row_name), F.col("_drop").alias(drop))
     id_key, row_key = _document_key(id_col, text_col)
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_drop"))
-    cleaned = F.array_join(F.transform(kept, lambda i: F.get(F.col("_lines"), i)), "\n")
-    n_removed = F.coalesce(F.size("_drop"), F.lit(0)).cast("long")
-    n_lines = F.size(F.filter("_lines", lambda x: F.btrim(x, F.lit(TRIMMED)) != "")).cast("long")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(drop))
+    cleaned = F.array_join(F.transform(kept, lambda i: F.get(F.col(parts), i)), "\n")
+    n_removed = F.coalesce(F.size(drop), F.lit(0)).cast("long")
+    n_lines = F.size(F.filter(parts, lambda x: F.btrim(x, F.lit(TRIMMED)) != "")).cast("long")
     return (
         docs.drop("n_lines", "n_removed")
-        .withColumns({"_id": id_key, "_row": row_key})
-        .join(removed, ["_id", "_row"], "left")
-        .withColumn("_lines", F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"))
+        .withColumns({id_name: id_key, row_name: row_key})
+        .join(removed, [id_name, row_name], "left")
+        .withColumn(parts, F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"))
         .withColumn("n_lines", n_lines)
         .withColumn("n_removed", n_removed)
-        .withColumn(text_col, F.when(F.col("_drop").isNull(), F.col(text_col)).otherwise(cleaned))
-        .drop("_id", "_row", "_drop", "_lines")
+        .withColumn(text_col, F.when(F.col(drop).isNull(), F.col(text_col)).otherwise(cleaned))
+        .drop(id_name, row_name, drop, parts)
     )
 
 

@@ -75,6 +75,16 @@ def test_line_dedup_awkward(awkward, nothing):
     assert line_dedup.dedup_lines(nothing).count() == 0
 
 
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    rows = [(i, f"own line {i}\nshared line", f"s{i}", i, -i, "d", "l", "h") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _id long, _ROW long, _drop string, _lines string, _hash string")
+    out = line_dedup.dedup_lines(docs)
+    assert out.columns == [*docs.columns, "n_lines", "n_removed"]
+    for r in out.collect():
+        assert (r._id, r._ROW, r._drop, r._lines, r._hash) == (r.doc_id, -r.doc_id, "d", "l", "h")
+        assert r.n_removed == (r.doc_id > 0) and ("shared" in r.text) == (r.doc_id == 0)
+
+
 def test_line_dedup_near_the_threshold(spark):
     rows = [(i, f"Shared by eight.\nOwn {i}.", f"s{i % 8}") for i in range(40)]
     rows += [(100 + i, f"Shared by seven.\nOwn {i + 100}.", f"s{i % 7}") for i in range(40)]
@@ -106,6 +116,14 @@ def test_language_awkward(awkward, nothing, docs):
     assert {r.lang_pred for r in language_id.identify(awkward, untrained).collect()} == {"und"}
 
 
+def test_language_keeps_columns_of_any_name(docs):
+    model = language_id.train(docs)
+    renamed = docs.withColumns({"LANG_PRED": F.lit("x"), "Score": F.lit("y"), "_text": F.lit("z")}).limit(20)
+    found = language_id.identify(renamed, model)
+    assert found.columns == [*docs.columns, "_text", "lang_pred", "score"]
+    assert all(r.lang_pred != "x" and 0 <= r.score <= 1 and r._text == "z" for r in found.collect())
+
+
 def test_sliced_filter_returns_all_languages_of_a_gram(docs):
     model = language_id.train(docs, min_share=0.0)
     grams = dict(language_id._grams(np.frombuffer(b" de ", np.uint8)))[4]
