@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EPOCH_NTZ = "timestamp_ntz'1970-01-01 00:00:00'"
@@ -33,3 +33,14 @@ def ntz_from_micros(micros: Column) -> Column:
     seconds = (micros.cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(18,6)")
     zero = F.lit(0)
     return F.expr(EPOCH_NTZ) + F.make_dt_interval(zero, zero, zero, seconds)
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The names wanted, with underscores before those that a column of ``df`` has, whatever its case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
