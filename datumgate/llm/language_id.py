@@ -30,7 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import free_names, tidy
+from ..functions.columns import free_names
+from .scratch import tidy
 from .words import U, mix, text_slices
 
 UNKNOWN = "und"

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import free_names
+from ..functions.columns import free_names
 
 TRIMMED = " \t\r\x0b\f"
 NO_ID = -(2**63)

@@ -23,17 +23,6 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def free_names(df: DataFrame, *wanted: str) -> list[str]:
-    """The names wanted, with underscores before those that a column of ``df`` has, whatever its case."""
-    taken, out = {c.lower() for c in df.columns}, []
-    for name in wanted:
-        while name.lower() in taken:
-            name = "_" + name
-        taken.add(name.lower())
-        out.append(name)
-    return out
-
-
 def _give_back() -> None:
     """Returns freed memory to the system: workers live on between tasks, beside the JVM."""
     pa.default_memory_pool().release_unused()

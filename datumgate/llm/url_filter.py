@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import free_names
+from ..functions.columns import free_names
 
 ALLOW, BLOCK = "allow", "block"
 RULE, EXACT = "rule", "exact"
