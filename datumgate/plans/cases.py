@@ -21,7 +21,7 @@ from ..session import scratch_dir
 from ..sources.arrow_ipc import read_ipc, write_ipc
 from ..sources.files import filesystem_of, list_files, open_file, qualified
 from ..sources.scan import scan
-from ..sources.verify import check_files
+from ..sources.verify import check_files, parts_of
 from .tables import TABLES, table
 
 NAMESPACE = "cases"
@@ -264,9 +264,9 @@ def registry_gappy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _broken_copies(files: DataFrame, target: str) -> DataFrame:
-    """Copies of one Parquet and one IPC file below ``target``, each with other bytes overwritten; done in tasks.
+    """Copies of one Parquet and one IPC file, which hold rows, below ``target``, each with other bytes overwritten; done in tasks.
 
-    ``pages``: the pages of one column of the first row group. ``footer``: the end of the file.
+    ``pages``: the pages of one column of the first row group. ``footer``: all of it.
     ``batches``: the header of the first record batch.
     """
 
@@ -282,7 +282,9 @@ def _broken_copies(files: DataFrame, target: str) -> DataFrame:
                 first = chunk.dictionary_page_offset if chunk.has_dictionary_page else chunk.data_page_offset
                 low, high = first, first + chunk.total_compressed_size
             elif kind == "footer":
-                low, high = size - 64, size - 8
+                # Its length stands before the closing magic. A few bytes of it, overwritten, may still be a footer.
+                source.seek(size - 8)
+                low, high = size - 8 - int.from_bytes(source.read(4), "little"), size - 8
             else:
                 # An IPC file starts with its magic, then the schema's length, the schema and the first batch.
                 source.seek(12)
@@ -316,9 +318,11 @@ def verify_broken_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders.write.parquet(parquet)
     write_ipc(orders, ipc)
     whole = [list_files(spark, p).where("length > 0").select("path", F.lit(f).alias("format")) for p, f in ((parquet, PARQUET), (ipc, ARROW_IPC))]
-    first = [files.groupBy("format").agg(F.min("path").alias("path")) for files in whole]
+    # Spark's writer leaves a file without a row group where its first task had no rows.
+    held = parts_of(whole[0].unionByName(whole[1])).where("part = 0")
+    first = held.groupBy("format").agg(F.min("path").alias("path"))
     kinds = F.when(F.col("format") == PARQUET, F.array(F.lit("pages"), F.lit("footer"))).otherwise(F.array(F.lit("batches")))
-    copies = _broken_copies(first[0].unionByName(first[1]).withColumn("kind", F.explode(kinds)), broken)
+    copies = _broken_copies(first.withColumn("kind", F.explode(kinds)), broken)
     named = scratch_dir(spark, "verify-copies")
     copies.write.parquet(named)
     files = whole[0].unionByName(whole[1]).withColumn("kind", F.lit("whole")).unionByName(spark.read.parquet(named))
