@@ -1,9 +1,9 @@
 """Files decoded part by part in tasks: row groups of Parquet files, record batches of Arrow IPC files.
 
 A first job reads the footers and names the parts; a shuffle of the names spreads them, so a large file
-is decoded by many tasks, and a task holds one slice of a part at a time. A part that
-fails is decoded again column by column, to tell which columns are broken. A stream
-has no index: it is one part until its first broken batch.
+is decoded by many tasks, and a task holds one slice of a row group, however large that is, or one record
+batch at a time. A part that fails is decoded again column by column, to tell which columns are broken. A
+stream has no index: it is one part until its first broken batch.
 """
 
 from __future__ import annotations
@@ -22,7 +22,9 @@ from .footers import open_ipc
 #: ``part`` counts from 0; null for a footer or header. ``column`` is null where no single column fails.
 CHECKED = "path string, format string, part bigint, row_count bigint, column string, error string"
 _PARTS = "path string, format string, part bigint, error string"
-SLICE_ROWS = 1 << 16
+SLICE_ROWS = 1 << 14
+# What is read ahead of each column; without it a column's whole part of the row group would be in memory.
+READ_BYTES = 1 << 20
 _BROKEN = (pa.ArrowException, OSError)
 
 
@@ -30,7 +32,7 @@ def _parquet(source: pa.NativeFile):
     import pyarrow.parquet as pq
 
     # Checksums of pages are compared where a file has them.
-    return pq.ParquetFile(source, page_checksum_verification=True)
+    return pq.ParquetFile(source, page_checksum_verification=True, buffer_size=READ_BYTES)
 
 
 def _named(path: str, fmt: str) -> list[tuple]:

@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import datetime
+import os
+import random
+import subprocess
+import sys
 
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+from datumgate.model import PARQUET
 from datumgate.plans import queries as queries_module
+from datumgate.sources.verify import check_files
 
 QUERIES = queries_module.all_queries()
 
@@ -48,3 +54,23 @@ def test_broken_copies_of_files_that_hold_rows(spark, tmp_path, small_splits):
         ("parquet", "footer"): (None, 1, -1, ""),
         ("arrow_ipc", "batches"): (None, 1, 0, ""),
     }
+
+
+def test_decoding_holds_a_slice_of_a_row_group(spark, tmp_path):
+    rows = 3_000_000
+    numbers = random.Random(5).randbytes(8 * rows)
+    table = pa.table({"n": pa.Array.from_buffers(pa.int64(), rows, [None, pa.py_buffer(numbers)])})
+    path = str(tmp_path / "one_group.parquet")
+    pq.write_table(table, path, row_group_size=rows, use_dictionary=False)
+    assert pq.ParquetFile(path).num_row_groups == 1
+
+    # In a process of its own: the pool knows its largest size only.
+    code = (
+        "import pyarrow as pa; from datumgate.sources.verify import _checked; "
+        f"print(_checked({path!r}, {PARQUET!r}, 0) == [({rows}, None, None)], pa.default_memory_pool().max_memory())"
+    )
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    said = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout.split()
+    assert said[0] == "True" and int(said[1]) < 8 * rows / 2
+    files = spark.createDataFrame([(path, PARQUET)], "path string, format string")
+    assert [r.row_count for r in check_files(files).collect()] == [rows]
