@@ -35,6 +35,28 @@ WRITTEN_TIME_PATTERN = "^(.{19}([.][0-9]+)?)"
 OFFSET_PATTERN = "([+-][0-9]{2}:[0-9]{2})$"
 SIGNED_WORD_PATTERN = "^[+-](?i:inf|infinity|nan)$"
 
+# The same spellings with the calendar and the clock in them: what fits needs no cast. A cast that fails raises and
+# catches an exception for each cell.
+_LEAP_YEAR = "(?:[0-9]{2}(?:0[48]|[2468][048]|[13579][26])|(?:[02468][048]|[13579][26])00)"
+
+
+def _day_pattern(zero: str) -> str:
+    """A day of the calendar; ``zero`` is how the zero before one digit is asked for."""
+    short = f"(?:{zero}[1-9]|1[0-2])-(?:{zero}[1-9]|1[0-9]|2[0-8])"
+    longer = f"(?:{zero}[13-9]|1[0-2])-(?:29|30)|(?:{zero}[13578]|1[02])-31"
+    return f"(?:[0-9]{{4}}-(?:{short}|{longer})|{_LEAP_YEAR}-{zero}2-29)"
+
+
+REAL_DATE_PATTERN = f"^{_day_pattern('0?')}$"
+REAL_LOCAL_TIME_PATTERN = f"^{_day_pattern('0?')}[ T](?:[01]?[0-9]|2[0-3]):[0-5]?[0-9]:[0-5]?[0-9]$"
+REAL_OFFSET_TIME_PATTERN = (
+    f"^{_day_pattern('0')}[Tt](?:[01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](?:[.][0-9]+)?"
+    "(?:[Zz]|[+-](?:[01][0-9]|2[0-3]):[0-5][0-9])$"
+)
+# The longest local time.
+LOCAL_TIME_SIZE = 19
+_MAX_BIGINT, _MIN_BIGINT = str(2**63 - 1), str(2**63)
+
 # A Unicode noncharacter and a second one stand in for delimiters outside
 # quotes; where a line holds the first itself, it is doubled by a third.
 _MARK = chr(0xFDD0)
@@ -80,26 +102,29 @@ def cell_mask(cell: Column, null_values: Sequence[str]) -> Column:
 
     Cheap tests route a cell to the few patterns it could match: only cells that
     start between ``+`` and ``9`` can be numbers or dates, and only those with a
-    dash after four characters can be dates. A cast is tried only on cells whose
-    pattern fits, as a failing one costs far more than a pattern.
+    dash after four characters can be dates. Nothing is cast: a failing cast costs far more than a pattern.
     """
     size = F.octet_length(cell)
-    date = cell.rlike(DATE_PATTERN) & cell.try_cast("date").isNotNull()
-    local_time = cell.rlike(LOCAL_TIME_PATTERN) & cell.try_cast("timestamp_ntz").isNotNull()
-    offset_time = cell.rlike(OFFSET_TIME_PATTERN) & _local_part(cell).isNotNull()
     real = cell.rlike(FLOAT_PATTERN)
     dashed = (
-        F.when((size <= 10) & date, F.lit(DATE))
-        .when((size > 10) & (local_time | offset_time), F.lit(TIMESTAMP))
-        .when(real, F.lit(FLOAT64))
+        F.when((size <= 10) & cell.rlike(REAL_DATE_PATTERN), F.lit(DATE))
+        .when(size.between(11, LOCAL_TIME_SIZE) & cell.rlike(REAL_LOCAL_TIME_PATTERN), F.lit(TIMESTAMP))
+        .when((size > LOCAL_TIME_SIZE) & cell.rlike(REAL_OFFSET_TIME_PATTERN), F.lit(TIMESTAMP))
+        # Within a number a dash follows an exponent's letter.
+        .when(F.substring(cell, 4, 1).isin("e", "E") & real, F.lit(FLOAT64))
         .otherwise(F.lit(TEXT))
     )
     # A number without point and exponent is an integer if it fits 64 bits.
     digits = ~(F.contains(cell, F.lit(".")) | F.contains(cell, F.lit("e")) | F.contains(cell, F.lit("E")))
-    whole = digits & cell.try_cast("bigint").isNotNull()
+    figures = F.ltrim(cell, F.lit("+-0"))
+    count = F.octet_length(figures)
+    limit = F.when(F.startswith(cell, F.lit("-")), F.lit(_MIN_BIGINT)).otherwise(F.lit(_MAX_BIGINT))
+    fits = (count < len(_MAX_BIGINT)) | (count == len(_MAX_BIGINT)) & (figures <= limit)
+    whole = digits & ((size < len(_MAX_BIGINT)) | fits)
+    signed = F.startswith(cell, F.lit("+")) | F.startswith(cell, F.lit("-"))
     number = (
         F.when(real, F.when(whole, F.lit(INT64)).otherwise(F.lit(FLOAT64)))
-        .when(cell.rlike(SIGNED_WORD_PATTERN), F.lit(FLOAT64))
+        .when(signed & cell.rlike(SIGNED_WORD_PATTERN), F.lit(FLOAT64))
         .otherwise(F.lit(TEXT))
     )
     word = F.lower(cell)
@@ -115,12 +140,6 @@ def cell_mask(cell: Column, null_values: Sequence[str]) -> Column:
     return F.when(cell.isin(*numeric_tokens), F.lit(NULL_CELL)).otherwise(kind) if numeric_tokens else kind
 
 
-def _local_part(cell: Column) -> Column:
-    """Date and time of an offset timestamp, as written."""
-    written = F.regexp_extract(F.upper(cell), WRITTEN_TIME_PATTERN, 1)
-    return written.try_cast("timestamp_ntz")
-
-
 def type_of_mask(mask: Column) -> Column:
     """Name of the type a column gets from the OR of its cell masks."""
     return (

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import itertools
 import os
 import random
 import subprocess
@@ -11,7 +12,9 @@ import sys
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
+from datumgate.functions.cells import DATE, FLOAT64, INT64, TEXT, TIMESTAMP, cell_mask
 from datumgate.model import PARQUET
 from datumgate.plans import queries as queries_module
 from datumgate.sources.verify import check_files
@@ -95,3 +98,32 @@ def test_decoding_holds_a_slice_of_a_row_group(spark, tmp_path):
     assert said[0] == "True" and int(said[1]) < 8 * rows / 2
     files = spark.createDataFrame([(path, PARQUET)], "path string, format string")
     assert [r.row_count for r in check_files(files).collect()] == [rows]
+
+
+def test_cell_kinds_without_casts(spark):
+    """A cast that fails costs far more than a pattern, so no cell is cast to see what it is."""
+    kinds = {}
+    for year, month, day in itertools.product((0, 1900, 2000, 2023, 2024), range(14), range(33)):
+        try:
+            # Python has no year 0, which is a leap year.
+            datetime.date(year or 2000, month, day)
+            real = True
+        except ValueError:
+            real = False
+        for form in ("{:04d}-{:02d}-{:02d}", "{:04d}-{}-{}"):
+            text = form.format(year, month, day)
+            kinds[text] = DATE if real else TEXT
+            kinds[f"{text} 9:5:59"] = TIMESTAMP if real else TEXT
+        kinds[f"{year:04d}-{month:02d}-{day:02d}T23:59:59.123456789+23:59"] = TIMESTAMP if real else TEXT
+    for hour, minute, second in itertools.product((0, 9, 19, 23, 24, 30), (0, 59, 60), (0, 59, 60)):
+        real = hour < 24 and minute < 60 and second < 60
+        for text in (f"2024-02-29 {hour}:{minute}:{second}", f"2024-02-29t{hour:02d}:{minute:02d}:{second:02d}z"):
+            kinds[text] = TIMESTAMP if real else TEXT
+    for number in (0, 7, 10**18 - 1, 10**18, 2**63 - 1, 2**63, 2**63 + 1, 10**19, 10**25):
+        for sign, zeros in itertools.product(("", "+", "-"), ("", "0", "0" * 30)):
+            signed = -number if sign == "-" else number
+            kinds[f"{sign}{zeros}{number}"] = INT64 if -(2**63) <= signed < 2**63 else FLOAT64
+    kinds |= {"1e5": FLOAT64, "123e-5": FLOAT64, "12e-5": FLOAT64, "1234-5": TEXT, "+nan": FLOAT64, "+-1": TEXT, "-": TEXT}
+    masks = spark.createDataFrame(list(kinds.items()), "cell string, expected int").withColumn("mask", cell_mask(F.col("cell"), ["NA"]))
+    assert masks.where("mask <> expected").collect() == []
+    assert "cast(" not in masks._jdf.queryExecution().analyzed().toString().lower()
